@@ -1,8 +1,69 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: low quality goes, near copies go, benchmark leaks go, secrets are masked, what is left is packed.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
+of documents. Only the packed pieces come out.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayer.llm import decontam, neardup, packing, quality, secrets
+from assayer.llm.common import Cut, cut, held_out, small, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the classifier scores at its cut or above; it learns from the labelled ones among docs."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = quality.quality(docs, labels, keep=docs.columns)
+    return scored.where(F.col("score") >= quality.CUT).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, the one of least id; of repeated rows of one id, one."""
+    found = Cut(neardup.near_duplicates(docs), "classes").df
+    gone = Cut(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone").df
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = Cut(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again").df
+    if again.isEmpty():
+        return kept
+    once, more = (kept.join(small(again), "doc_id", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.dropDuplicates(["doc_id"]))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item, whole or with few words changed."""
+    found = cut(decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(small(found), "doc_id", "left_anti").select(*docs.columns)
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks the secrets in each text; no document goes."""
+    return secrets.redacted(docs, secrets.scanned(docs, F.col("source"), F.col("doc_id")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the texts into sequences of tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
