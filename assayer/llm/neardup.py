@@ -1,9 +1,10 @@
 """MinHash near-dedup: bands of MinHash values give candidates, odd sketches judge them, full shingle sets confirm them.
 
 Rows with equal shingle sets are one node. In each bucket of a band all nodes are tried against one hub, which joins large
-groups of copies at a cost in proportion to their size; then only pairs of a bucket that still lie in different
-components are tried, all of them. So no pair is lost that shares a bucket, and no group is expanded into all its pairs.
-A pair of similarity 0.75 shares none of the 32 bands of 4 values with probability 6e-6.
+groups of copies at a cost in proportion to their size. Then only pairs of a bucket are left that still lie in different
+components; longer sketches, made for the nodes of such buckets alone, pass those that may reach the similarity, each in
+the first bucket that it shares. So no group is expanded into its pairs. A pair of similarity 0.75 shares none of the 32
+bands of 4 values with probability 6e-6, and is turned away by a sketch with less than that.
 
 Results: a null text, an empty one or one of white space only has no shingles and is linked with nothing. Fewer than
 `words` words count as one shingle. Rows of one doc_id are one document, of which each row keeps its own n_shingles. A
@@ -20,33 +21,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Cut, arrow_batches, small
+from assayer.llm.common import BROADCAST_ROWS, Cut, arrow_batches, small
 from assayer.llm.textwords import mix, shingles, slices
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
+#: (samples, bits) of the longer sketches for pairs across components.
+LONGER = ((512, 1024), (1536, 4096))
 #: Deviations that a sketch may lie beyond what the least similarity leads one to expect.
-SLACK = 6.0
-#: Rounds with other hubs before all pairs between components are tried, and the pairs a member for which they are skipped.
-HUB_ROUNDS, PAIRS_A_MEMBER = 5, 4
+SLACK = 5.0
 #: Bytes kept of a shingle's hash: two sets of a thousand agree by chance on one with probability 4e-9.
 KEPT = 6
 #: Ids lie below this.
 NO_ID = 1 << 62
 
 _K = BANDS * ROWS
-_MUL = (mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_ADD = (mix(np.arange(1001, _K + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_PLACE = mix(np.arange(2001, _K + 2001, dtype=np.uint64))
+_MOST = max(_K, *(k for k, _ in LONGER))
+_MUL = (mix(np.arange(1, _MOST + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_ADD = (mix(np.arange(10001, _MOST + 10001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+_PLACE = mix(np.arange(20001, _MOST + 20001, dtype=np.uint64))
 
 
-def minhash(hashes: np.ndarray) -> np.ndarray:
-    """The least of each of 128 permutations of a set's 32-bit hashes."""
+def minhash(hashes: np.ndarray, samples: int = _K) -> np.ndarray:
+    """The least of each of so many permutations of a set's 32-bit hashes."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(_K, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        y = x[i : i + 1024, None] * _MUL
-        y += _ADD
+    least = np.full(samples, 0xFFFFFFFF, np.uint32)
+    step = max(16, (1 << 17) // samples)
+    for i in range(0, len(x), step):
+        y = x[i : i + step, None] * _MUL[:samples]
+        y += _ADD[:samples]
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
         y ^= y >> np.uint32(13)
@@ -54,19 +57,20 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """A parity bitmap of 256 bits into which each (permutation, MinHash value) is folded, as four 64-bit words."""
-    at = mix(_PLACE ^ least.astype(np.uint64)) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(least: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """A parity bitmap into which each (permutation, MinHash value) is folded, as 64-bit words."""
+    at = mix(_PLACE[: len(least)] ^ least.astype(np.uint64)) % np.uint64(bits)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_odd(similarity: float) -> int:
+def most_odd(similarity: float, samples: int = _K, bits: int = SKETCH_BITS) -> int:
     """The most bits in which sketches of sets of this similarity differ, up to SLACK deviations."""
-    samples = 2 * _K * (1 - similarity)
-    spread = 2 * math.sqrt(_K * similarity * (1 - similarity))
-    mean = lambda m: SKETCH_BITS * (1 - (1 - 2 / SKETCH_BITS) ** m) / 2
-    deviation = math.hypot((mean(samples + spread) - mean(samples - spread)) / 2, math.sqrt(SKETCH_BITS) / 4)
-    return min(SKETCH_BITS, math.ceil(mean(samples) + SLACK * deviation))
+    expected = 2 * samples * (1 - similarity)
+    spread = 2 * math.sqrt(samples * similarity * (1 - similarity))
+    mean = lambda m: bits * (1 - (1 - 2 / bits) ** m) / 2
+    folding = math.sqrt(bits / 4 * (1 - math.exp(-4 * expected / bits)))
+    deviation = math.hypot((mean(expected + spread) - mean(expected - spread)) / 2, folding)
+    return min(bits, math.ceil(mean(expected) + SLACK * deviation))
 
 
 def _bands(least: np.ndarray) -> np.ndarray:
@@ -117,6 +121,23 @@ def _sets(words: int):
     return sets, "node long, own binary"
 
 
+def _longer(words: int):
+    """(node, the longer sketches) of texts."""
+    schema = pa.schema([("node", pa.int64()), *((f"z{i}", pa.list_(pa.int64())) for i in range(len(LONGER)))])
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for first, last, h, at in slices(batch):
+                for i in range(first, last):
+                    least = minhash(shingles(h[at[i - first] : at[i - first + 1]], words), _MOST)
+                    out.append([odd_sketch(least[:k], bits) for k, bits in LONGER])
+            columns = [pa.array(x, schema.field(1).type) for x in zip(*out)] or [pa.array([], schema.field(1).type)] * len(LONGER)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
+
+    return longer, "node long, " + ", ".join(f"z{i} array<long>" for i in range(len(LONGER)))
+
+
 def _unpacked(own: bytes) -> np.ndarray:
     x = np.zeros((len(own) // KEPT, 8), np.uint8)
     x[:, :KEPT] = np.frombuffer(own, np.uint8).reshape(-1, KEPT)
@@ -143,27 +164,28 @@ def _confirmed(percent: int):
 def components(edges: DataFrame) -> Cut:
     """(node, comp): each node of the edges (a, b) with the least node that it is connected with.
 
-    Alternates large-star and small-star steps, each of them joins and minima with partial aggregation, until the edges stay.
+    Alternates large-star and small-star steps, minima with partial aggregation joined to the edges, until all parts are stars.
     """
-    now = Cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    now = Cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
+        ends = now.df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.df.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        if not ends.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]:
+            break
         for step in ("large", "small"):
             e = now.df
             near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if step == "large" else e
-            least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            joined = near.join(least, "a")
+            least = Cut(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+            joined = near.join(small(least.df), "a")
             if step == "large":
                 out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             else:
-                out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-            new = Cut(out.where("a <> b").distinct(), "edges")
+                out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.df.select("a", F.col("m").alias("b")))
+            out = out.where("a <> b")
+            new = Cut(out if step == "large" else out.distinct(), "edges")
             now.drop()
+            least.drop()
             now = new
-        state = tuple(now.df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a))")).first())
-        if state == before:
-            break
-        before = state
     found = Cut(now.df.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.df.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
     now.drop()
     return found
@@ -184,53 +206,57 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     sets = rows.df.where("f1 is not null").groupBy("f1", "f2").agg(F.min("node").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = Cut(sets, "nodes")
     bucket = nodes.df.select("node", F.explode("bands").alias("k"))
-    hubs = bucket.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("top > hub").drop("top")
-    members = Cut(bucket.join(hubs, "k").select("k", "node", "hub"), "members")
+    hubs = Cut(bucket.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("top > hub").drop("top"), "hubs")
+    members = Cut(bucket.join(small(hubs.df), "k").select("k", "node", "hub"), "members")
     bits = most_odd(percent / 100)
-    sketch = nodes.df.select("node", "sketch")
     odd = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(SKETCH_BITS // 64))
 
-    def judged(pairs: DataFrame) -> Cut:
-        """Pairs (a, b) that sketches allow and full sets confirm."""
-        left = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-        close = Cut(left.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b").where(f"{odd} <= {bits}").select("a", "b"), "close")
-        wanted = Cut(close.df.select(F.col("a").alias("node")).unionByName(close.df.select(F.col("b").alias("node"))).distinct(), "wanted")
-        # The other texts are not moved while the wanted ids can be broadcast.
-        own = texts.join(small(wanted.df), "node", "left_semi").mapInArrow(*_sets(words))
-        packed = Cut(own if n_rows == n_ids else own.dropDuplicates(["node", "own"]), "sets")
-        sized = close.df.join(packed.df.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").join(packed.df.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+    def texts_of(wanted: Cut) -> DataFrame:
+        """The other texts are not moved while the wanted ids can be broadcast."""
+        return texts.join(small(wanted.df), "node", "left_semi")
+
+    def once(df: DataFrame, *columns: str) -> DataFrame:
+        """Rows of one id may give the same sets again."""
+        return df if n_rows == n_ids else df.dropDuplicates(list(columns))
+
+    def confirmed(close: Cut) -> Cut:
+        """The pairs (a, b) that full sets confirm."""
+        wanted = Cut(close.df.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        packed = Cut(once(texts_of(wanted).mapInArrow(*_sets(words)), "node", "own"), "sets")
+        first = packed.df.select(F.col("node").alias("b"), F.col("own").alias("y")).join(small(close.df), "b")
+        sized = first.join(packed.df.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
         links = Cut(sized.select("a", "b", "x", "y").mapInArrow(*_confirmed(percent)), "links")
         for x in (close, wanted, packed):
             x.drop()
         return links
 
-    links = judged(members.df.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    # Each node against the hubs of its buckets.
+    tried = Cut(members.df.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    n = tried.df.count()
+    left = nodes.df.select(F.col("node").alias("a"), F.col("sketch").alias("x")).join(small(tried.df, n), "a")
+    both = nodes.df.select(F.col("node").alias("b"), F.col("sketch").alias("y")).join(small(left, 3 * n), "b")
+    links = confirmed(Cut(both.where(f"{odd} <= {bits}").select("a", "b"), "close"))
     comp = components(links.df)
-    links.drop()
-    n_members = members.df.count()
-    for turn in range(HUB_ROUNDS + 1):
-        placed = members.df.select("k", "node").join(comp.df, "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp"))
-        by_comp = placed.groupBy("k", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node"))["node"].alias("hub"))
-        mixed = by_comp.groupBy("k").agg(F.sum("n").alias("m"), F.sum(F.expr("n * n")).alias("q"), F.count("*").alias("parts"), F.max(F.struct("n", "comp", "hub")).alias("main")).where("parts > 1")
-        mixed = Cut(mixed.select("k", F.col("main.comp").alias("main"), F.col("main.hub").alias("hub"), F.expr("(m * m - q) div 2").alias("cross")), "mixed")
-        cross = mixed.df.agg(F.sum("cross")).first()[0] or 0
-        if not cross:
-            break
-        here = placed.join(mixed.df, "k")
-        last = cross <= PAIRS_A_MEMBER * n_members or turn == HUB_ROUNDS
-        if last:
-            rest = here.where("comp <> main").select("k", "node", "comp")
-            other = here.select("k", F.col("node").alias("node2"), F.col("comp").alias("comp2"), "main")
-            pairs = rest.join(other, "k").where("comp <> comp2 and (comp2 = main or node < node2)").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-        else:
-            pairs = here.where("comp <> main").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        links = judged(pairs.distinct())
-        new = components(links.df.unionByName(comp.df.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        for x in (links, mixed, comp):
-            x.drop()
-        comp = new
-        if last:
-            break
+
+    # Buckets that hold several components: the pairs across them.
+    placed = members.df.select("k", "node").join(small(comp.df), "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp"))
+    by_comp = placed.groupBy("k", "comp").agg(F.count("*").alias("n"))
+    mixed = by_comp.groupBy("k").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main")).where("parts > 1").select("k", "main")
+    here = Cut(placed.join(small(Cut(mixed, "mixed").df), "k"), "here")
+    wanted = Cut(here.df.select("node").distinct(), "wanted")
+    longer = Cut(once(texts_of(wanted).mapInArrow(*_longer(words)), "node", "z0", "z1"), "longer")
+    carried = here.df.join(small(longer.df, most=BROADCAST_ROWS // 40), "node").join(small(nodes.df.select("node", "bands").join(small(wanted.df), "node", "left_semi"), wanted.df.count(), BROADCAST_ROWS // 20), "node")
+    rest = carried.where("comp <> main").select("k", "node", "comp", "bands", "z0", "z1")
+    other = carried.select("k", F.col("node").alias("node2"), F.col("comp").alias("comp2"), "main", F.col("bands").alias("bands2"), F.col("z0").alias("y0"), F.col("z1").alias("y1"))
+    near = " + ".join(f"bit_count(z0[{i}] ^ y0[{i}])" for i in range(LONGER[0][1] // 64)) + f" <= {most_odd(percent / 100, *LONGER[0])}"
+    nearer = f"aggregate(zip_with(z1, y1, (p, q) -> bit_count(p ^ q)), 0, (a, v) -> a + v) <= {most_odd(percent / 100, *LONGER[1])}"
+    across = f"comp <> comp2 and (comp2 = main or node < node2) and {near} and {nearer} and element_at(array_intersect(bands, bands2), 1) = k"
+    pairs = rest.join(other, "k").where(across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    more = confirmed(Cut(pairs, "close"))
+    if not more.df.isEmpty():
+        comp = components(more.df.unionByName(comp.df.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    for x in (links, more, here, wanted, longer, tried, members, hubs):
+        x.drop()
     whole = nodes.df.select("f1", "f2", "node").join(comp.df, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("comp"))
     out = rows.df.select("node", "n_shingles", "f1", "f2").join(whole, ["f1", "f2"], "left")
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
