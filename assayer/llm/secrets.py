@@ -72,7 +72,7 @@ def scanned(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     live = F.col("n_owners").__le__(LIVE_OWNERS) & F.col("n_repositories").__le__(LIVE_REPOSITORIES)
     figures = ownership(values).select("hash", live.alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = values.select("doc_id", "k", "hash", F.pmod(F.xxhash64("doc_id", "k"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
-    judged = salted.join(figures, ["hash", "salt"]).where("live").groupBy("doc_id", "k").agg(F.collect_list("hash").alias("live"))
+    judged = salted.join(figures.hint("merge"), ["hash", "salt"]).where("live").groupBy("doc_id", "k").agg(F.collect_list("hash").alias("live"))
     judged = judged.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "live")
     joined = some.join(judged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")), "left")
     kept = joined.select("doc_id", "k", F.expr("filter(transform(found, x -> struct(x.start, x.no, x.end, x.kind, coalesce(array_contains(live, x.hash), false) as live)), x -> x.no < 3 or x.live)").alias("spans"))
