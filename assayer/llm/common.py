@@ -96,7 +96,7 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows in an Arrow batch from now on: long texts must fit a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

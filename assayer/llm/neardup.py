@@ -122,8 +122,9 @@ def _sets(words: int):
 
 
 def _longer(words: int):
-    """(node, the longer sketches) of texts."""
-    schema = pa.schema([("node", pa.int64()), *((f"z{i}", pa.list_(pa.int64())) for i in range(len(LONGER)))])
+    """(node, bands, the longer sketches) of texts."""
+    names = ["bands", *(f"z{i}" for i in range(len(LONGER)))]
+    schema = pa.schema([("node", pa.int64()), *((x, pa.list_(pa.int64())) for x in names)])
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +132,11 @@ def _longer(words: int):
             for first, last, h, at in slices(batch):
                 for i in range(first, last):
                     least = minhash(shingles(h[at[i - first] : at[i - first + 1]], words), _MOST)
-                    out.append([odd_sketch(least[:k], bits) for k, bits in LONGER])
-            columns = [pa.array(x, schema.field(1).type) for x in zip(*out)] or [pa.array([], schema.field(1).type)] * len(LONGER)
+                    out.append([_bands(least[:_K]), *(odd_sketch(least[:k], bits) for k, bits in LONGER)])
+            columns = [pa.array(x, schema.field(1).type) for x in zip(*out)] or [pa.array([], schema.field(1).type)] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 
-    return longer, "node long, " + ", ".join(f"z{i} array<long>" for i in range(len(LONGER)))
+    return longer, "node long, " + ", ".join(f"{x} array<long>" for x in names)
 
 
 def _unpacked(own: bytes) -> np.ndarray:
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     here = Cut(placed.join(small(Cut(mixed, "mixed").df), "k"), "here")
     wanted = Cut(here.df.select("node").distinct(), "wanted")
     longer = Cut(once(texts_of(wanted).mapInArrow(*_longer(words)), "node", "z0", "z1"), "longer")
-    carried = here.df.join(small(longer.df, most=BROADCAST_ROWS // 40), "node").join(small(nodes.df.select("node", "bands").join(small(wanted.df), "node", "left_semi"), wanted.df.count(), BROADCAST_ROWS // 20), "node")
+    carried = here.df.join(small(longer.df, most=BROADCAST_ROWS // 100), "node")
     rest = carried.where("comp <> main").select("k", "node", "comp", "bands", "z0", "z1")
     other = carried.select("k", F.col("node").alias("node2"), F.col("comp").alias("comp2"), "main", F.col("bands").alias("bands2"), F.col("z0").alias("y0"), F.col("z1").alias("y1"))
     near = " + ".join(f"bit_count(z0[{i}] ^ y0[{i}])" for i in range(LONGER[0][1] // 64)) + f" <= {most_odd(percent / 100, *LONGER[0])}"

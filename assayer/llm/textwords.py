@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in pieces of about so many bytes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
