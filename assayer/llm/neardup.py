@@ -27,9 +27,9 @@ from assayer.llm.textwords import mix, shingles, slices
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
 #: (samples, bits) of the longer sketches for pairs across components.
-LONGER = ((512, 1024), (1536, 4096))
+LONGER = ((512, 1024), (3072, 4096))
 #: Deviations that a sketch may lie beyond what the least similarity leads one to expect.
-SLACK = 5.0
+SLACK = 4.5
 #: Bytes kept of a shingle's hash: two sets of a thousand agree by chance on one with probability 4e-9.
 KEPT = 6
 #: Ids lie below this.
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
 
     def confirmed(close: Cut) -> Cut:
         """The pairs (a, b) that full sets confirm."""
-        wanted = Cut(close.df.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        wanted = Cut(close.df.select(F.col("a").alias("node")).distinct().unionByName(close.df.select(F.col("b").alias("node")).distinct()).distinct(), "wanted")
         packed = Cut(once(texts_of(wanted).mapInArrow(*_sets(words)), "node", "own"), "sets")
         first = packed.df.select(F.col("node").alias("b"), F.col("own").alias("y")).join(small(close.df), "b")
         sized = first.join(packed.df.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
