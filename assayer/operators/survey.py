@@ -58,7 +58,7 @@ def reader_pairs(ratings: DataFrame, refer_from: int = 4) -> DataFrame:
 
 def icc(ratings: DataFrame) -> DataFrame:
     """ICC(2,1), from sums of squares by case and reader."""
-    total = ratings.agg(F.count("*").alias("N"), F.countDistinct("case_id").alias("n"), F.countDistinct("reader").alias("k"), F.avg("score").alias("m"), F.sum(F.col("score") * F.col("score")).alias("ss"))
+    total = ratings.agg(F.countDistinct("case_id").alias("n"), F.countDistinct("reader").alias("k"), F.avg("score").alias("m"), F.sum(F.col("score") * F.col("score")).alias("ss"))
     rows = ratings.groupBy("case_id").agg(F.avg("score").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("rr"))
     cols = ratings.groupBy("reader").agg(F.avg("score").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("cc"))
     d = total.crossJoin(rows).crossJoin(cols)

@@ -385,3 +385,302 @@ def hybrid_cohorts(v: Views) -> DataFrame:
 def pairwise_clinics(v: Views) -> DataFrame:
     c = v.manifest.select("clinic").distinct()
     return c.select(F.col("clinic").alias("clinic_a")).join(c.select(F.col("clinic").alias("clinic_b")), F.col("clinic_a") < F.col("clinic_b"))
+
+
+# Joins, sets and reshaping.
+
+@query("select case_id, clinic, e.event_type, p.prob >= 0.5 as said from predictions p left join (select event_id, event_type from events where event_id % 3 <> 0) e on e.event_id = p.case_id")
+def left_join_meta(v: Views) -> DataFrame:
+    meta = v.table("events").where("event_id % 3 <> 0").select(F.col("event_id").alias("case_id"), "event_type")
+    return v.predictions.join(meta, "case_id", "left").select("case_id", "clinic", "event_type", (F.col("prob") >= 0.5).alias("said"))
+
+
+@query("select film, arg_max(case_id, case_id) as case_id, count(*) as n from predictions group by film")
+def dedup_last_wins(v: Views) -> DataFrame:
+    return v.predictions.groupBy("film").agg(F.max_by("case_id", "case_id").alias("case_id"), F.count("*").alias("n"))
+
+
+@query("select case_id, film from predictions p where exists (select 1 from customer c where c.c_custkey = p.film and c.c_acctbal > 0)")
+def semi_join_wanted(v: Views) -> DataFrame:
+    wanted = v.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("film"))
+    return v.predictions.join(wanted, "film", "left_semi").select("case_id", "film")
+
+
+@query("select case_id from predictions p where not exists (select 1 from predictions d where d.case_id = p.case_id and d.severity <= 0.5)")
+def anti_join_resume(v: Views) -> DataFrame:
+    from assayer.sources.tables import remaining
+
+    return remaining(v.predictions.select("case_id"), v.predictions.where("severity <= 0.5"), "case_id")
+
+
+@query("select id, s as severity from images, (values (0.0::double), (0.25::double), (0.5::double), (0.75::double), (1.0::double)) t(s)")
+def cross_severity(v: Views) -> DataFrame:
+    return v.images.select("id", F.explode(F.array(*(F.lit(x / 4) for x in range(5)))).alias("severity"))
+
+
+@query(f"select 'c0' as fold, clinic, count(*) as n from predictions where clinic = 'c0' group by clinic union all select 'c1', clinic, count(*) from predictions where clinic = 'c1' group by clinic union all select 'rest', clinic, count(*) from predictions where clinic not in ('c0', 'c1') group by clinic")
+def union_folds(v: Views) -> DataFrame:
+    part = lambda fold, cond: v.predictions.where(cond).groupBy("clinic").agg(F.count("*").alias("n")).select(F.lit(fold).alias("fold"), "clinic", "n")
+    return part("c0", "clinic = 'c0'").unionByName(part("c1", "clinic = 'c1'")).unionByName(part("rest", "clinic not in ('c0', 'c1')"))
+
+
+@query("select seed from runs where arm = '1-URGENT' intersect select seed from runs where arm = '2-HIGH'")
+def intersect_seeds(v: Views) -> DataFrame:
+    seeds = lambda arm: v.runs.where(F.col("arm") == arm).select("seed")
+    return seeds("1-URGENT").intersect(seeds("2-HIGH"))
+
+
+@query("select arm from runs except select * from (values ('1-URGENT'), ('5-LOW'))")
+def except_arms(v: Views) -> DataFrame:
+    return v.runs.select("arm").exceptAll(v.runs.select("arm").where("arm in ('1-URGENT', '5-LOW')")).distinct()
+
+
+@query(f"""with x as (select clinic, {VERDICT} as verdict from predictions)
+select clinic, {', '.join(f"{R(f'''count(*) filter (verdict = '{x}') / count(*)''')} as {x}" for x in ('abstain', 'detectable', 'insufficient', 'marginal'))} from x group by clinic""")
+def pivot_verdicts(v: Views) -> DataFrame:
+    names = ["abstain", "detectable", "insufficient", "marginal"]
+    d = v.predictions.withColumn("verdict", selective.verdict(F.col("margin_db")))
+    p = d.groupBy("clinic").pivot("verdict", names).count().na.fill(0)
+    total = sum((F.col(n) for n in names), F.lit(0))
+    return rounded(p.select("clinic", *((F.col(n) / total).alias(n) for n in names)))
+
+
+@query(f"select case_id, 'nodule' as finding, {R('margin_db')} as margin from predictions union all select case_id, 'effusion', {R('margin_db - 2')} from predictions union all select case_id, 'cavity', {R('margin_db + 1')} from predictions")
+def unpivot_findings(v: Views) -> DataFrame:
+    wide = v.predictions.select("case_id", r6("margin_db").alias("nodule"), r6("margin_db - 2").alias("effusion"), r6("margin_db + 1").alias("cavity"))
+    return wide.unpivot("case_id", ["nodule", "effusion", "cavity"], "finding", "margin")
+
+
+@query(f"select clinic, cast(grouping(clinic) as int) as whole, count(*) as n, {R('avg((margin_db is null)::double)')} as abstain, {R('quantile_cont(margin_db, 0.5)')} as median_margin from predictions group by rollup (clinic)")
+def rollup_coverage(v: Views) -> DataFrame:
+    from assayer.functions.scalars import share
+
+    return rounded(v.predictions.rollup("clinic").agg(F.grouping("clinic").cast("int").alias("whole"), F.count("*").alias("n"), share(F.col("margin_db").isNull()).alias("abstain"), F.percentile("margin_db", 0.5).alias("median_margin")))
+
+
+@query(f"""with f as (select case_id, list_sort([(margin_db, 0), (margin_db - 2, 1), (margin_db + 1, 2)])[1] as w from predictions where margin_db is not null)
+select case_id, (['nodule', 'effusion', 'cavity'])[w[2] + 1] as finding, {R('w[1]')} as margin from f""")
+def worst_finding(v: Views) -> DataFrame:
+    each = F.expr("array_min(array(struct(margin_db as m, 0 as i), struct(margin_db - 2 as m, 1 as i), struct(margin_db + 1 as m, 2 as i)))")
+    d = v.predictions.where("margin_db is not null").select("case_id", each.alias("w"))
+    return rounded(d.select("case_id", F.expr("array('nodule', 'effusion', 'cavity')[w.i] as finding"), F.col("w.m").alias("margin")))
+
+
+@query(f"with g as (select clinic, {CAUSE} as cause, count(*) as n from predictions where margin_db <= 3 group by 1, 2) select clinic, cause, n from (select *, row_number() over (partition by clinic order by n desc, cause) as r from g) where r = 1")
+def limiting_factor(v: Views) -> DataFrame:
+    d = v.predictions.where("margin_db <= 3").groupBy("clinic", selective.limiting(F.col("case_id")).alias("cause")).agg(F.count("*").alias("n"))
+    return d.groupBy("clinic").agg(F.min(F.struct((-F.col("n")).alias("m"), "cause", "n")).alias("w")).select("clinic", "w.cause", "w.n")
+
+
+# Survey statistics.
+
+@query(f"""with e as (select quantile_cont(margin_db, [0.25, 0.5, 0.75]) as m from predictions)
+select case_id, case when margin_db is null then -1 else cast(len(list_filter(m, lambda q: q < margin_db)) as int) end as stratum from predictions, e""")
+def quantile_strata(v: Views) -> DataFrame:
+    return survey.quantile_stratum(v.predictions, "margin_db", 4, "stratum").select("case_id", "stratum")
+
+
+@query(f"select clinic, severity, count(*) as population, least(count(*), 50) as drawn, {R('count(*) / least(count(*), 50)')} as weight from predictions group by all")
+def stratum_weights(v: Views) -> DataFrame:
+    return rounded(survey.stratum_weights(v.predictions, 50, "clinic", "severity"))
+
+
+@query(f"select case_id, {R('-coalesce(margin_db, (select min(margin_db) from predictions) - 1)')} as referral from predictions")
+def referral_score(v: Views) -> DataFrame:
+    return rounded(survey.referral_score(v.predictions).select("case_id", "referral"))
+
+
+@query(f"""with d as (select clinic, label, prob, 1 + case_id % 3 as w from predictions), c as (select clinic, prob, sum(case when label = 1 then w else 0 end) p, sum(case when label = 0 then w else 0 end) n from d group by all),
+b as (select *, coalesce(sum(n) over (partition by clinic order by prob rows between unbounded preceding and 1 preceding), 0) as below from c)
+select clinic, {R('sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0)')} as auc from b group by clinic""")
+def weighted_auc(v: Views) -> DataFrame:
+    return rounded(survey.weighted_auc(v.predictions.withColumn("w", 1.0 + F.col("case_id") % 3), "prob", "w", "clinic"))
+
+
+AGREE = """x as (select case_id, reader, cast(score >= 4 as int) as x from ratings), g as (select a.reader as reader_a, b.reader as reader_b, count(*) n, avg((a.x = b.x)::double) po, avg(a.x) pa, avg(b.x) pb from x a join x b using (case_id) where a.reader < b.reader group by all),
+h as (select *, pa * pb + (1 - pa) * (1 - pb) as pe, 2 * ((pa + pb) / 2) * (1 - (pa + pb) / 2) as pg from g)"""
+
+
+@query(f"with {AGREE} select reader_a, reader_b, n, {R('po')} as po, {R('(po - pe) / nullif(1 - pe, 0)')} as kappa, {R('(po - pg) / nullif(1 - pg, 0)')} as ac1 from h")
+def kappa_ac1(v: Views) -> DataFrame:
+    return rounded(survey.agreement(survey.reader_pairs(v.ratings), "reader_a", "reader_b"))
+
+
+@query(f"""with t as (select count(*) nn, count(distinct case_id) n, count(distinct reader) k, avg(score) m, sum(score * score)::double ss from ratings),
+r as (select sum(x * x) rr from (select avg(score) x from ratings group by case_id)), c as (select sum(x * x) cc from (select avg(score) x from ratings group by reader)),
+s as (select n, k, k * (rr - n * m * m) / (n - 1) as msr, n * (cc - k * m * m) / (k - 1) as msc, (ss - n * k * m * m - k * (rr - n * m * m) - n * (cc - k * m * m)) / ((n - 1) * (k - 1)) as mse from t, r, c),
+i as (select n, k, (msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n) as icc from s)
+select n, k, {R('icc')} as icc, {R('case when icc > 0 then k * icc / (1 + (k - 1) * icc) end')} as averaged from i""")
+def icc21(v: Views) -> DataFrame:
+    return rounded(survey.icc(v.ratings))
+
+
+@query("select case_id, avg((score >= 4)::double) > 0.5 as refer from ratings group by case_id")
+def majority_vote(v: Views) -> DataFrame:
+    return survey.majority(v.ratings)
+
+
+@query(f"""with d as (select * from predictions where margin_db is not null), c as (select quantile_cont(margin_db, 0.2) a, quantile_cont(mc_std, 0.8) b from d)
+select {R('avg((margin_db <= a and mc_std >= b)::double)')} as both, {R('avg((margin_db <= a and mc_std < b)::double)')} as physics_only, {R('avg((margin_db > a and mc_std >= b)::double)')} as learned_only, {R('avg((margin_db > a and mc_std < b)::double)')} as neither from d, c""".replace(" as both", ' as "both"'))
+def signal_overlap(v: Views) -> DataFrame:
+    return rounded(survey.discordance(v.predictions))
+
+
+@query(f"select a.arm, {R('avg(a.score)')} as mean, {R('stddev_samp(a.score)')} as sd, {R('avg(a.score - b.score)')} as delta, count(b.score) as shared from runs a left join runs b on b.arm = '3-MEDIUM' and b.seed = a.seed group by a.arm")
+def paired_summary(v: Views) -> DataFrame:
+    return rounded(survey.paired_summary(v.runs, "3-MEDIUM"))
+
+
+@query(f"""with x as (select film, severity, max({VERDICT}) as verdict from predictions group by all)
+select a.film, b.severity, a.verdict as baseline, b.verdict as arm from x a join x b using (film) where a.severity = 0 and b.severity > 0 and a.verdict <> b.verdict""")
+def verdict_flips(v: Views) -> DataFrame:
+    x = v.predictions.groupBy("film", "severity").agg(F.max(selective.verdict(F.col("margin_db"))).alias("verdict"))
+    base = x.where("severity = 0").select("film", F.col("verdict").alias("baseline"))
+    return base.join(x.where("severity > 0"), "film").where("baseline <> verdict").select("film", "severity", "baseline", F.col("verdict").alias("arm"))
+
+
+@query(f"with m as (select clinic, severity, quantile_cont(mc_std, 0.5) as m from predictions where mc_std > 0 group by all) select count(*) as groups, {R('min(m)')} as least, {R('max(m)')} as most, {R('max(m) / min(m)')} as spread, max(m) / min(m) <= 2 as passes from m")
+def falsification_gate(v: Views) -> DataFrame:
+    return rounded(survey.falsification_gate(v.predictions, "mc_std", "clinic", "severity"))
+
+
+@query(f"with m as (select clinic, quantile_cont(margin_db, 0.5) as median, count(margin_db) as n from predictions group by clinic) select clinic, {R('median')} as median, n, {R('quantile_cont(abs(margin_db - median), 0.5)')} as mad from predictions join m using (clinic) group by clinic, median, n")
+def recovery_mad(v: Views) -> DataFrame:
+    return rounded(survey.median_and_spread(v.predictions, "margin_db", "clinic"))
+
+
+@query(f"select clinic, count(*) filter (margin_db >= 0 and label = 1) as both_detect, count(*) filter (margin_db >= 0 and label = 0) as only_predicted, count(*) filter (margin_db < 0 and label = 1) as only_observed, count(*) filter (margin_db < 0 and label = 0) as neither, count(*) filter (margin_db >= 3 and logit <= -2) as violations from predictions group by clinic")
+def disc_confusion(v: Views) -> DataFrame:
+    m, y = F.col("margin_db"), F.col("label")
+    return v.predictions.groupBy("clinic").agg(F.count_if((m >= 0) & (y == 1)).alias("both_detect"), F.count_if((m >= 0) & (y == 0)).alias("only_predicted"), F.count_if((m < 0) & (y == 1)).alias("only_observed"), F.count_if((m < 0) & (y == 0)).alias("neither"), F.count_if((m >= 3) & (F.col("logit") <= -2)).alias("violations"))
+
+
+@query(f"with r as (select clinic, film, avg(mc_std) m, stddev_samp(mc_std) s, count(*) n from predictions group by all) select clinic, {R('avg(m)')} as mean, {R('quantile_cont(s, 0.5)')} as reproducibility, cast(sum(n) as bigint) as n from r group by clinic")
+def region_characterise(v: Views) -> DataFrame:
+    r = v.predictions.groupBy("clinic", "film").agg(F.avg("mc_std").alias("m"), F.stddev_samp("mc_std").alias("s"), F.count("*").alias("n"))
+    return rounded(r.groupBy("clinic").agg(F.avg("m").alias("mean"), F.percentile("s", 0.5).alias("reproducibility"), F.sum("n").alias("n")))
+
+
+@query(f"select film, count(*) as n, {R('avg(mc_std)')} as mean, arg_max(case_id, (mc_std, -case_id)) as worst_case, {R('corr(mc_std, logit)')} as corr from predictions group by film")
+def worst_of_n(v: Views) -> DataFrame:
+    return rounded(v.predictions.groupBy("film").agg(F.count("*").alias("n"), F.avg("mc_std").alias("mean"), (-F.max(F.struct("mc_std", (-F.col("case_id")).alias("c")))["c"]).alias("worst_case"), F.corr("mc_std", "logit").alias("corr")))
+
+
+@query(f"select film, {R('avg(prob)')} as mean, {R('stddev_samp(prob)')} as std, count(*) as members from predictions group by film")
+def ensemble_mean_std(v: Views) -> DataFrame:
+    return rounded(v.predictions.groupBy("film").agg(F.avg("prob").alias("mean"), F.stddev_samp("prob").alias("std"), F.count("*").alias("members")))
+
+
+@query(f"with h as (select clinic, cast(floor(prob * 32) as int) as bin, count(*) as n from predictions group by all), d as (select *, sum(n) over w as w0, sum(n * bin) over w as s0, sum(n) over (partition by clinic) as wt, sum(n * bin) over (partition by clinic) as st from h window w as (partition by clinic order by bin)) select clinic, cast(arg_max(bin, (floor(w0 * (wt - w0) * (s0 / w0 - (st - s0) / (wt - w0)) * (s0 / w0 - (st - s0) / (wt - w0)) * 1000 + 0.5), -bin)) as int) as cut from d where w0 < wt group by clinic")
+def otsu_threshold(v: Views) -> DataFrame:
+    from assayer.operators.kernels import otsu
+
+    h = v.predictions.groupBy("clinic", F.floor(F.col("prob") * 32).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return otsu(h, "clinic")
+
+
+@query("select arm, seed, score from (select *, row_number() over (partition by arm order by score desc nulls last, seed) as r from runs) where r = 1")
+def best_epoch(v: Views) -> DataFrame:
+    from pyspark.sql import Window
+
+    return v.runs.withColumn("r", F.row_number().over(Window.partitionBy("arm").orderBy(F.desc_nulls_last("score"), "seed"))).where("r = 1").select("arm", "seed", "score")
+
+
+@query(f"with d as (select clinic, value, row_number() over (partition by clinic order by value) as r, count(*) over (partition by clinic) as n from readings) select clinic, {R('avg(value)')} as mean, {R('quantile_cont(value, 0.5)')} as median, {R('max(value) filter (r = greatest(cast(floor(n * 0.95) as bigint), 1))')} as p95, {R('min(value)')} as least, {R('max(value)')} as most from d group by clinic")
+def latency_percentiles(v: Views) -> DataFrame:
+    return rounded(survey.latency(v.readings, "value", "clinic"))
+
+
+@query("with m as (select clinic, severity, avg(mc_std) as m from predictions group by all), d as (select clinic, m - lag(m) over (partition by clinic order by severity) as step from m) select clinic, coalesce(bool_and(step <= 1e-9), true) as falls from d group by clinic")
+def monotone_check(v: Views) -> DataFrame:
+    from pyspark.sql import Window
+
+    m = v.predictions.groupBy("clinic", "severity").agg(F.avg("mc_std").alias("m"))
+    d = m.withColumn("step", F.col("m") - F.lag("m").over(Window.partitionBy("clinic").orderBy("severity")))
+    return d.groupBy("clinic").agg(F.coalesce(F.bool_and(F.col("step") <= 1e-9), F.lit(True)).alias("falls"))
+
+
+@query(f"select case_id, {R('0.5 * log2(1 + pow(10, margin_db / 20) * pow(10, margin_db / 20))')} as bits from predictions where margin_db is not null")
+def channel_capacity(v: Views) -> DataFrame:
+    from assayer.operators.kernels import channel_capacity as bits
+
+    return rounded(v.predictions.where("margin_db is not null").select("case_id", bits(F.expr("pow(10D, margin_db / 20)")).alias("bits")))
+
+
+# Monitoring.
+
+@query(f"""with d as (select clinic, seq, value, sum(value - 0.2::double - 0.05::double) over w as u, sum(0.2::double - value - 0.05::double) over w as d from readings window w as (partition by clinic order by ts, seq rows unbounded preceding)),
+h as (select clinic, seq, value, u - least(0, min(u) over w) as high, d - least(0, min(d) over w) as low from (select d.*, r.ts from d join readings r using (clinic, seq, value)) window w as (partition by clinic order by ts, seq rows unbounded preceding))
+select clinic, seq, {R('value')} as value, {R('high')} as high, {R('low')} as low, high > 0.5 or low > 0.5 as alarm from h""")
+def cusum_batch(v: Views) -> DataFrame:
+    return rounded(monitor.cusum(v.readings, 0.2, 0.05, 0.5))
+
+
+@query(f"""with p as (select film as case_id, row_number() over (partition by film order by case_id) as pass, prob from predictions),
+d as (select case_id, count(*) over w as n, avg(prob) over w as mean, stddev_samp(prob) over w as sd from p window w as (partition by case_id order by pass rows unbounded preceding)),
+z as (select *, case when coalesce(sd, 0) / sqrt(n) > 1e-12 then abs(mean - 0.5) / (sd / sqrt(n)) else 0 end as z from d),
+g as (select case_id, min(n) filter (n >= 3 and z >= 1.96) as s, max(n) as l from z group by case_id)
+select g.case_id, coalesce(s, l) as passes, {R('z.mean')} as mean, s is null as deferred from g join z on z.case_id = g.case_id and z.n = coalesce(s, l)""")
+def sequential_stop(v: Views) -> DataFrame:
+    from pyspark.sql import Window
+
+    passes = v.predictions.select(F.col("film").alias("case_id"), F.row_number().over(Window.partitionBy("film").orderBy("case_id")).alias("pass"), "prob")
+    return rounded(monitor.sequential_stop(passes))
+
+
+@query()
+def cusum_stream(v: Views) -> DataFrame:
+    """The stream's rows once it has taken all that is there, from a folder of readings in the shared place."""
+    import uuid
+
+    folder = v.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/assayer-stream"
+    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    v.readings.write.parquet(f"{base}/in")
+    rows = v.spark.readStream.schema(v.readings.schema).parquet(f"{base}/in")
+    q = monitor.cusum_stream(rows, 0.2, 0.05, 0.5).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return v.spark.read.parquet(f"{base}/out")
+
+
+@query()
+def cluster_bootstrap(v: Views) -> DataFrame:
+    from assayer.operators.montecarlo import cluster_bootstrap as interval
+
+    return interval(v.predictions, "prob", "film")
+
+
+@query()
+def design_power(v: Views) -> DataFrame:
+    from assayer.operators.montecarlo import design_power as power
+
+    grid = v.spark.createDataFrame([(n, k, e) for n in (60, 120, 240) for k in (1, 3) for e in (0.1, 0.2)], "n int, readers int, effect double")
+    return power(grid)
+
+
+@query()
+def balanced_assignment(v: Views) -> DataFrame:
+    from assayer.operators.montecarlo import assigned
+
+    return assigned(v.predictions.where("film < 200").select("film", F.concat_ws("|", "clinic", "severity").alias("cell")), "film", "cell", 5)
+
+
+@query()
+def source_confound(v: Views) -> DataFrame:
+    from assayer.operators.montecarlo import source_confound as confound
+
+    d = audit.capture_features(v.images).withColumn("label", (F.col("clinic") == "e0").cast("int"))
+    return confound(d, ["mean", "std", "low", "high", "roughness"], "label")
+
+
+@query()
+def gaussian_blur_kernel(v: Views) -> DataFrame:
+    from assayer.operators.kernels import blurred
+
+    return blurred(v.images, 1.0)
+
+
+@query()
+def degrade_kernel(v: Views) -> DataFrame:
+    from assayer.operators.kernels import degrade
+
+    return degrade(v.images, 0.5)
