@@ -96,14 +96,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the spans of scanned() masked in text, and n_chars to match where docs have it; other rows as they are."""
-    marked = Cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), F.col("spans").alias("_spans")).distinct(), "marked").df
-    joined = docs.join(small(marked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_k")), "left")
-    pieces = f"""aggregate(_spans, struct(0 as at, '' as done),
+    marked = Cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__secrets_id"), F.col("k").alias("__secrets_k"), F.col("spans").alias("__secrets_spans")).distinct(), "marked").df
+    joined = docs.join(small(marked), F.col("doc_id").eqNullSafe(F.col("__secrets_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__secrets_k")), "left")
+    pieces = f"""aggregate(__secrets_spans, struct(0 as at, '' as done),
         (a, x) -> case when x.start >= a.at then struct(x.end as at, concat(a.done, substring(text, a.at + 1, x.start - a.at), '{MASK}') as done)
                        else struct(greatest(a.at, x.end) as at, a.done as done) end,
         a -> concat(a.done, substring(text, a.at + 1)))"""
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.expr(pieces))
+    text = F.when(F.col("__secrets_spans").isNull(), F.col("text")).otherwise(F.expr(pieces))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__secrets_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

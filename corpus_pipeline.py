@@ -16,9 +16,9 @@ from assayer.llm.common import Cut, cut, held_out, small, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier scores at its cut or above; it learns from the labelled ones among docs."""
     labels = table(spark, sf_dir, "labels").where(~held_out())
-    scored = quality.quality(docs, labels, keep=docs.columns)
+    scored = quality.quality(docs, labels, keep=docs.columns, name="__quality")
     # A row for each document kept; a filter would be pushed below the features and repeat them.
-    return scored.withColumn("_kept", F.explode(F.when(F.col("score") >= quality.CUT, F.array(F.lit(True))))).select(*docs.columns)
+    return scored.withColumn("__kept", F.explode(F.when(F.col("__quality") >= quality.CUT, F.array(F.lit(True))))).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
