@@ -12,19 +12,21 @@ GRID = [i / 50 for i in range(51)]
 
 
 def risk_coverage(df: DataFrame, confidence: str, *by: str) -> DataFrame:
-    """At each distinct of 51 quantiles of confidence, what is kept: cumulative sums over distinct confidences answer all thresholds."""
-    w = Window.partitionBy(*by).orderBy(F.col(confidence).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    said, is_ = F.col("prob") >= 0.5, F.col("label") == 1
-    counts = df.groupBy(*by, F.col(confidence).alias("c")).agg(F.count("*").alias("n"), F.count_if(said & is_).alias("tp"), F.count_if(~said & ~is_).alias("tn"), F.count_if(is_).alias("p"))
-    w = Window.partitionBy(*by).orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    kept = counts.select(*by, "c", *(F.sum(x).over(w).alias(x) for x in ("n", "tp", "tn", "p")))
+    """At each distinct of 51 quantiles of confidence, what is kept.
+
+    Rows are counted by the last threshold that they reach, in one aggregation; sums over the thresholds from the top answer all of them.
+    """
     cuts = df.groupBy(*by).agg(F.count("*").alias("total"), F.expr(f"percentile({confidence}, array({', '.join(f'{q}D' for q in GRID)}))").alias("q"))
-    cuts = cuts.select(*by, "total", F.explode(F.array_distinct("q")).alias("threshold"))
-    # What a threshold keeps is the cumulative row of the least confidence at or above it.
-    joined = cuts.join(kept, list(by)) if by else cuts.crossJoin(kept)
-    best = joined.where(F.col("c") >= F.col("threshold") - 1e-12).groupBy(*by, "threshold", "total").agg(F.min_by(F.struct("n", "tp", "tn", "p"), "c").alias("k"))
-    n, p = F.col("k.n"), F.col("k.p")
-    return best.select(*by, "threshold", (n / F.col("total")).alias("coverage"), ratio(F.col("k.tp") + F.col("k.tn"), n).alias("accuracy"), ratio(F.col("k.tp"), p).alias("sensitivity"), ratio(F.col("k.tn"), n - p).alias("specificity"), n.alias("n_kept"))
+    cuts = cuts.withColumn("q", F.array_distinct("q"))
+    said, is_ = F.col("prob") >= 0.5, F.col("label") == 1
+    joined = df.join(cuts, list(by)) if by else df.crossJoin(F.broadcast(cuts))
+    reached = F.size(F.filter("q", lambda t: F.col(confidence) >= t - 1e-12))
+    counts = joined.groupBy(*by, reached.alias("i")).agg(F.count("*").alias("n"), F.count_if(said & is_).alias("tp"), F.count_if(~said & ~is_).alias("tn"), F.count_if(is_).alias("p"))
+    each = cuts.select(*by, "total", F.posexplode("q").alias("i", "threshold")).withColumn("i", F.col("i") + 1)
+    w = Window.partitionBy(*by).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    kept = each.join(counts, [*by, "i"], "left").select(*by, "total", "threshold", *(F.coalesce(F.sum(x).over(w), F.lit(0)).alias(x) for x in ("n", "tp", "tn", "p")))
+    n, p = F.col("n"), F.col("p")
+    return kept.select(*by, "threshold", (n / F.col("total")).alias("coverage"), ratio(F.col("tp") + F.col("tn"), n).alias("accuracy"), ratio(F.col("tp"), p).alias("sensitivity"), ratio(F.col("tn"), n - p).alias("specificity"), n.alias("n_kept"))
 
 
 def aurc(curve: DataFrame, *by: str) -> DataFrame:
