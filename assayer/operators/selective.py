@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import clip, ratio, share
-from assayer.operators.metrics import average_rank, with_confidence
+from assayer.operators.metrics import with_confidence
+from assayer.operators.ranking import global_rank
 
 GRID = [i / 50 for i in range(51)]
 
@@ -78,9 +79,8 @@ def complementarity(df: DataFrame, share_flagged: float = 0.2) -> DataFrame:
     d = df.withColumns({"learned": 1 - F.col("mc_std") / 0.2, "physics": physics_confidence(F.col("margin_db")), "wrong": ((F.col("prob") >= 0.5) != (F.col("label") == 1))})
     n = d.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share_flagged).cast("int")).alias("k"))
     d = d.crossJoin(F.broadcast(n))
-    a = F.row_number().over(Window.orderBy("learned", "case_id")) <= F.col("k")
-    b = F.row_number().over(Window.orderBy("physics", "case_id")) <= F.col("k")
-    d = d.select("wrong", "learned", "physics", a.alias("a"), b.alias("b"))
+    d = global_rank(global_rank(d, "learned", "case_id", "ra"), "physics", "case_id", "rb")
+    d = d.select("wrong", "learned", "physics", (F.col("ra") <= F.col("k")).alias("a"), (F.col("rb") <= F.col("k")).alias("b"))
     A, B, w = F.col("a"), F.col("b"), F.col("wrong")
     return d.agg(ratio(F.count_if(A & B), F.count_if(A | B)).alias("jaccard"), F.corr("learned", "physics").alias("pearson"), F.count_if(w).alias("errors"), F.count_if(w & A).alias("by_learned"), F.count_if(w & B).alias("by_physics"), F.count_if(w & (A | B)).alias("by_either"), F.count_if(w & A & B).alias("by_both"))
 

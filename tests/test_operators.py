@@ -188,3 +188,12 @@ def test_sources(spark, tmp_path):
         (tmp_path / "img" / p).write_bytes(b"x")
     got = tables.scan_directory(spark, str(tmp_path / "img"), {"tb": 1, "normal": 0}).collect()
     assert sorted(r.label for r in got) == [-1, 0, 1]
+
+
+def test_global_rank_is_exact(spark):
+    from assayer.operators.ranking import global_rank
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice([0.0, 1.5, rng.random()])) for i in range(2000)]
+    got = {r.i: r.r for r in global_rank(spark.createDataFrame(rows, "i long, x double").repartition(5), "x", "i", "r").collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda t: (t[1], t[0])), 1)}
