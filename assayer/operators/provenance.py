@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from assayer.functions.scalars import clip
 
-# The known clinics' numbers; anything else is 5.
-CLINICS = {"montgomery": 0, "shenzhen": 1, "niaid": 2, "rsna": 3, "tbx11k": 4}
+# The known clinics by number; anything else gets the number after the last.
+CLINICS = {"montgomery": 0, "shenzhen": 1, "niaid": 2, "rsna": 3, "belarus": 4}
 UNKNOWN = 5
-SOURCES = (("mcucxr", "montgomery"), ("chncxr", "shenzhen"), ("rsna", "rsna"), ("tbx11k", "tbx11k"), ("niaid", "niaid"))
+# Fixed values: (clinic, how its files' names begin, what its paths hold), in the order in which they are tried.
+SOURCES = (("montgomery", "mcucxr", ("montgomery",)), ("shenzhen", "chncxr", ("shenzhen", "china")), ("niaid", None, ("niaid", "tbportal")), ("rsna", None, ("rsna",)), ("belarus", None, ("belarus",)))
 
 
 def clinic_index(clinic: Column) -> Column:
@@ -23,11 +24,16 @@ def uncertainty_target(severity: Column) -> Column:
 
 
 def clinic_of_path(path: Column) -> Column:
-    """The first known mark in the lower-cased path names the clinic."""
-    out = None
-    for mark, clinic in SOURCES:
-        c = F.lower(path).contains(mark)
-        out = F.when(c, clinic) if out is None else out.when(c, clinic)
+    """The first source whose mark begins the file's name or lies in the path, in any case."""
+    low = F.lower(path)
+    name = F.element_at(F.split(low, "/"), -1)
+    out = F
+    for clinic, start, parts in SOURCES:
+        marks = [low.contains(x) for x in parts] + ([name.startswith(start)] if start else [])
+        fits = marks[0]
+        for m in marks[1:]:
+            fits = fits | m
+        out = out.when(fits, clinic)
     return out.otherwise("unknown")
 
 

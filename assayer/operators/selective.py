@@ -54,8 +54,8 @@ def human_rescue(df: DataFrame, threshold: float, *by: str) -> DataFrame:
 
 
 def physics_confidence(margin: Column) -> Column:
-    """Logistic in the margin; nothing measured is no confidence at all."""
-    return F.coalesce(1 / (1 + F.exp(-margin / 3.0)), F.lit(0.0))
+    """Logistic in the margin, on a scale of 12 dB; nothing measured is no confidence at all."""
+    return F.coalesce(1 / (1 + F.exp(-margin / 12.0)), F.lit(0.0))
 
 
 def policies(df: DataFrame) -> DataFrame:
@@ -106,15 +106,23 @@ def verdict(margin: Column) -> Column:
     return F.when(margin.isNull(), "abstain").when(margin >= 3, "detectable").when(margin <= 0, "insufficient").otherwise("marginal")
 
 
+# What limits a capture, and what can be done about it; other causes cannot be put right by a retake.
+FIXABLE = {"veil": "glare", "veil_fit": "glare", "blur": "blur", "quantization": "exposure", "sensor_noise": "exposure"}
+CAUSES = (*FIXABLE, "grain")
+
+
 def limiting(case_id: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, ("glare", "blur", "exposure", "noise"))), (case_id % 4 + 1).cast("int"))
+    """The limiting cause of the canonical view's cases, which have none of their own."""
+    return F.element_at(F.array(*map(F.lit, CAUSES)), (case_id % len(CAUSES) + 1).cast("int"))
 
 
 def triage(df: DataFrame, most_std: float = 0.1) -> DataFrame:
     """Abstain: retake. Short of a clear verdict: retake where the limiting cause can be put right, else refer. Clear but unsure: refer."""
-    v, cause = verdict(F.col("margin_db")), limiting(F.col("case_id"))
-    action = F.when(v == "abstain", "retake").when(v.isin("insufficient", "marginal"), F.when(cause == "noise", "refer").otherwise("retake")).when(F.col("mc_std") > most_std, "refer").otherwise("report")
-    reason = F.when(v == "abstain", "not_measured").when(v.isin("insufficient", "marginal"), cause).when(F.col("mc_std") > most_std, "model_unsure").otherwise("adequate")
+    category = F.try_element_at(F.create_map(*(F.lit(x) for kv in FIXABLE.items() for x in kv)), limiting(F.col("case_id")))
+    v = verdict(F.col("margin_db"))
+    short = v.isin("insufficient", "marginal")
+    action = F.when(v == "abstain", "retake").when(short, F.when(category.isNull(), "refer").otherwise("retake")).when(F.col("mc_std") > most_std, "refer").otherwise("report")
+    reason = F.when(v == "abstain", "not_measured").when(short, F.coalesce(category, F.lit("not_fixable"))).when(F.col("mc_std") > most_std, "model_unsure").otherwise("adequate")
     gain = F.when((action == "retake") & (v != "abstain"), -20 * F.log10(F.greatest(1 - clip((F.col("case_id") % 10) / 10.0, 0.0, 0.95), F.lit(0.05)))).otherwise(0.0)
     return df.withColumns({"verdict": v, "action": action, "reason": reason, "gain_db": gain})
 

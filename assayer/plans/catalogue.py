@@ -214,7 +214,7 @@ def severity_response(v: Views) -> DataFrame:
     return rounded(selective.severity_response(v.predictions))
 
 
-LEARNED, PHYSICS = "1 - least(1, greatest(0, mc_std / 0.2::double))", "coalesce(1 / (1 + exp(-margin_db / 3.0::double)), 0)"
+LEARNED, PHYSICS = "1 - least(1, greatest(0, mc_std / 0.2::double))", "coalesce(1 / (1 + exp(-margin_db / 12.0::double)), 0)"
 
 
 @query(f"""with p as (select *, 'learned' as policy, {LEARNED} as conf from predictions union all select *, 'physics', {PHYSICS} from predictions
@@ -233,10 +233,11 @@ def complementarity(v: Views) -> DataFrame:
 
 
 VERDICT = "case when margin_db is null then 'abstain' when margin_db >= 3 then 'detectable' when margin_db <= 0 then 'insufficient' else 'marginal' end"
-CAUSE = "['glare', 'blur', 'exposure', 'noise'][case_id % 4 + 1]"
-TRIAGE = f"""v as (select *, {VERDICT} as verdict, {CAUSE} as cause from predictions),
-triage as (select *, case when verdict = 'abstain' then 'retake' when verdict in ('insufficient', 'marginal') then (case when cause = 'noise' then 'refer' else 'retake' end) when mc_std > 0.1 then 'refer' else 'report' end as action,
-  case when verdict = 'abstain' then 'not_measured' when verdict in ('insufficient', 'marginal') then cause when mc_std > 0.1 then 'model_unsure' else 'adequate' end as reason from v),
+CAUSE = "['veil', 'veil_fit', 'blur', 'quantization', 'sensor_noise', 'grain'][case_id % 6 + 1]"
+CATEGORY = "['glare', 'glare', 'blur', 'exposure', 'exposure', null][case_id % 6 + 1]"
+TRIAGE = f"""v as (select *, {VERDICT} as verdict, {CATEGORY} as category from predictions),
+triage as (select *, case when verdict = 'abstain' then 'retake' when verdict in ('insufficient', 'marginal') then (case when category is null then 'refer' else 'retake' end) when mc_std > 0.1 then 'refer' else 'report' end as action,
+  case when verdict = 'abstain' then 'not_measured' when verdict in ('insufficient', 'marginal') then coalesce(category, 'not_fixable') when mc_std > 0.1 then 'model_unsure' else 'adequate' end as reason from v),
 t as (select *, case when action = 'retake' and verdict <> 'abstain' then -20 * log10(greatest(1 - least(0.95::double, greatest(0, (case_id % 10) / 10.0::double)), 0.05::double)) else 0.0::double end as gain_db from triage)"""
 
 
@@ -310,11 +311,11 @@ def stratified_fraction_sample(v: Views) -> DataFrame:
     return provenance.stratified_sample(v.manifest, 0.25, "clinic", "label")
 
 
-@query("""select path, case when lower(path) like '%mcucxr%' then 'montgomery' when lower(path) like '%chncxr%' then 'shenzhen' when lower(path) like '%rsna%' then 'rsna' when lower(path) like '%tbx11k%' then 'tbx11k' when lower(path) like '%niaid%' then 'niaid' else 'unknown' end as clinic,
+@query("""select path, case when regexp_matches(lower(path), '(^|/)mcucxr[^/]*$|montgomery') then 'montgomery' when regexp_matches(lower(path), '(^|/)chncxr[^/]*$|shenzhen|china') then 'shenzhen' when regexp_matches(lower(path), 'niaid|tbportal') then 'niaid' when lower(path) like '%rsna%' then 'rsna' when lower(path) like '%belarus%' then 'belarus' else 'unknown' end as clinic,
   case when label < 0 then (case when path like '%\\_1.png' escape '\\' then 1 when path like '%\\_0.png' escape '\\' then 0 else label end) else label end as label
-from (select (['x/RSNA/a', 'MCUCXR_000', 'CHNCXR_', 'data/'])[doc_id % 4 + 1] || doc_id || '_' || (doc_id % 3) || '.png' as path, -1 as label from documents)""")
+from (select (['x/RSNA/a', 'MCUCXR_000', 'China/CHNCXR_', 'mcucxr/Belarus_'])[doc_id % 4 + 1] || doc_id || '_' || (doc_id % 3) || '.png' as path, -1 as label from documents)""")
 def provenance_rules(v: Views) -> DataFrame:
-    d = v.table("documents").select(F.expr("concat(array('x/RSNA/a', 'MCUCXR_000', 'CHNCXR_', 'data/')[doc_id % 4], doc_id, '_', doc_id % 3, '.png') as path"), F.lit(-1).alias("label"))
+    d = v.table("documents").select(F.expr("concat(array('x/RSNA/a', 'MCUCXR_000', 'China/CHNCXR_', 'mcucxr/Belarus_')[doc_id % 4], doc_id, '_', doc_id % 3, '.png') as path"), F.lit(-1).alias("label"))
     return d.select("path", provenance.clinic_of_path(F.col("path")).alias("clinic"), provenance.label_of_name(F.col("path"), F.col("label")).alias("label"))
 
 
@@ -684,3 +685,42 @@ def degrade_kernel(v: Views) -> DataFrame:
     from assayer.operators.kernels import degrade
 
     return degrade(v.images, 0.5)
+
+
+# Contrasts, alignment and methods.
+
+
+@query(f"""with f as (select id as case_id, cast(id % 20 + 1 as double) as size_mm, 0.8::double * (id % 5 + 1) / 5 as delta_rho from images)
+select case_id, {R('2.0::double * 0.67::double / ln(10) * 0.19::double * delta_rho * (size_mm / 10)')} as delta_d,
+  {R('sqrt(pow(1.2::double / sqrt(12) / 2.0, 2) + pow(0.33::double / sqrt(12) / 0.67, 2) + pow(0.058::double / sqrt(12) / 0.19, 2) + 0.01::double + pow(0.4::double, 2)) * 2.0::double * 0.67::double / ln(10) * 0.19::double * delta_rho * (size_mm / 10)')} as sigma from f""")
+def finding_contrast(v: Views) -> DataFrame:
+    from assayer.operators.physics import slab_contrast, slab_contrast_sigma
+
+    d = v.images.select(F.col("id").alias("case_id"), F.expr("cast(id % 20 + 1 as double) as size_mm"), F.expr("0.8D * (id % 5 + 1) / 5 as delta_rho"))
+    rho, size = F.col("delta_rho"), F.col("size_mm")
+    return rounded(d.select("case_id", slab_contrast(rho, size).alias("delta_d"), slab_contrast_sigma(rho, rho * 0.1, size, size * 0.4).alias("sigma")))
+
+
+@query(f"""with x as (select clinic, id, i, px[i]::double as x from images, range(1, 9) t(i)),
+m as (select clinic, i, avg(x) as m from x group by all),
+c as (select a.clinic, a.i, b.i as j, covar_samp(a.x, b.x) as c from x a join x b using (clinic, id) group by all),
+mt as (select a.clinic as a, b.clinic as b, sum((a.m - b.m) * (a.m - b.m)) as t from m a join m b on a.i = b.i and a.clinic < b.clinic group by all),
+ct as (select a.clinic as a, b.clinic as b, sum((a.c - b.c) * (a.c - b.c)) / (4 * 64) as t from c a join c b on a.i = b.i and a.j = b.j and a.clinic < b.clinic group by all)
+select a as clinic_a, b as clinic_b, {R('mt.t + ct.t')} as distance from mt join ct using (a, b)""")
+def coral_distance(v: Views) -> DataFrame:
+    from assayer.operators.physics import coral
+
+    return rounded(coral(v.images.select("id", "clinic", F.slice("px", 1, 8).alias("x")), 8))
+
+
+METHODS = "m as (select case_id, label, prob, unnest([{'method': 'max_prob', 'conf': greatest(prob, 1 - prob)}, {'method': 'mc_dropout', 'conf': 1 - mc_std / 0.2::double}], recursive := true) from predictions)"
+
+
+@query(f"""with {METHODS}, cuts as (select method, count(*) as total, unnest(list_distinct(quantile_cont(conf, [{', '.join(str(q) for q in selective.GRID)}]))) as threshold from m group by method),
+curve as (select method, threshold, count(*) / any_value(total) as coverage, avg({RIGHT}::double) as accuracy from cuts join m using (method) where conf >= threshold - 1e-12 group by method, threshold),
+s as (select method, (coverage - lag(coverage) over w) * ((1 - accuracy) + (1 - lag(accuracy) over w)) / 2 as step from curve window w as (partition by method order by coverage, threshold desc))
+select method, {R('sum(step)')} as aurc from s group by method""")
+def aurc_by_method(v: Views) -> DataFrame:
+    each = F.array(F.struct(F.lit("max_prob").alias("method"), F.greatest("prob", 1 - F.col("prob")).alias("conf")), F.struct(F.lit("mc_dropout").alias("method"), (1 - F.col("mc_std") / 0.2).alias("conf")))
+    d = v.predictions.select("case_id", "label", "prob", F.inline(each))
+    return rounded(selective.aurc(selective.risk_coverage(d, "conf", "method"), "method"))
