@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,13 @@ RATING_SCHEMA = "display_order int, case_id string, refer_1_to_5 int, adequacy s
 FINDING_SCHEMA = "key string, name string, delta_d double, delta_d_sigma double, size_mm double, size_sigma_mm double, note string, source string"
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers started from now on look for this package where the driver found it, if it is there for them."""
+    paths, root = spark.sparkContext.environment.get("PYTHONPATH", ""), str(Path(__file__).resolve().parents[2])
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
