@@ -9,16 +9,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.sources.tables import importable
+
 #: A side of a join is broadcast up to so many rows of at most some tens of bytes each; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 _own_folder: list[str] = []
 
 
-def session() -> SparkSession:
-    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -97,7 +95,8 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows in an Arrow batch from now on: long texts must fit a Python worker's memory."""
+    """Rows in an Arrow batch from now on: long texts must fit a Python worker's memory. Workers must find this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
