@@ -208,7 +208,7 @@ def pack(docs: DataFrame, path: str = TOKENIZER, window: int = WINDOW, most_open
             break
         level += 1
         groups = 1 + left.agg(F.sum(F.octet_length("left"))).first()[0] // (4 * window * GROUP)
-        poured = left.select(*_SCHEMA.names).repartition(groups).mapInArrow(*_poured(level, window, groups == 1))
+        poured = left.select(*_SCHEMA.names).repartition(groups).sortWithinPartitions("doc_id", "start").mapInArrow(*_poured(level, window, groups == 1))
         parts.append(Cut(poured, "leftovers").df)
         if groups == 1:
             break
