@@ -29,4 +29,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from assayer.plans import catalogue  # noqa: E402, F401  fills the tables above
+from assayer.plans import catalogue, imaging  # noqa: E402, F401  fills the tables above
