@@ -232,6 +232,24 @@ def sheet_scores(ids: DataFrame, side: int = 256) -> DataFrame:
     return mapped(spread(ids.select("id", "severity"), "id"), one, schema)
 
 
+def sheet_readings(ids: DataFrame, side: int = 256) -> DataFrame:
+    """(id, severity) to (id, region, density): each flat of a photographed sheet, read by the sheet's own wedge."""
+    from assayer.imaging import film, inverse, targets
+
+    s = targets.sheet(side)
+
+    def one(row: dict) -> list[dict]:
+        rng = seeded("sheet", int(row["id"]), float(row["severity"]))
+        shot, _ = film.photograph(s.film, film.Capture.drawn(row["severity"], rng), rng)
+        flat = targets.rectified(shot / 255, inverse.fiducials(shot / 255).quad, s)
+        if flat is None:
+            return []
+        value, d = targets.transfer(flat, s)
+        return [_plain({"id": row["id"], "region": r.key, "density": float(np.interp(np.median(r.core(flat)), value, d))}) for r in s.of("flat")]
+
+    return mapped(spread(ids.select("id", "severity"), "id"), one, "id long, region string, density double")
+
+
 def finding_dimension(spark) -> DataFrame:
     from assayer.imaging.findings import FINDINGS
 
