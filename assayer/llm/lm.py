@@ -1,85 +1,131 @@
 """Cross-entropy difference: a target and a background n-gram model over one vocabulary score each document.
 
-Both models are word bigrams interpolated with unigrams and with the uniform distribution, with the same weights. Words
-and pairs are hashed into tables of fixed size, which bounds what is sent to executors at any size of the corpus; the
-counts in them are those of every document. The background is all documents, the target those named by the caller.
+Both models are word bigrams interpolated with unigrams and with the uniform distribution over all words of the corpus,
+with the same weights; each distribution sums to one. Words and pairs are told apart by 64-bit hashes and counted over
+every document in tables that grow with the corpus. Documents are dealt into groups of about GROUP bytes. A group's
+n-grams are counted within it and shuffled by ranges of their hashes, where they are summed over all groups; each group
+gets back the sums of its own n-grams only. So a frequent n-gram is one row a group, and nothing of the model is collected.
 
 A text without words, or a null one, has 0 tokens and null scores. Repeated rows are counted and scored each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import arrow_batches, small
+from assayer.llm.common import Cut, arrow_batches, small
 from assayer.llm.textwords import mix, slices
 
-WORD_BITS, PAIR_BITS = 18, 21
 #: Shares of the word's and the uniform probability; the pair's takes a part of both, which grows with the first word's count.
 WEIGHTS = (0.9, 0.1)
 PAIR_SHARE, PAIR_PRIOR = 0.6, 200.0
-_WORDS, _PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
-
-
-def cells(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word's cell of each token, and the cell of it and the word before (within its text; -1 for a text's first)."""
-    word = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pair = np.full(len(h), -1, np.int64)
-    pair[1:] = (mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    pair[at[:-1][at[:-1] < len(h)]] = -1
-    return word, pair
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, _WORDS + _PAIRS), np.int64)
-    for batch in batches:
-        target = np.array(batch.column(1).to_pylist(), bool)
-        for first, last, h, at in slices(batch):
-            word, pair = cells(h, at)
-            mine = np.repeat(target[first:last], np.diff(at))
-            for row, own in ((0, slice(None)), (1, mine)):
-                counts[row, :_WORDS] += np.bincount(word[own], minlength=_WORDS)
-                p = pair[own]
-                counts[row, _WORDS:] += np.bincount(p[p >= 0], minlength=_PAIRS)
-    there = np.flatnonzero(counts[0])
-    for i in range(0, len(there), 50_000):
-        own = there[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[0, own]), pa.array(counts[1, own])], names=["cell", "background", "target"])
-
-
-def _scored(model):
+#: Bytes of text of a group, and of the corpus for each range of hashes (RANGES at least).
+GROUP, RANGE, RANGES = 1 << 22, 1 << 25, 1 << 8
+
+
+def _tokens(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, and the texts' bounds."""
+    found, bounds, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for batch in texts.to_batches():
+        for _, _, h, at in slices(batch):
+            found.append(h)
+            bounds.append(at[1:] + n)
+            n += len(h)
+    return np.concatenate(found), np.concatenate(bounds)
+
+
+def _grams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted words and each token's place there, the sorted pairs and each pair's place, and the pairs' second tokens."""
+    inner = np.ones(len(h), bool)
+    inner[at[:-1][at[:-1] < len(h)]] = False
+    second = np.flatnonzero(inner)
+    words, word = np.unique(h, return_inverse=True)
+    pairs, pair = np.unique(mix(h[second - 1] * np.uint64(0x9E3779B97F4A7C15) + h[second]), return_inverse=True)
+    return words, word, pairs, pair, second
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Rows of counts by the place of their bytes, so that the many zeros lie together and compress."""
+    return np.ascontiguousarray(counts).view(np.uint8).reshape(-1, counts.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: type, rows: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(rows, -1)
+
+
+def _counted(bits: int):
+    bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def counted(docs: pa.Table) -> pa.Table:
+        """Counts of a group: of its words, as words and as a pair's first, and of its pairs; each of all texts and of the target's."""
+        h, at = _tokens(docs)
+        words, word, pairs, pair, second = _grams(h, at)
+        mine = np.repeat(np.array(docs.column("target").to_pylist(), bool), np.diff(at))
+        before = word[second - 1]
+        tables = (
+            (words, (word, word[mine], before, before[mine[second]])),
+            (pairs, (pair, pair[mine[second]])),
+        )
+        ranges, keys, counts = [], [], []
+        for k, (found, places) in enumerate(tables):
+            n = np.stack([np.bincount(x, minlength=len(found)) for x in places]).astype(np.int32)
+            edges = [*np.searchsorted(found, bounds).tolist(), len(found)]
+            for r in range(1 << bits):
+                if edges[r] < edges[r + 1]:
+                    own = slice(edges[r], edges[r + 1])
+                    ranges.append((k << bits) + r)
+                    keys.append(found[own].tobytes())
+                    counts.append(_packed(n[:, own]))
+        groups = pa.array([docs.column("part")[0].as_py()] * len(ranges), pa.int64())
+        return pa.table({"part": groups, "range": pa.array(ranges, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    return counted, "part long, range int, keys binary, counts binary"
+
+
+def _summed(bits: int):
+    def summed(rows: pa.Table) -> pa.Table:
+        """The sums over all groups, given back to each for its own n-grams; part -1 has the words' totals."""
+        r = rows.column("range")[0].as_py()
+        keys = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
+        counts = np.hstack([_unpacked(x, np.int32, 2 if r >> bits else 4) for x in rows.column("counts").to_pylist()])
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.stack([np.bincount(place, x, len(found)) for x in counts]).astype(np.int64)
+        edges = np.cumsum([0, *map(len, keys)])
+        parts, back = rows.column("part").to_pylist(), [_packed(sums[:, place[a:b]]) for a, b in zip(edges, edges[1:])]
+        totals = [0, 0, 0] if r >> bits else [len(found), int(sums[0].sum()), int(sums[1].sum())]
+        zeros = [0] * len(parts)
+        columns = {"part": [*parts, -1], "range": [r] * (len(parts) + 1), "counts": [*back, b""]} | {name: [*zeros, x] for name, x in zip(("words", "background", "target"), totals)}
+        return pa.table({name: pa.array(x, {"range": pa.int32(), "counts": pa.binary()}.get(name, pa.int64())) for name, x in columns.items()})
+
+    return summed, "part long, range int, counts binary, words long, background long, target long"
+
+
+def _scored(bits: int, vocabulary: int, totals: tuple[int, int]):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ce_target", pa.float64()), ("ce_background", pa.float64()), ("ce_diff", pa.float64())])
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = []
-        for c in model.value:
-            word, pairs = c[:_WORDS].astype(np.float32), c[_WORDS:].astype(np.float32)
-            total = max(float(word.sum(dtype=np.float64)), 1.0)
-            # What chance puts into a pair's cell is taken off.
-            pairs = np.maximum(pairs - pairs.mean(dtype=np.float64), 0).astype(np.float32)
-            sides.append((WEIGHTS[0] * word / total + np.float32(WEIGHTS[1] / _WORDS), word, pairs))
-        for batch in batches:
-            out = []
-            for first, last, h, at in slices(batch):
-                word, pair = cells(h, at)
-                n = np.diff(at)
-                means = []
-                for base, seen, pairs in sides:
-                    p = base[word].astype(np.float64)
-                    inner = np.flatnonzero(pair >= 0)
-                    before = seen[word[inner - 1]]
-                    share = PAIR_SHARE * before / (before + PAIR_PRIOR)
-                    p[inner] = (1 - share) * p[inner] + share * np.minimum(1, pairs[pair[inner]] / np.maximum(before, 1))
-                    sums = np.concatenate([[0.0], np.cumsum(-np.log2(p))])
-                    means.append((sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1))
-                empty = n == 0
-                out.append(pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), *(pa.array(x, mask=empty) for x in (*means, means[0] - means[1]))], schema=schema))
-            yield from out
+    def scored(docs: pa.Table, model: pa.Table) -> pa.Table:
+        h, at = _tokens(docs)
+        words, word, pairs, pair, second = _grams(h, at)
+        blobs = sorted(zip(model.column("range").to_pylist(), model.column("counts").to_pylist()))
+        sums = [np.hstack([np.zeros((rows, 0), np.int64), *(_unpacked(x, np.int64, rows) for r, x in blobs if r >> bits == k)]) for k, rows in ((0, 4), (1, 2))]
+        if sums[0].shape[1] != len(words) or sums[1].shape[1] != len(pairs):
+            raise RuntimeError("the texts of a group changed between counting and scoring")
+        n = np.diff(at)
+        rows = np.repeat(np.arange(len(n)), n)
+        means = []
+        for side in (1, 0):
+            base = WEIGHTS[0] * sums[0][side] / max(totals[side], 1) + WEIGHTS[1] / max(vocabulary, 1)
+            p = base[word]
+            before = sums[0][2 + side][word[second - 1]]
+            share = PAIR_SHARE * before / (before + PAIR_PRIOR)
+            p[second] = (1 - share) * p[second] + share * sums[1][side][pair] / np.maximum(before, 1)
+            means.append(np.bincount(rows, -np.log2(p), len(n)) / np.maximum(n, 1))
+        empty = n == 0
+        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(n), *(pa.array(x, mask=empty) for x in (*means, means[0] - means[1]))], schema=schema)
 
     return scored, "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
 
@@ -89,14 +135,15 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
 
     target_ids (doc_id) names the target's documents; a lower ce_diff is nearer to them.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(RANGES, size // RANGE).bit_length() - 1
+    texts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // GROUP + 1)))
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = texts.join(small(wanted), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = marked.mapInArrow(_counted, "cell int, background long, target long").groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    model = np.zeros((2, _WORDS + _PAIRS), np.int64)
-    found = counted.toArrow()
-    for row, name in enumerate(("target", "background")):
-        model[row, found["cell"].to_numpy()] = found[name].to_numpy()
-    return texts.mapInArrow(*_scored(spark.sparkContext.broadcast(model)))
+    marked = texts.join(small(wanted), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"), "part")
+    counted = marked.groupBy("part").applyInArrow(*_counted(bits))
+    model = Cut(counted.groupBy("range").applyInArrow(*_summed(bits)), "ngrams").df
+    total = model.where("part = -1").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("words", "background", "target"))).first()
+    own = model.where("part >= 0").select("part", "range", "counts")
+    return texts.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(*_scored(bits, total[0], (total[1], total[2])))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -314,3 +315,39 @@ def test_pipeline_stages(spark, tmp_path):
 def test_every_query_is_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert Path(corpus_pipeline.__file__).parent == Path(queries.__file__).parents[2]
+
+
+def brute_cross_entropy(texts, chosen):
+    """Bits a token of each text by bigram models counted in plain dictionaries."""
+    tokens = [re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    vocabulary, out = len({w for t in tokens for w in t}), []
+    for own in ([tokens[i] for i in chosen], tokens):
+        word, first, pair = Counter(w for t in own for w in t), Counter(w for t in own for w in t[:-1]), Counter(x for t in own for x in zip(t, t[1:]))
+        total = max(sum(word.values()), 1)
+
+        def bits(t):
+            sums = 0.0
+            for k, w in enumerate(t):
+                p = lm.WEIGHTS[0] * word[w] / total + lm.WEIGHTS[1] / vocabulary
+                if k:
+                    n = first[t[k - 1]]
+                    share = lm.PAIR_SHARE * n / (n + lm.PAIR_PRIOR)
+                    p = (1 - share) * p + share * pair[t[k - 1], w] / max(n, 1)
+                sums -= math.log2(p)
+            return sums / len(t) if t else None
+
+        out.append([bits(t) for t in tokens])
+    return list(zip(*out))
+
+
+@pytest.mark.parametrize("group", [1 << 22, 200])
+def test_cross_entropy_counts_true_ngrams(spark, monkeypatch, group):
+    """Whatever the groups and ranges, each document gets the counts of the whole corpus."""
+    monkeypatch.setattr(lm, "GROUP", group, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) if rng.random() < 0.7 else f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 120))) for _ in range(60)] + odd_texts()
+    texts += texts[:5]
+    d = docs(spark, texts)
+    rows = {r.doc_id: r for r in lm.cross_entropy_difference(d, d.where("doc_id % 3 = 0")).collect()}
+    for i, (target, background) in enumerate(brute_cross_entropy(texts, range(0, len(texts), 3))):
+        assert rows[i].ce_target == pytest.approx(target) and rows[i].ce_background == pytest.approx(background)
