@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,33 +35,45 @@ def design_power(grid: DataFrame, simulations: int = 200) -> DataFrame:
 
 
 def balanced_assignment(edges: list[tuple[str, str]], per_cell: int) -> dict[str, str]:
-    """Each film to at most one of its cells, cells filled level by level along augmenting paths; for designs of some thousand edges."""
+    """Each film to at most one of its cells, cells filled level by level along augmenting paths."""
     cells: dict[str, list[str]] = {}
     for film, cell in sorted(edges):
         cells.setdefault(cell, []).append(film)
     owner: dict[str, str] = {}
 
-    def place(cell: str, seen: set[str]) -> bool:
-        for film in cells[cell]:
-            if film not in seen:
-                seen.add(film)
-                if film not in owner or place(owner[film], seen):
-                    owner[film] = cell
-                    return True
-        return False
+    def place(cell: str) -> None:
+        seen: set[str] = set()
+        stack, path = [(cell, iter(cells[cell]))], []
+        while stack:
+            film = next((x for x in stack[-1][1] if x not in seen), None)
+            if film is None:
+                stack.pop()
+                del path[-1:]
+                continue
+            seen.add(film)
+            path.append(film)
+            if film not in owner:
+                owner.update((x, c) for x, (c, _) in zip(path, stack))
+                return
+            stack.append((owner[film], iter(cells[owner[film]])))
 
     for _ in range(per_cell):
         for cell in sorted(cells):
-            place(cell, set())
+            place(cell)
     return owner
 
 
-def assigned(df: DataFrame, film: str, cell: str, per_cell: int, most_edges: int = 20_000) -> DataFrame:
-    """The drawn design of (film, cell); a study's edges are few, and more than most_edges are an error."""
-    edges = df.select(film, cell).distinct().limit(most_edges + 1).collect()
-    if len(edges) > most_edges:
-        raise ValueError(f"more than {most_edges} candidate rows; draw within strata first")
-    drawn = sorted(balanced_assignment([tuple(map(str, r)) for r in edges], per_cell).items())
+def assigned(df: DataFrame, film: str, cell: str, per_cell: int) -> DataFrame:
+    """The drawn design of (film, cell) over all rows; what is collected is bounded by the number of cells.
+
+    At most cells * per_cell films are drawn, so among a cell's first films of that number one is free whenever the
+    search asks for the next: it never reads beyond them, and the design is that of all edges.
+    """
+    edges = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in (film, cell))).distinct()
+    most = edges.select(cell).distinct().count() * per_cell
+    rank = F.row_number().over(Window.partitionBy(cell).orderBy(film))
+    first = edges.withColumn("_rank", rank).where(F.col("_rank") <= most).select(film, cell).collect()
+    drawn = sorted(balanced_assignment([tuple(r) for r in first], per_cell).items())
     return df.sparkSession.createDataFrame(drawn, f"{film} string, {cell} string")
 
 

@@ -662,7 +662,7 @@ def design_power(v: Views) -> DataFrame:
 def balanced_assignment(v: Views) -> DataFrame:
     from assayer.operators.montecarlo import assigned
 
-    return assigned(v.predictions.where("film < 200").select("film", F.concat_ws("|", "clinic", "severity").alias("cell")), "film", "cell", 5)
+    return assigned(v.predictions.select("film", F.concat_ws("|", "clinic", "severity").alias("cell")), "film", "cell", 5)
 
 
 @query()

@@ -197,3 +197,22 @@ def test_global_rank_is_exact(spark):
     rows = [(i, rng.choice([0.0, 1.5, rng.random()])) for i in range(2000)]
     got = {r.i: r.r for r in global_rank(spark.createDataFrame(rows, "i long, x double").repartition(5), "x", "i", "r").collect()}
     assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda t: (t[1], t[0])), 1)}
+
+
+def test_assignment_reads_all_films(spark):
+    """The design of all edges, more than a driver is asked to hold, by the search over all of them."""
+    cells = {f"c{j}": [f"f{i}" for i in range(9_000) if (i + j) % 3 and (j > 1 or i % 4_000 == 1)] for j in range(6)}
+    edges = [(film, c) for c, films in cells.items() for film in films]
+    assert len(edges) > 20_000
+    df = spark.createDataFrame(edges, "film string, cell string")
+    drawn = [tuple(r) for r in montecarlo.assigned(df, "film", "cell", 4).collect()]
+    assert drawn == sorted(montecarlo.balanced_assignment(edges, 4).items())
+
+
+def test_assignment_query_reads_all_films(spark):
+    from types import SimpleNamespace
+
+    from assayer.registry import catalogue
+
+    rows = spark.createDataFrame([(i, f"c{i % 2}", 0.25 * (i % 5)) for i in range(200, 300)], "film long, clinic string, severity double")
+    assert catalogue.balanced_assignment(SimpleNamespace(predictions=rows)).count() == 50
