@@ -1,9 +1,11 @@
 """Main text of web pages by consensus paths: pages score their containers, hosts vote on paths, pages are read again by the winners.
 
-A page's candidate is the innermost element that holds most of its plain running text, apart from what its tag or class
-marks as furniture. Its path, tags and classes from the root with digits taken out, gets the page's vote; votes are
-counted by host in Spark. A page gives the text of all its elements on its host's winning path, or of its own candidate
-where it has none of them.
+A page's candidate grows from the innermost element that holds most of its plain running text, apart from what its tag or
+class marks as furniture: to the outermost article or main around it, or else to the outermost element that adds more plain
+text than links at each step. Its path, tags and classes from the root with digits taken out, gets the page's vote; votes
+are counted by host in Spark. The path with most votes wins, and so do all with a good share of them (VOTES), for a host may
+have several templates. A page gives the text of all its elements on its own candidate's path if that is a winner, else on
+the first winning path that it has, or of its own candidate where it has none of them.
 
 A null or empty html gives empty text. A page without a host votes with all others that have none. Ties go to the path
 with more text, then to the one that sorts last. Repeated rows vote each and give the same text.
@@ -23,6 +25,8 @@ from assayer.llm.common import Cut, arrow_batches, small
 
 #: Share of a page's running text that its container holds at least.
 SHARE = 0.85
+#: Share of a host's votes, and votes, with which a path wins beside the first.
+VOTES, LEAST = 0.05, 2
 
 # Fixed values of HTML: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +36,8 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("dd dt head html body li option optgroup summary legend tbody td tfoot th thead tr".split())
 FURNITURE = frozenset("nav footer aside form script style noscript iframe template button select option textarea head title svg math menu dialog search object canvas audio video".split())
+#: Blocks that are part of a text, and no containers of it.
+PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 tr thead tbody tfoot ul ol dl dt dd table td th caption blockquote pre figure figcaption".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}}
 #: Words of class and id that mark furniture, and roles.
@@ -127,7 +133,7 @@ def parse(text: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
 
 
 def candidate(nodes: list[Node], runs: list[tuple[Node, str, bool]]) -> tuple[str, int]:
-    """The path of the innermost element that holds most of the running text, and its size; links do not count."""
+    """The path of the element that holds the main text, and its size; links do not count."""
     for node, run, _ in runs:
         n = len("".join(run.split()))
         if n:
@@ -142,8 +148,19 @@ def candidate(nodes: list[Node], runs: list[tuple[Node, str, bool]]) -> tuple[st
     whole = nodes[0].plain - nodes[0].linked
     best = nodes[0]
     for node in nodes:  # parents come first
-        if node.tag in BLOCK and node.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "thead", "tbody") and node.plain - node.linked >= SHARE * max(whole, 1):
+        if node.tag in BLOCK and node.tag not in PARTS and node.plain - node.linked >= SHARE * max(whole, 1):
             best = node
+    around, outer = best, None
+    while around is not None:
+        outer = around if around.tag in ("article", "main") else outer
+        around = around.parent
+    if outer is not None:
+        return outer.path, outer.plain
+    around = best.parent
+    while around is not None and around.linked - best.linked <= around.plain - best.plain:
+        # What adds nothing is no better.
+        best = around if around.plain > best.plain else best
+        around = around.parent
     return best.path, best.plain
 
 
@@ -189,10 +206,11 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             nodes, runs = parse(page or "")
-            text = extracted(runs, path) if path is not None else None
-            texts.append((extracted(runs, candidate(nodes, runs)[0]) or "") if not text else text)
+            own = candidate(nodes, runs)[0]
+            tried = (extracted(runs, path) for path in ([] if own in (paths or ()) else paths or ()))
+            texts.append(next((x for x in tried if x), None) or extracted(runs, own) or "")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -205,7 +223,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     arrow_batches(pages.sparkSession, 500)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
     votes = rows.select("host", "html").mapInArrow(_voted, "host string, path string, size long")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    won = Cut(counted.groupBy("host").agg(F.max(F.struct("n", "size", "path"))["path"].alias("path")), "paths")
-    joined = rows.join(small(won.df, most=200_000), "host", "left").select("page_id", "url", "html", "path")
+    counted = Cut(votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "votes").df
+    vote = F.struct("n", "size", "path")
+    hosts = counted.groupBy("host").agg(F.sum("n").alias("total"), F.max(vote).alias("first"))
+    others = counted.join(small(hosts, most=200_000), "host").where((vote == F.col("first")) | (F.col("n") >= F.greatest(F.lit(LEAST), VOTES * F.col("total"))))
+    won = Cut(others.groupBy("host").agg(F.sort_array(F.collect_list(vote), asc=False)["path"].alias("paths")), "paths")
+    joined = rows.join(small(won.df, most=200_000), "host", "left").select("page_id", "url", "html", "paths")
     return joined.mapInArrow(_read, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

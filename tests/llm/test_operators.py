@@ -351,3 +351,23 @@ def test_cross_entropy_counts_true_ngrams(spark, monkeypatch, group):
     rows = {r.doc_id: r for r in lm.cross_entropy_difference(d, d.where("doc_id % 3 = 0")).collect()}
     for i, (target, background) in enumerate(brute_cross_entropy(texts, range(0, len(texts), 3))):
         assert rows[i].ce_target == pytest.approx(target) and rows[i].ce_background == pytest.approx(background)
+
+
+def test_html_keeps_whole_articles(spark):
+    """Title, lead and end around a dense element, prose around lists, tables and quotes, and a host's second template."""
+    words = [f"w{i}" for i in range(200)]
+    long, item = " ".join(words), "".join(f"<li>{w} {w}</li>" for w in words)
+    nav = "<div>" + "<a href='/'>some link of the site</a>" * 9 + "</div>"
+    bodies = {
+        "a": (f"<article><h1>Title</h1><p>lead</p><div class=body>{long}</div><section>end</section></article>", f"Title\nlead\n{long}\nend"),
+        "b": (f"<div class=page><h1>Title</h1><p>lead</p><div class=body><div class=x>{long}</div></div><section>end</section></div>{nav}", f"Title\nlead\n{long}\nend"),
+        "c": (f"<div class=page><p>before</p><ul>{item}</ul><p>after</p></div>", "before\n" + "\n".join(f"{w} {w}" for w in words) + "\nafter"),
+        "d": (f"<div class=page><p>before</p><table><tr><td>{long}</table><p>after</p></div>", f"before\n{long}\nafter"),
+        "e": (f"<div class=page><p>before</p><blockquote>{long}</blockquote><p>after</p></div>", f"before\n{long}\nafter"),
+    }
+    pages = [(f"http://{k}.x/{i}", f"<html><body>{page}</body></html>", text) for k, (page, text) in bodies.items() for i in range(3)]
+    pages += [(f"http://two.x/{i}", f"<html><body><div class=post>{long}</div></body></html>", long) for i in range(6)]
+    pages += [(f"http://two.x/o{i}", f"<html><body><div class=post>short</div><main>{long} {long}</main></body></html>", f"{long} {long}") for i in range(3)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string, want string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert [i for i, p in enumerate(pages) if got[i] != p[2]] == []
