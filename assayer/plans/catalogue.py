@@ -713,6 +713,14 @@ def coral_distance(v: Views) -> DataFrame:
     return rounded(coral(v.images.select("id", "clinic", F.slice("px", 1, 8).alias("x")), 8))
 
 
+@query()
+def coral_distance_whole(v: Views) -> DataFrame:
+    """Over all values of a vector; coral_distance reads the first eight, as its SQL does."""
+    from assayer.operators.physics import coral_whole
+
+    return rounded(coral_whole(v.images.select("clinic", F.col("px").alias("x"))))
+
+
 METHODS = "m as (select case_id, label, prob, unnest([{'method': 'max_prob', 'conf': greatest(prob, 1 - prob)}, {'method': 'mc_dropout', 'conf': 1 - mc_std / 0.2::double}], recursive := true) from predictions)"
 
 
