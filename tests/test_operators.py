@@ -240,3 +240,15 @@ def test_coral_reads_whole_vectors(spark):
 
     rows = [("ab"[i % 2], [float(i % 3)] * 63 + [float(i % 2) * 5]) for i in range(12)]
     assert coral_whole(spark.createDataFrame(rows, "clinic string, x array<float>").repartition(3)).first().distance == pytest.approx(25)
+
+
+def test_left_join_drops_no_partner(spark):
+    """A row is unmatched only if its key is in no row of the other table."""
+    from assayer.plans.views import Views
+    from assayer.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    known = {r.doc_id for r in Views(spark, sf).table("labels").collect()}
+    rows = QUERIES["left_join_labels"](spark, sf).collect()
+    assert {r.doc_id for r in rows if r.quality is not None} == known & {r.doc_id for r in rows}
+    assert any(r.quality is None for r in rows)
