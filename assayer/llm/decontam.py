@@ -2,7 +2,8 @@
 
 An item is found in a document where WINDOW aligned words in a row differ in at most SUBSTITUTIONS of them. For each pair
 of differing positions one of the masks lies in the window clear of both, so no such overlap is missed. Items of fewer
-words are found where they stand whole and unchanged.
+words are found where they stand whole, from the caller's `short` words on with at most one word changed: each of three
+masks leaves out a third of the item, so one is clear of the change. Shorter ones must be unchanged.
 
 Null and empty texts, on either side, overlap with nothing. Repeated rows each give their own rows; a null id stays null.
 """
@@ -23,19 +24,34 @@ from assayer.llm.textwords import slices, windows
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Positions that count, of a window's words.
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 7, 9, 10), (0, 1, 4, 5, 6, 8, 9))
+#: Words from which the queries let an item of under WINDOW words have one changed.
+SHORT = 6
 #: Words of benchmark items that are sent to the executors at once; more are taken in further passes.
 BLOCK_WORDS = 400_000
 _FILTER_BITS = 22
 
 
+def masks(n: int, short: int) -> tuple[tuple[int, ...], ...]:
+    """The masks of an item of n words."""
+    if n >= WINDOW:
+        return MASKS
+    if n >= short:
+        return tuple(tuple(k for k in range(n) if k * 3 // n != left) for left in range(3))
+    return (tuple(range(n)),) if n else ()
+
+
+def substitutions(n: int, short: int) -> int:
+    return SUBSTITUTIONS if n >= WINDOW else int(n >= short)
+
+
 class Items:
     """The seeds of a block of items: for each mask the sorted hashes, and the item and position of each."""
 
-    def __init__(self, ids: list, words: list[np.ndarray]):
-        self.ids, self.words = ids, words
+    def __init__(self, ids: list, words: list[np.ndarray], short: int):
+        self.ids, self.words, self.short = ids, words, short
         seeds = defaultdict(list)
         for n, h in enumerate(words):
-            for mask in MASKS if len(h) >= WINDOW else (tuple(range(len(h))),) if len(h) else ():
+            for mask in masks(len(h), short):
                 found = windows(h, mask[-1] + 1, np.array(mask))
                 seeds[mask].append((found, np.full(len(found), n), np.arange(len(found))))
         self.seeds = []
@@ -68,7 +84,7 @@ class Items:
             if len(equal) < size:
                 continue
             sums = np.convolve(equal, np.ones(size, np.int64), "valid")
-            if sums.max() >= size - (SUBSTITUTIONS if len(words) >= WINDOW else 0):
+            if sums.max() >= size - substitutions(len(words), self.short):
                 best[t, n] = max(best.get((t, n), (0, 0, 0)), (int(equal.sum()), int(at[t]) - first, last - first))
         for (t, n), (equal, start, length) in best.items():
             yield t, self.ids[n], -start, length, equal
@@ -102,16 +118,17 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list, list
         yield ids, words
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, short: int = WINDOW) -> DataFrame:
     """Rows for documents (doc_id, text) that hold an item of benchmark (item_id, text): the best overlap of each pair.
 
-    doc_id, item_id, start_word (in the document, from 0), n_words (aligned) and n_equal of them.
+    doc_id, item_id, start_word (in the document, from 0), n_words (aligned) and n_equal of them. Items of `short` words or
+    more may have one word changed; unless given, only those of WINDOW words may have any.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for ids, words in _blocks(benchmark, block_words):
-        found = texts.mapInArrow(*_overlaps(spark.sparkContext.broadcast(Items(ids, words))))
+        found = texts.mapInArrow(*_overlaps(spark.sparkContext.broadcast(Items(ids, words, short))))
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], _overlaps(None)[1]) if out is None else out

@@ -35,7 +35,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, whole or with few words changed."""
-    found = cut(decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    found = cut(decontam.contamination(docs, table(spark, sf_dir, "benchmark"), short=decontam.SHORT).select("doc_id").distinct(), "leaks")
     return docs.join(small(found), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -371,3 +371,18 @@ def test_html_keeps_whole_articles(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string, want string")
     got = {r.page_id: r.text for r in html.main_text(df).collect()}
     assert [i for i, p in enumerate(pages) if got[i] != p[2]] == []
+
+
+@pytest.mark.parametrize("n", [3, 5, 6, 7, 10, 12])
+def test_short_items_with_one_word_changed(spark, tmp_path, n):
+    """In the query: from six words on, an item is found with any one word changed, and with no two."""
+    item = [f"i{k}" for k in range(n)]
+
+    def text(changed):
+        return " ".join(["pre", "fix", *("other" if k in changed else w for k, w in enumerate(item)), "end"])
+
+    changes = [()] + [(k,) for k in range(n)] + [(k, k + 1) for k in range(n - 1)]
+    docs(spark, [text(c) for c in changes]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.doc_id for r in queries.op8_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    assert found == {i for i, c in enumerate(changes) if len(c) <= (n >= 6)}
