@@ -22,21 +22,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one of least id; of repeated rows of one id, one."""
-    found = Cut(neardup.near_duplicates(docs), "classes").df
-    gone = Cut(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone").df
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = Cut(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again").df
+    """Keeps one document of each group of near copies, the one of least id; of repeated rows of one id and text, one.
+
+    Rows without an id count as one document for each text, and rows of one id with several texts as one for each; both come
+    after all other ids.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    mixed = Cut(ids.where("a <> b").select(F.col("doc_id").alias("__mixed")), "mixed").df
+    made = F.lit(1 << 61) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1))
+    node = F.when(F.col("doc_id").isNull() | F.col("__mixed").isNotNull(), made).otherwise(F.col("doc_id").cast("long"))
+    named = docs.join(small(mixed), F.col("doc_id") == F.col("__mixed"), "left").withColumn("__node", node).select(*docs.columns, "__node")
+    found = Cut(neardup.near_duplicates(named.select(F.col("__node").alias("doc_id"), "text")), "classes").df.withColumnRenamed("doc_id", "__node")
+    gone = Cut(found.where("not kept").select("__node").distinct(), "gone").df
+    kept = named.join(small(gone), "__node", "left_anti")
+    again = Cut(found.where("kept").groupBy("__node").count().where("count > 1").select("__node"), "again").df
     if again.isEmpty():
-        return kept
-    once, more = (kept.join(small(again), "doc_id", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
-    return once.unionByName(more.dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    once, more = (kept.join(small(again), "__node", how).select(*docs.columns, "__node") for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.dropDuplicates(["__node"])).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, whole or with few words changed."""
-    found = cut(decontam.contamination(docs, table(spark, sf_dir, "benchmark"), short=decontam.SHORT).select("doc_id").distinct(), "leaks")
-    return docs.join(small(found), "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item, whole or with few words changed; rows are known by their text, whatever their id."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = decontam.contamination(texts, table(spark, sf_dir, "benchmark"), short=decontam.SHORT)
+    found = cut(leaks.select(F.col("doc_id").alias("__text")).distinct(), "leaks")
+    return docs.withColumn("__text", F.xxhash64("text")).join(small(found), "__text", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

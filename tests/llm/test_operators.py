@@ -386,3 +386,17 @@ def test_short_items_with_one_word_changed(spark, tmp_path, n):
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {r.doc_id for r in queries.op8_benchmark_decontamination(spark, str(tmp_path)).collect()}
     assert found == {i for i, c in enumerate(changes) if len(c) <= (n >= 6)}
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    """Copies and leaks go whether rows have ids or not, and rows of one id with different texts are told apart."""
+    rng = random.Random(8)
+    a, b, c, d, item = (prose(60, rng) for _ in range(5))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{a} {item}"
+    rows = [(None, b), (None, b), (7, c), (7, d), (7, d), (None, c)]
+    kept = corpus_pipeline.near_dedup_stage(spark, docs(spark, [t for _, t in rows], [i for i, _ in rows]), str(tmp_path)).collect()
+    assert sorted(r.text for r in kept) == sorted([b, c, d])
+    rows = [(None, leak), (None, b), (7, leak), (7, c), (8, d)]
+    kept = corpus_pipeline.decontamination_stage(spark, docs(spark, [t for _, t in rows], [i for i, _ in rows]), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, b), (7, c), (8, d)])
