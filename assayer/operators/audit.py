@@ -32,7 +32,7 @@ def overlap(pairs: DataFrame, images: DataFrame, tolerance: float = 0.01) -> Dat
     size = images.groupBy(F.col("clinic").alias("clinic_a")).agg(F.count("*").alias("size"))
     g = both.groupBy("clinic_a", "clinic_b").agg(F.count("*").alias("pairs"), F.countDistinct("id_a").alias("n_a"))
     f = F.col("n_a") / F.col("size")
-    return g.join(F.broadcast(size), "clinic_a").select("clinic_a", "clinic_b", "pairs", "n_a", f.alias("fraction"), F.when(F.col("pairs") == 0, "clean").when(f <= tolerance, "suspect").otherwise("overlapping").alias("verdict"))
+    return g.join(size, "clinic_a").select("clinic_a", "clinic_b", "pairs", "n_a", f.alias("fraction"), F.when(F.col("pairs") == 0, "clean").when(f <= tolerance, "suspect").otherwise("overlapping").alias("verdict"))
 
 
 def capture_features(images: DataFrame) -> DataFrame:

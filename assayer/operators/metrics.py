@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import edge_bin, ratio, share
+from assayer.operators.ranking import average_ranks, group_rank
 
 
 def linspace(low: float, high: float, n: int) -> list[float]:
@@ -33,11 +34,6 @@ def rates(c: DataFrame) -> DataFrame:
     )
 
 
-def average_rank(value: str, *by: str) -> Column:
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
-
-
 def roc_auc(df: DataFrame, *by: str, score: str = "prob") -> DataFrame:
     """By ranks of value counts: one row a distinct score is ranked, so that ties and large groups cost little."""
     counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
@@ -94,15 +90,14 @@ def fit_temperature(df: DataFrame, temperatures: list[float], *by: str) -> DataF
 def conformal_quantile(df: DataFrame, alpha: float, *by: str) -> DataFrame:
     """The order statistic ceil((n + 1)(1 - alpha)) of 1 - p(true label); 1 and not attainable beyond n."""
     s = df.withColumn("score", F.when(F.col("label") == 1, 1 - F.col("prob")).otherwise(F.col("prob")))
-    w = Window.partitionBy(*by)
-    ranked = s.withColumns({"rn": F.row_number().over(w.orderBy("score", "case_id")), "n": F.count("*").over(w)})
-    ranked = ranked.withColumn("rank", F.ceil((F.col("n") + 1) * (1 - alpha)))
-    return ranked.groupBy(*by).agg(F.first("n").alias("n_cal"), F.coalesce(F.max(F.when(F.col("rn") == F.col("rank"), F.col("score"))), F.lit(1.0)).alias("q"), (F.first("rank") <= F.first("n")).alias("attainable"))
+    ranked = group_rank(s, list(by), "score", "case_id", "rn", "n")
+    rank = F.ceil((F.col("n") + 1) * (1 - alpha))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n_cal"), F.coalesce(F.max(F.when(F.col("rn") == rank, F.col("score"))), F.lit(1.0)).alias("q"), (F.max(rank) <= F.max("n")).alias("attainable"))
 
 
 def conformal_sets(df: DataFrame, fit: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Which labels are plausible at the fitted q: the set's size, the decision, and whether it covers."""
-    d = df.join(F.broadcast(fit.select(*by, "q")), by) if by else df.crossJoin(F.broadcast(fit.select("q")))
+    d = df.join(fit.select(*by, "q"), by) if by else df.crossJoin(F.broadcast(fit.select("q")))
     one, zero = F.col("prob") >= 1 - F.col("q"), (1 - F.col("prob")) >= 1 - F.col("q")
     d = d.withColumns({"size": one.cast("int") + zero.cast("int"), "covered": F.when(F.col("label") == 1, one).otherwise(zero), "says": F.when(one, 1).otherwise(0)})
     return d.withColumn("decision", F.when(F.col("size") == 1, F.lit("report")).when(F.col("size") == 2, "ambiguous").otherwise("no_plausible_label"))
@@ -131,7 +126,7 @@ def murphy(df: DataFrame, *by: str, bins: int = 10) -> DataFrame:
     d = df.withColumn("bin", edge_bin(F.col("prob"), linspace(0.0, 1.0, bins)))
     b = d.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("prob").alias("p"), F.avg("label").alias("o"), F.sum((F.col("prob") - F.col("label")) * (F.col("prob") - F.col("label"))).alias("se"))
     t = b.groupBy(*by).agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("o")) / F.sum("n")).alias("base"))
-    j = b.join(F.broadcast(t), list(by)) if by else b.crossJoin(F.broadcast(t))
+    j = b.join(t, list(by)) if by else b.crossJoin(F.broadcast(t))
     sq = lambda x: x * x
     out = j.groupBy(*by).agg(
         (F.sum(F.col("n") * sq(F.col("p") - F.col("o"))) / F.first("total")).alias("reliability"),
@@ -148,7 +143,15 @@ def sharpness(df: DataFrame, *by: str, bins: int = 10) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """By average ranks; null for fewer than two rows or a constant side."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"rx": average_rank(x, *by), "ry": average_rank(y, *by)})
-    flat = (F.count("*") < 2) | (F.stddev_pop("rx") == 0) | (F.stddev_pop("ry") == 0)
-    return d.groupBy(*by).agg(F.when(~flat, F.corr("rx", "ry")).alias("rho"), F.count("*").alias("n"))
+    """By average ranks of counted values, whose mean is known; null for fewer than two rows or a constant side."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n"))
+    keys = list(by)
+    d = pairs
+    for value, rank in ((x, "rx"), (y, "ry")):
+        ranks = average_ranks(pairs, keys, value, "_n", rank)
+        d = d.join(ranks, [*keys, value])
+    n = d.groupBy(*by).agg(F.sum("_n").alias("n"))
+    d = d.join(n, keys) if by else d.crossJoin(F.broadcast(n))
+    a, b, w = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2, F.col("_n")
+    g = d.groupBy(*by, "n").agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    return g.select(*by, F.when((F.col("n") >= 2) & (F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"), "n")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import clip
+from assayer.operators.ranking import shuffled_rank
 
 # The known clinics by number; anything else gets the number after the last.
 CLINICS = {"montgomery": 0, "shenzhen": 1, "niaid": 2, "rsna": 3, "belarus": 4}
@@ -59,10 +60,6 @@ def class_balance(m: DataFrame) -> DataFrame:
     return c.withColumns({"total": total, "positive_share": F.floor(F.col("positive") / F.greatest(total, F.lit(1)) * 1000 + 0.5) / 1000})
 
 
-def _rank(seed: int, *by: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "path")), "path"))
-
-
 def _size(n: Column, fraction: float) -> Column:
     """n * fraction, halves to even."""
     return F.bround(n * F.lit(fraction)).cast("int")
@@ -70,17 +67,15 @@ def _size(n: Column, fraction: float) -> Column:
 
 def split_leave_one_out(m: DataFrame, holdout: str, val_fraction: float = 0.2, seed: int = 7) -> DataFrame:
     """The holdout's rows test; of the others each (clinic, label) gives a fraction to val. Unlabelled rows go."""
-    d = m.where("label >= 0")
-    n = F.count("*").over(Window.partitionBy("clinic", "label"))
-    return d.withColumn("split", F.when(F.col("clinic") == holdout, "test").when(_rank(seed, "clinic", "label") <= _size(n, val_fraction), "val").otherwise("train"))
+    d = shuffled_rank(m.where("label >= 0"), ["clinic", "label"], seed, "path", "_r", "_n")
+    return d.withColumn("split", F.when(F.col("clinic") == holdout, "test").when(F.col("_r") <= _size(F.col("_n"), val_fraction), "val").otherwise("train")).drop("_r", "_n")
 
 
 def split_random(m: DataFrame, val_fraction: float = 0.2, test_fraction: float = 0.2, seed: int = 7) -> DataFrame:
     if not (0 < val_fraction < 1 and 0 < test_fraction < 1 and val_fraction + test_fraction < 1):
         raise ValueError("fractions must lie between 0 and 1, and so must their sum")
-    d = m.where("label >= 0")
-    n, r = F.count("*").over(Window.partitionBy("label")), _rank(seed, "label")
-    return d.withColumn("split", F.when(r <= _size(n, test_fraction), "test").when(r <= _size(n, test_fraction) + _size(n, val_fraction), "val").otherwise("train"))
+    d, n, r = shuffled_rank(m.where("label >= 0"), ["label"], seed, "path", "_r", "_n"), F.col("_n"), F.col("_r")
+    return d.withColumn("split", F.when(r <= _size(n, test_fraction), "test").when(r <= _size(n, test_fraction) + _size(n, val_fraction), "val").otherwise("train")).drop("_r", "_n")
 
 
 def split_summary(m: DataFrame) -> DataFrame:
@@ -110,5 +105,4 @@ def split(m: DataFrame, mode: str, **options) -> DataFrame:
 
 
 def stratified_sample(m: DataFrame, fraction: float, *by: str, seed: int = 3) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(*by))
-    return m.withColumns({"_n": n, "_r": _rank(seed, *by)}).where(F.col("_r") <= _size(F.col("_n"), fraction)).drop("_n", "_r")
+    return shuffled_rank(m, list(by), seed, "path", "_r", "_n").where(F.col("_r") <= _size(F.col("_n"), fraction)).drop("_n", "_r")

@@ -1,24 +1,85 @@
-"""Row numbers over a whole table without one task that sorts it all."""
+"""Row numbers and running sums over whole tables and huge groups, without one task that sorts a group.
+
+Rows are dealt into ordered buckets. Buckets are counted to give each its offset, and rows are numbered within a group's
+bucket only. The figures are exact whatever the buckets: they only decide how evenly the rows are dealt.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
 
 
-def global_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
-    """df with the row number by (value, tie) under `name`; value has no nulls.
+def _edges(column: str, name: str) -> Column:
+    probs = ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS))
+    return F.expr(f"percentile_approx({column}, array({probs}))").alias(name)
 
-    Approximate quantiles deal rows into ordered buckets, counted to give each its offset; within a bucket rows are numbered.
-    The numbers are exact whatever the quantiles: they only decide how evenly the rows are dealt.
+
+def dealt(df: DataFrame, value: str, tie: str | None = None) -> DataFrame:
+    """df with `_bucket`, ordered by (value, tie), from approximate quantiles of all rows.
+
+    Rows of a value that fills whole buckets are dealt on by the quantiles of `tie`, a number, if there is one.
     """
-    probs = ", ".join(f"{i / BUCKETS}D" for i in range(1, BUCKETS))
-    edges = df.agg(F.expr(f"array_distinct(percentile_approx({value}, array({probs})))").alias("_edges"))
-    dealt = df.crossJoin(F.broadcast(edges)).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most BUCKETS rows
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    number = F.row_number().over(Window.partitionBy("_bucket").orderBy(value, tie)) + F.col("_offset")
-    return dealt.join(F.broadcast(offsets), "_bucket").withColumn(name, number).drop("_bucket", "_offset")
+    numbers = df.select(F.col(value).cast("double").alias("_v"), *([F.col(tie).cast("double").alias("_t")] if tie else []))
+    edges = numbers.agg(_edges("_v", "_e"), *([_edges("_t", "_f")] if tie else []))
+    edges = edges.select(F.coalesce("_e", F.array().cast("array<double>")).alias("_e"), *([F.coalesce("_f", F.array().cast("array<double>")).alias("_f")] if tie else []))
+    names = ["_e"]
+    if tie:
+        full = F.array_distinct(F.filter("_e", lambda e, i: (i > 0) & (F.get("_e", i - 1) == e)))
+        edges = edges.select(F.array_distinct("_e").alias("_e"), full.alias("_full"), F.array_distinct("_f").alias("_f"))
+        names += ["_full", "_f"]
+    else:
+        edges = edges.select(F.array_distinct("_e").alias("_e"))
+    below = lambda edges, c: F.size(F.filter(edges, lambda e: e < F.col(c).cast("double")))
+    inner = F.when(F.array_contains("_full", F.col(value).cast("double")), 1 + below("_f", tie)).otherwise(0) if tie else F.lit(0)
+    return df.crossJoin(F.broadcast(edges)).withColumn("_bucket", below("_e", value) * (BUCKETS + 1) + inner).drop(*names)
+
+
+def _offsets(rows: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """For each group and bucket: the sums before it, and the group's row count; over some hundred rows a group."""
+    each = rows.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_bucket").alias("_at")).agg(F.count("*").alias("_rows"), *(c.alias(n) for n, c in sums.items()))
+    group = Window.partitionBy(*(f"_by_{c}" for c in by)) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(*(f"_by_{c}" for c in by), "_at", F.sum("_rows").over(group).alias("_total"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums))
+
+
+def _met(rows: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
+    same = F.col("_bucket") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.join(offsets, same).drop("_at", *(f"_by_{c}" for c in by))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str, total: str | None = None) -> DataFrame:
+    """rows, which have `_bucket`, with each one's number in its group under `name`, and the group's size under `total`."""
+    own = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    out = _met(rows, _offsets(rows, by), by).withColumn(name, (own + F.col("_before")).cast("long"))
+    return (out.withColumn(total, F.col("_total")) if total else out).drop("_bucket", "_before", "_total")
+
+
+def group_rank(df: DataFrame, by: list[str], value: str, tie: str | None, name: str, total: str | None = None) -> DataFrame:
+    """df with the row number by (value, tie) in each group; value has no nulls, tie is a number."""
+    return numbered(dealt(df, value, tie), by, [value, *([tie] if tie else [])], name, total)
+
+
+def global_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
+    """df with the row number by (value, tie) under `name`; value has no nulls."""
+    return group_rank(df, [], value, tie, name)
+
+
+def shuffled_rank(df: DataFrame, by: list[str], seed: int, key: str, name: str, total: str | None = None) -> DataFrame:
+    """df with the row number by the md5 of seed and key in each group: the digest's first digits deal the rows evenly."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    rows = df.withColumn("_digest", digest).withColumn("_bucket", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
+    return numbered(rows, by, ["_digest", key], name, total).drop("_digest")
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """(by, value, name): the mean rank of each distinct value, of which there are `weight` rows each time it occurs."""
+    each = dealt(df.groupBy(*by, value).agg(F.sum(weight).alias("_w")), value)
+    own = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    met = _met(each, _offsets(each, by, _below=F.sum("_w")), by)
+    below = F.coalesce(F.sum("_w").over(own), F.lit(0)) + F.col("_below")
+    return met.select(*by, value, (below + (F.col("_w") + 1) / 2.0).alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.scalars import clip, ratio, share
 from assayer.operators.metrics import with_confidence
-from assayer.operators.ranking import global_rank
+from assayer.operators.ranking import global_rank, group_rank
 
 GRID = [i / 50 for i in range(51)]
 
@@ -87,16 +87,14 @@ def complementarity(df: DataFrame, share_flagged: float = 0.2) -> DataFrame:
 
 def severity_thirds(df: DataFrame) -> DataFrame:
     """Mean uncertainty in the cleanest and the most degraded third of each group."""
-    w = Window.partitionBy("clinic")
-    d = df.withColumns({"rn": F.row_number().over(w.orderBy("severity", "case_id")), "n": F.count("*").over(w)}).withColumn("k", F.greatest(F.floor(F.col("n") / 3), F.lit(1)))
+    d = group_rank(df, ["clinic"], "severity", "case_id", "rn", "n").withColumn("k", F.greatest(F.floor(F.col("n") / 3), F.lit(1)))
     return d.groupBy("clinic").agg(F.avg(F.when(F.col("rn") <= F.col("k"), F.col("mc_std"))).alias("cleanest"), F.avg(F.when(F.col("rn") > F.col("n") - F.col("k"), F.col("mc_std"))).alias("most_degraded"))
 
 
 def severity_response(df: DataFrame) -> DataFrame:
     """Ordinal-rank and linear correlation of margin with severity; null for fewer than three rows."""
-    d = df.where("margin_db is not null")
-    w = Window.partitionBy("clinic")
-    d = d.withColumns({"ra": F.row_number().over(w.orderBy("severity", "case_id")), "rb": F.row_number().over(w.orderBy("margin_db", "case_id"))})
+    d = group_rank(df.where("margin_db is not null"), ["clinic"], "severity", "case_id", "ra")
+    d = group_rank(d, ["clinic"], "margin_db", "case_id", "rb")
     enough = F.count("*") >= 3
     r = d.groupBy("clinic").agg(F.count("*").alias("n"), F.when(enough, F.corr("ra", "rb")).alias("spearman"), F.when(enough, F.corr("severity", "margin_db")).alias("pearson"))
     return r.join(df.groupBy("clinic").agg(share(F.col("margin_db").isNull()).alias("abstain")), "clinic").withColumn("as_expected", F.col("spearman") < 0)

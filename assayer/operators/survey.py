@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import ratio, share
+from assayer.operators.ranking import group_rank
 
 
 def quantile_stratum(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
@@ -77,14 +78,14 @@ def majority(ratings: DataFrame, refer_from: int = 4) -> DataFrame:
 def paired_summary(runs: DataFrame, reference: str) -> DataFrame:
     """Each arm's mean and spread, and its mean difference from the reference over shared seeds."""
     ref = runs.where(F.col("arm") == reference).select("seed", F.col("score").alias("ref"))
-    j = runs.join(F.broadcast(ref), "seed", "left")
+    j = runs.join(ref, "seed", "left")
     return j.groupBy("arm").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.avg(F.col("score") - F.col("ref")).alias("delta"), F.count("ref").alias("shared"))
 
 
 def median_and_spread(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Median and median absolute deviation, in two passes."""
     m = df.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"), F.count(column).alias("n"))
-    d = df.join(F.broadcast(m), list(by))
+    d = df.join(m, list(by))
     return d.groupBy(*by, "median", "n").agg(F.percentile(F.abs(F.col(column) - F.col("median")), 0.5).alias("mad"))
 
 
@@ -96,8 +97,7 @@ def falsification_gate(df: DataFrame, value: str, *by: str, most_spread: float =
 
 def latency(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Mean, median, the element at 95 % of the sorted values (counted from their number, cut down, less one), extremes."""
-    w = Window.partitionBy(*by)
-    d = df.withColumns({"rn": F.row_number().over(w.orderBy(column)), "n": F.count("*").over(w)})
+    d = group_rank(df.where(F.col(column).isNotNull()), list(by), column, None, "rn", "n")
     return d.groupBy(*by).agg(F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("median"), F.max(F.when(F.col("rn") == F.greatest(F.floor(F.col("n") * 0.95), F.lit(1)), F.col(column))).alias("p95"), F.min(column).alias("least"), F.max(column).alias("most"))
 
 

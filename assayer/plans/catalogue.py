@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.scalars import r6
 from assayer.operators import audit, metrics, provenance, selective, survey
+from assayer.operators.ranking import shuffled_rank
 from assayer.plans.views import Views
 from assayer.registry import query
 from assayer.streaming import monitor
@@ -84,7 +85,7 @@ def temperature_grid(v: Views) -> DataFrame:
 select clinic, temperature, {R('avg(1 / (1 + exp(-logit / temperature)))')} as mean_prob from predictions join f using (clinic) group by all""")
 def temperature_fit_apply(v: Views) -> DataFrame:
     fit = metrics.fit_temperature(v.predictions, TEMPERATURES, "clinic")
-    d = v.predictions.join(F.broadcast(fit), "clinic")
+    d = v.predictions.join(fit, "clinic")
     return rounded(d.groupBy("clinic", "temperature").agg(F.avg(1 / (1 + F.exp(-F.col("logit") / F.col("temperature")))).alias("mean_prob")))
 
 
@@ -122,11 +123,8 @@ f as (select clinic, coalesce(max(s) filter (rn = rk), 1.0::double) as q from (s
   from (select *, case when label = 1 then 1 - prob else prob end as s from half where fitted)) group by clinic)
 select clinic, {R('avg((case when label = 1 then prob >= 1 - q else 1 - prob >= 1 - q end)::double)')} as coverage from half join f using (clinic) where not fitted group by clinic""")
 def coverage_gap(v: Views) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("clinic")
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit("5|"), "case_id")), "case_id"))
-    half = v.predictions.withColumn("fitted", rank <= F.floor(F.count("*").over(w) / 2))
+    ranked = shuffled_rank(v.predictions, ["clinic"], 5, "case_id", "_r", "_n")
+    half = ranked.withColumn("fitted", F.col("_r") <= F.floor(F.col("_n") / 2)).drop("_r", "_n")
     fit = metrics.conformal_quantile(half.where("fitted"), ALPHA, "clinic")
     return rounded(metrics.conformal_summary(metrics.conformal_sets(half.where("not fitted"), fit, ["clinic"]), ALPHA, "clinic").select("clinic", "coverage"))
 

@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from assayer.operators.ranking import dealt
+
 
 def cusum(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
-    """Upper and lower sums in closed form: a running sum less its least value so far (0 included)."""
-    w = Window.partitionBy("clinic").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = readings.withColumns({"u": F.sum(F.col("value") - target - slack).over(w), "d": F.sum(target - F.col("value") - slack).over(w)})
-    d = d.withColumns({"high": F.col("u") - F.least(F.lit(0.0), F.min("u").over(w)), "low": F.col("d") - F.least(F.lit(0.0), F.min("d").over(w))})
-    return d.select("clinic", "seq", "value", "high", "low", ((F.col("high") > threshold) | (F.col("low") > threshold)).alias("alarm"))
+    """Upper and lower sums in closed form: a running sum less its least value so far (0 included).
+
+    Each clinic's readings are dealt into stretches of time. Sums and minima run within a stretch, and a stretch starts from
+    the sum before it and the least value before it, so that no task holds a clinic.
+    """
+    timed = readings.withColumn("_time", F.unix_micros(F.col("ts").cast("timestamp")))
+    own = Window.partitionBy("clinic", "_bucket").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    d = dealt(timed, "_time", "seq").withColumns({"u": F.sum(F.col("value") - target - slack).over(own), "d": F.sum(target - F.col("value") - slack).over(own)})
+    d = d.withColumns({"u_least": F.min("u").over(own), "d_least": F.min("d").over(own)})
+    at = F.struct("ts", "seq")
+    ends = d.groupBy(F.col("clinic").alias("_clinic"), F.col("_bucket").alias("_at")).agg(*(f.alias(n) for x in "ud" for n, f in ((f"{x}_sum", F.max_by(x, at)), (f"{x}_min", F.min(x)))))
+    before = Window.partitionBy("_clinic").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({f"{x}_before": F.coalesce(F.sum(f"{x}_sum").over(before), F.lit(0.0)) for x in "ud"})
+    ends = ends.withColumns({f"{x}_floor": F.least(F.lit(0.0), F.min(F.col(f"{x}_before") + F.col(f"{x}_min")).over(before)) for x in "ud"})
+    met = d.join(ends, (F.col("_bucket") == F.col("_at")) & F.col("clinic").eqNullSafe(F.col("_clinic")))
+    level = lambda x: F.col(f"{x}_before") + F.col(x) - F.least(F.col(f"{x}_floor"), F.col(f"{x}_before") + F.col(f"{x}_least"))
+    out = met.select("clinic", "seq", "value", level("u").alias("high"), level("d").alias("low"))
+    return out.withColumn("alarm", (F.col("high") > threshold) | (F.col("low") > threshold))
 
 
 def cusum_stream(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
