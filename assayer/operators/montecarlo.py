@@ -7,18 +7,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions.scalars import ratio
+from assayer.operators.ranking import dealt
 
-def cluster_bootstrap(df: DataFrame, score: str, cluster: str, draws: int = 200, seed: int = 1) -> DataFrame:
-    """An AUC's 95 % interval from clusters drawn with replacement: each draw weighs clusters by Poisson counts from a hash."""
-    from assayer.operators.survey import weighted_auc
 
-    clusters = df.select(cluster).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+def cluster_bootstrap(df: DataFrame, score: str, cluster: str, draws: int = 200, seed: int = 1, least: int = 20) -> DataFrame:
+    """An AUC's 95 % interval from clusters drawn with replacement: each draw weighs clusters by Poisson counts from a hash.
+
+    Rows are counted by (score, label, cluster) first. Fewer than `least` draws with both labels give no interval.
+    """
+    # Pairs in order, by stretches of the score: within a stretch by its distinct scores, across stretches by sums.
+    counted = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("x"), cluster).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     u = (F.pmod(F.xxhash64(F.lit(seed), cluster, "draw"), F.lit(1_000_003)) + 0.5) / 1_000_003.0
     # The Poisson distribution's cumulative values at mean 1.
     count = sum(((u > F.lit(p)).cast("int") for p in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    d = df.join(clusters.withColumn("weight", count.cast("double")), cluster)
-    auc = weighted_auc(d, score, "weight", "draw")
-    return auc.agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.5).alias("median"), F.percentile("auc", 0.975).alias("high"), F.count("auc").alias("draws"))
+    each = dealt(counted, "x").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", count).where("w > 0")
+    sums = each.groupBy("draw", "_bucket", "x").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    own = Window.partitionBy("draw", "_bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    inside = sums.withColumn("below", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    parts = inside.groupBy("draw", "_bucket").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    before = Window.partitionBy("draw").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    auc = parts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("draw").agg(ratio(F.sum(F.col("s") + F.col("p") * F.col("below")), F.sum("p") * F.sum("n")).alias("auc"))
+    enough = F.count("auc") >= least
+    return auc.agg(*(F.when(enough, F.percentile("auc", q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))), F.count("auc").alias("draws"))
 
 
 def design_power(grid: DataFrame, simulations: int = 200) -> DataFrame:
@@ -77,26 +88,60 @@ def assigned(df: DataFrame, film: str, cell: str, per_cell: int) -> DataFrame:
     return df.sparkSession.createDataFrame(drawn, f"{film} string, {cell} string")
 
 
-def source_confound(features: DataFrame, columns: list[str], label: str, folds: int = 5) -> DataFrame:
-    """How well capture features alone tell the label: logistic regression per fold, the AUC of what it says of rows left out."""
-    from assayer.operators.metrics import roc_auc
+def _sums(columns: list[str], label: str, folds: int, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray):
+    """Each fold's part of every other fold's Newton step: X'WX and X'(p - y), a few numbers a partition."""
 
-    d = features.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int"))
+    def sums(batches):
+        k = len(columns) + 1
+        h, g = np.zeros((folds, k, k)), np.zeros((folds, k))
+        for pdf in batches:
+            x, y, fold = pdf[columns].to_numpy(float), pdf[label].to_numpy(float), pdf["fold"].to_numpy()
+            for left in range(folds):
+                z = np.hstack([(x - mean[left]) / spread[left], np.ones((len(x), 1))])[fold != left]
+                p = 1 / (1 + np.exp(-np.clip(z @ weights[left], -30, 30)))
+                h[left] += (z.T * (p * (1 - p))) @ z
+                g[left] += z.T @ (p - y[fold != left])
+        for left in range(folds):
+            yield pd.DataFrame({"left": left, "at": np.arange(k * k + k), "x": np.r_[h[left].ravel(), g[left]]})
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[columns].to_numpy(float)
-        y, out = pdf[label].to_numpy(float), pdf["fold"].to_numpy() == pdf["left"].to_numpy()
-        mean, sd = x[~out].mean(0), x[~out].std(0)
-        z = np.hstack([(x - mean) / np.where(sd > 0, sd, 1), np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z[~out] @ w, -30, 30)))
-            h = (z[~out].T * (p * (1 - p))) @ z[~out] + np.eye(len(w))
-            w -= np.linalg.solve(h, z[~out].T @ (p - y[~out]) + w)
-        return pd.DataFrame({"label": y[out].astype(int), "prob": 1 / (1 + np.exp(-np.clip(z[out] @ w, -30, 30)))})
-
-    each = d.withColumn("left", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    said = each.select("fold", "left", label, *columns).groupBy("left").applyInPandas(run, "label int, prob double")
-    a = roc_auc(said.withColumn("group", F.lit("all")), "group").select("auc")
+    return sums
+
+
+def source_confound(features: DataFrame, columns: list[str], label: str, folds: int = 5, steps: int = 12, by: str = "id") -> DataFrame:
+    """How well capture features alone tell the label: logistic regression per fold, the AUC of what it says of rows left out.
+
+    Folds are dealt by the hash of `by`: its rows stay together. Each Newton step is one pass, in which partitions give sums
+    only. Beside the AUC and the verdict, the standardised coefficients' means over the folds, in the order of columns.
+    """
+    from assayer.operators.metrics import roc_auc
+
+    d = features.where(F.col(label).isNotNull()).select(F.pmod(F.xxhash64(by), F.lit(folds)).cast("int").alias("fold"), F.col(label).cast("double").alias(label), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
+    by_fold = d.groupBy("fold").agg(F.count("*").alias("n"), *(f(F.col(c) ** k).alias(f"{c}{k}") for c in columns for f, k in ((F.sum, 1), (F.sum, 2)))).collect()
+    k = len(columns) + 1
+    weights, mean, spread = np.zeros((folds, k)), np.zeros((folds, k - 1)), np.ones((folds, k - 1))
+    for left in range(folds):
+        rest = [r for r in by_fold if r["fold"] != left]
+        n = max(1, sum(r["n"] for r in rest))
+        mean[left] = [sum(r[f"{c}1"] for r in rest) / n for c in columns]
+        spread[left] = [max(0.0, sum(r[f"{c}2"] for r in rest) / n - m * m) ** 0.5 or 1.0 for c, m in zip(columns, mean[left])]
+    for _ in range(steps):
+        rows = d.mapInPandas(_sums(columns, label, folds, weights, mean, spread), "left int, at int, x double").groupBy("left", "at").agg(F.sum("x").alias("x")).collect()
+        found = np.zeros((folds, k * k + k))
+        for r in rows:
+            found[r["left"], r["at"]] = r["x"]
+        step = np.stack([np.linalg.solve(x[: k * k].reshape(k, k) + np.eye(k), x[k * k :] + w) for x, w in zip(found, weights)])
+        weights = weights - step
+        if np.abs(step).max() < 1e-9:
+            break
+
+    z = F.lit(0.0)
+    for left in range(folds):
+        own = F.lit(float(weights[left][-1]))
+        for c, w, m, s in zip(columns, weights[left], mean[left], spread[left]):
+            own = own + F.lit(float(w)) * (F.col(c) - float(m)) / float(s)
+        z = F.when(F.col("fold") == left, own).otherwise(z)
+    said = d.select(F.col(label).alias("label"), (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("prob"), F.lit("all").alias("group"))
     separation = F.abs(F.col("auc") - 0.5) + 0.5
-    return a.withColumn("verdict", F.when(separation >= 0.8, "confounded").when(separation >= 0.65, "suspect").otherwise("clean"))
+    verdict = F.when(separation >= 0.8, "confounded").when(separation >= 0.65, "suspect").otherwise("clean")
+    coefficients = F.array(*(F.lit(float(x)) for x in weights[:, :-1].mean(axis=0)))
+    return roc_auc(said, "group").select("auc", verdict.alias("verdict"), coefficients.alias("coefficients"))

@@ -28,7 +28,7 @@ def dealt(df: DataFrame, value: str, tie: str | None = None) -> DataFrame:
     names = ["_e"]
     if tie:
         full = F.array_distinct(F.filter("_e", lambda e, i: (i > 0) & (F.get("_e", i - 1) == e)))
-        edges = edges.select(F.array_distinct("_e").alias("_e"), full.alias("_full"), F.array_distinct("_f").alias("_f"))
+        edges = edges.withColumn("_full", full).select(F.array_distinct("_e").alias("_e"), "_full", F.array_distinct("_f").alias("_f"))
         names += ["_full", "_f"]
     else:
         edges = edges.select(F.array_distinct("_e").alias("_e"))

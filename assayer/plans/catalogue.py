@@ -347,18 +347,18 @@ def near_duplicates_banded(v: Views) -> DataFrame:
 
 @query(f"with {PAIRS} select clinic_a as clinic, count(*) as pairs from pairs where clinic_a = clinic_b group by clinic_a")
 def self_duplicates(v: Views) -> DataFrame:
-    return _pairs(v).where("clinic_a = clinic_b").groupBy(F.col("clinic_a").alias("clinic")).agg(F.count("*").alias("pairs"))
+    return audit.self_pairs(audit.pair_counts(audit.difference_hash(v.images), MOST_BITS))
 
 
 @query(f"""with {PAIRS}, pairs2 as (select id_a, clinic_a, clinic_b from pairs union all select id_b, clinic_b, clinic_a from pairs), s as (select clinic as clinic_a, count(*) as size from images group by clinic)
 select clinic_a, clinic_b, count(*) as pairs, count(distinct id_a) as n_a, {R('count(distinct id_a) / any_value(size)')} as fraction, case when count(distinct id_a) / any_value(size) <= 0.01 then 'suspect' else 'overlapping' end as verdict from pairs2 join s using (clinic_a) group by clinic_a, clinic_b""")
 def overlap_verdict(v: Views) -> DataFrame:
-    return rounded(audit.overlap(_pairs(v), v.images))
+    return rounded(audit.overlap(audit.pair_counts(audit.difference_hash(v.images), MOST_BITS), v.images))
 
 
 @query(f"with {PAIRS} select max(bits) filter (clinic_a = clinic_b) as pos_max, min(bits) filter (clinic_a <> clinic_b) as neg_min, quantile_cont(bits, 0.5) filter (clinic_a = clinic_b) as pos_median, quantile_cont(bits, 0.5) filter (clinic_a <> clinic_b) as neg_median, min(bits) filter (clinic_a <> clinic_b) - max(bits) filter (clinic_a = clinic_b) as gap, cast(case when min(bits) filter (clinic_a <> clinic_b) - max(bits) filter (clinic_a = clinic_b) > 1 then (max(bits) filter (clinic_a = clinic_b) + min(bits) filter (clinic_a <> clinic_b)) // 2 end as int) as threshold from pairs")
 def hash_calibration(v: Views) -> DataFrame:
-    return audit.hash_calibration(_pairs(v), "clinic_a = clinic_b")
+    return audit.hash_calibration(audit.pair_counts(audit.difference_hash(v.images), MOST_BITS), "clinic_a = clinic_b")
 
 
 FEATURES = "features as (select id, clinic, list_avg(p) as mean, sqrt(list_avg(list_transform(p, lambda x: (x - list_avg(p)) * (x - list_avg(p))))) as std, list_min(p) as low, list_max(p) as high, list_avg(list_transform(range(1, len(p)), lambda i: abs(p[i + 1] - p[i]))) as roughness from (select *, list_transform(px, lambda x: x::double) as p from images))"
