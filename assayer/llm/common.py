@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.sources.tables import importable
 
-#: A side of a join is broadcast up to so many rows of at most some tens of bytes each; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast up to so many bytes, of its values and ROW_BYTES a row; larger ones are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 2_000_000, 24
 
 _own_folder: list[str] = []
 
@@ -60,9 +65,22 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return Cut(df, name).df
 
 
-def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows (counted unless given), else as it is: then the join shuffles."""
-    n = df.count() if rows is None else rows
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + 8 + _bytes(x, kind.elementType)), F.lit(0).cast("long"))
+        return F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 + 16
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its values, which are counted, have at most `most` bytes, else as it is: then the join shuffles."""
+    total = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    n = df.agg(F.sum(total)).first()[0] or 0
     return F.broadcast(df) if n <= most else df
 
 
@@ -94,10 +112,36 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows in an Arrow batch from now on: long texts must fit a Python worker's memory. Workers must find this package."""
+def arrow_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Rows and bytes in an Arrow batch at most, from now on: long texts must fit a Python worker's memory. Workers must find this package.
+
+    Plans read the session's settings when they run, so these stay lowered; a lower setting of the caller's own is left.
+    """
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = (spark.conf.get(key) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Gives a Python worker's free memory back to the system: workers outlive their tasks, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
+def trimmed(f: Callable) -> Callable:
+    """f, which yields batches, and trim() at its end."""
+
+    @wraps(f)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim()
+
+    return outer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

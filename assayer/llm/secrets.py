@@ -25,26 +25,57 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 TOKEN, TOKEN_LEAST = r"[A-Za-z0-9_-]{20,}", 20
 #: Owners and repositories that a live-looking value has at most.
 LIVE_OWNERS, LIVE_REPOSITORIES = 1, 3
-#: Parts among which a value's rows are dealt when its figures are joined to them.
-SALTS = 32
+#: Parts among which a value's rows are dealt when its figures are joined to them, if it has more than HOT rows.
+SALTS, HOT = 32, 10_000
 KINDS = ("assign", "access", "hex", "token")
 MASK = "[SECRET]"
+#: Masked spans of a stretch of text that is cut at once.
+STRETCH = 128
 #: Maximal runs of the least length have the same matches as runs of any length that are dropped when short, and cost less.
 _QUICK = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "token": TOKEN}
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body, in which name stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(values: str, step: str) -> str:
+    """SQL of the running figures of an array, by doubling: n log n steps. step joins x with an earlier one, {}, null where there is none."""
+    grown = f"transform(s, (x, i) -> {step.format('get(s, i - shiftleft(1, k))')})"
+    return _let("values", values, f"aggregate(sequence(0, cast(log2(greatest(size(values), 1)) as int)), values, (s, k) -> {grown})")
+
+
 def _matches(kind: str) -> str:
     """SQL of an array of (start, no, end, kind, value) of one kind's matches in t; positions from the pieces between them."""
     p = "r'" + _QUICK[kind].replace("'", r"\x27") + "'"
-    group = 1 if kind == "assign" else 0
     least = LEAST.get(kind, TOKEN_LEAST)
+    value = f"regexp_extract(m, {p}, 1)" if kind == "assign" else "m"
     good = f"length(x.value) >= {least}" + (" and x.value rlike '[0-9]' and x.value rlike '[A-Za-z]'" if kind == "token" else "")
-    none = "cast(array() as array<struct<start:int,no:int,end:int,kind:string,value:string>>)"
-    return f"""case when t rlike {p} then filter(aggregate(
-        arrays_zip(transform(regexp_extract_all(t, {p}, 0), x -> length(x)), regexp_extract_all(t, {p}, {group}), transform(split(t, {p}, -1), x -> length(x))),
-        {none},
-        (a, x) -> if(x.`0` is null, a, array_append(a, struct(coalesce(try_element_at(a, -1).end, 0) + x.`2` as start, {KINDS.index(kind)} as no, coalesce(try_element_at(a, -1).end, 0) + x.`2` + x.`0` as end, '{kind}' as kind, x.`1` as value)))
-    ), x -> {good}) else {none} end"""
+    lengths = f"zip_with(ms, slice(split(t, {p}, -1), 1, size(ms)), (m, gap) -> length(m) + length(gap))"
+    ends = _running(lengths, "x + coalesce({}, 0)")
+    spans = f"zip_with(ms, {ends}, (m, to) -> struct(to - length(m) as start, {KINDS.index(kind)} as no, to as end, '{kind}' as kind, {value} as value))"
+    return f"case when t rlike {p} then filter({_let('ms', f'regexp_extract_all(t, {p}, 0)', spans)}, x -> {good}) else {_NO_SPANS} end"
+
+
+_NO_SPANS = "cast(array() as array<struct<start:int,no:int,end:int,kind:string,value:string>>)"
+_NONE = "cast(array() as array<struct<start:int,no:int,end:int,kind:string,live:boolean>>)"
+
+
+#: SQL of the candidates that lie apart from all base spans: on the line of both, the furthest end so far and the next start.
+_APART = _let(
+    "line",
+    "sort_array(concat(transform(base, x -> struct(x.start as start, -1 as at, x.end as end)), transform(token, (x, i) -> struct(x.start as start, i as at, x.end as end))))",
+    _let(
+        "before",
+        _running("transform(line, x -> if(x.at < 0, x.end, 0))", "greatest(x, {})"),
+        _let(
+            "after",
+            "reverse(" + _running("transform(reverse(line), x -> if(x.at < 0, x.start, 2147483647))", "least(x, {})") + ")",
+            "transform(filter(zip_with(line, zip_with(before, after, (p, q) -> struct(p, q)), (x, y) -> struct(x.at as at, x.at >= 0 and y.p <= x.start and y.q >= x.end as apart)), x -> x.apart), x -> token[x.at])",
+        ),
+    ),
+)
 
 
 def _spans(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
@@ -52,16 +83,16 @@ def _spans(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     t = docs.select("doc_id", owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     each = t.select("doc_id", "owner", "repository", F.xxhash64("t").alias("k"), *(F.expr(_matches(kind)).alias(kind) for kind in KINDS))
     base = each.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
-    apart = base.withColumn("token", F.expr("filter(token, x -> not exists(base, y -> y.start < x.end and x.start < y.end))"))
+    apart = base.withColumn("token", F.expr(f"if(size(base) = 0 or size(token) = 0, token, {_APART})"))
     hashed = "transform({}, x -> struct(x.start, x.no, x.end, x.kind, sha2(x.value, 256) as hash))"
     return apart.select("doc_id", "k", "owner", "repository", F.expr(f"concat({hashed.format('base')}, {hashed.format('token')})").alias("found"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_owners, n_repositories of the values of found (owner, repository, hash)."""
-    once = found.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = once.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    """hash, n_owners, n_repositories, n_rows of the values of found (owner, repository, hash)."""
+    once = found.groupBy("hash", "owner", "repository").agg(F.count("*").alias("rows"))
+    by_owner = once.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.sum("rows").alias("n_rows"))
 
 
 def scanned(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
@@ -70,14 +101,17 @@ def scanned(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     some = rows.where(F.size("found") > 0)
     values = some.select("doc_id", "k", "owner", "repository", F.explode("found").alias("x")).select("*", F.col("x.hash").alias("hash"))
     live = F.col("n_owners").__le__(LIVE_OWNERS) & F.col("n_repositories").__le__(LIVE_REPOSITORIES)
-    figures = ownership(values).select("hash", live.alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = values.select("doc_id", "k", "hash", F.pmod(F.xxhash64("doc_id", "k"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
-    judged = salted.join(figures.hint("merge"), ["hash", "salt"]).where("live").groupBy("doc_id", "k").agg(F.collect_list("hash").alias("live"))
-    judged = judged.select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "live")
-    joined = some.join(judged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")), "left")
-    kept = joined.select("doc_id", "k", F.expr("filter(transform(found, x -> struct(x.start, x.no, x.end, x.kind, coalesce(array_contains(live, x.hash), false) as live)), x -> x.no < 3 or x.live)").alias("spans"))
-    none = rows.where(F.size("found") == 0).select("doc_id", "k", F.expr("cast(array() as array<struct<start:int,no:int,end:int,kind:string,live:boolean>>)").alias("spans"))
-    return kept.unionByName(none).withColumn("spans", F.sort_array("spans"))
+    figures = Cut(ownership(values).select("hash", live.alias("live"), (F.col("n_rows") > HOT).alias("hot")), "figures").df
+    # Values of many rows, of which there are few, are dealt among parts.
+    hot = small(Cut(figures.where("hot").select(F.col("hash").alias("_hot")), "hot").df)
+    parted = values.join(hot, F.col("hash") == F.col("_hot"), "left")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("doc_id", "k"), F.lit(SALTS)).cast("int")).otherwise(0)
+    copied = figures.select("hash", "live", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))).alias("salt"))
+    judged = parted.select("doc_id", "k", "x", "hash", salt.alias("salt")).join(copied.hint("merge"), ["hash", "salt"])
+    judged = judged.where("x.no < 3 or live").groupBy(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).agg(F.sort_array(F.collect_set(F.expr("struct(x.start, x.no, x.end, x.kind, live)"))).alias("spans"))
+    joined = some.select("doc_id", "k").join(judged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")), "left")
+    kept = joined.select("doc_id", "k", F.coalesce("spans", F.expr(_NONE)).alias("spans"))
+    return kept.unionByName(rows.where(F.size("found") == 0).select("doc_id", "k", F.expr(_NONE).alias("spans")))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -98,10 +132,13 @@ def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the spans of scanned() masked in text, and n_chars to match where docs have it; other rows as they are."""
     marked = Cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__secrets_id"), F.col("k").alias("__secrets_k"), F.col("spans").alias("__secrets_spans")).distinct(), "marked").df
     joined = docs.join(small(marked), F.col("doc_id").eqNullSafe(F.col("__secrets_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__secrets_k")), "left")
-    pieces = f"""aggregate(__secrets_spans, struct(0 as at, '' as done),
-        (a, x) -> case when x.start >= a.at then struct(x.end as at, concat(a.done, substring(text, a.at + 1, x.start - a.at), '{MASK}') as done)
-                       else struct(greatest(a.at, x.end) as at, a.done as done) end,
-        a -> concat(a.done, substring(text, a.at + 1)))"""
+    # Overlapping spans are one. What lies before each is cut from its own stretch of the text: a cut costs as much as it lies deep.
+    far = _running("transform(__secrets_spans, x -> x.end)", "greatest(x, {})")
+    heads = "filter(zip_with(__secrets_spans, concat(array(0), far), (x, p) -> struct(p as p, x.start as s)), x -> x.p <= x.s)"
+    stretch = f"array_join(transform(own, x -> concat(substring(seg, x.p - own[0].p + 1, x.s - x.p), '{MASK}')), '')"
+    each = _let("own", f"slice(heads, j, {STRETCH})", _let("seg", "substring(text, own[0].p + 1, own[size(own) - 1].s - own[0].p)", stretch))
+    masked = f"concat(array_join(transform(sequence(1, size(heads), {STRETCH}), j -> {each}), ''), substring(text, array_max(far) + 1))"
+    pieces = _let("far", far, _let("heads", heads, masked))
     text = F.when(F.col("__secrets_spans").isNull(), F.col("text")).otherwise(F.expr(pieces))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
