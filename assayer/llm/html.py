@@ -7,21 +7,25 @@ are counted by host in Spark. The path with most votes wins, and so do all with
 have several templates. A page gives the text of all its elements on its own candidate's path if that is a winner, else on
 the first winning path that it has, or of its own candidate where it has none of them.
 
-A null or empty html gives empty text. A page without a host votes with all others that have none. Ties go to the path
-with more text, then to the one that sorts last. Repeated rows vote each and give the same text.
+A null or empty html, or an empty table, gives empty text, or no rows. A page without a host votes with all others that have none.
+Ties go to the path with more text, then to the one that sorts last. Repeated rows vote each and give the same text. Pages are
+read in time in proportion to their length, however long, deep or broken: an unclosed comment or script reaches to the end, what
+looks like no tag is text. Other columns of pages, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Cut, arrow_batches, small
+from assayer.llm.common import Cut, arrow_batches, small, trimmed
 
 #: Share of a page's running text that its container holds at least.
 SHARE = 0.85
@@ -30,111 +34,199 @@ VOTES, LEAST = 0.05, 2
 
 # Fixed values of HTML: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("dd dt head html body li option optgroup summary legend tbody td tfoot th thead tr".split())
-FURNITURE = frozenset("nav footer aside form script style noscript iframe template button select option textarea head title svg math menu dialog search object canvas audio video".split())
+FURNITURE = frozenset("nav footer aside form script style noscript iframe template button select option textarea head title menu dialog search canvas audio video".split())
 #: Blocks that are part of a text, and no containers of it.
 PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 tr thead tbody tfoot ul ol dl dt dd table td th caption blockquote pre figure figcaption".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}}
-LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}}
-#: Words of class and id that mark furniture, and roles.
+#: What an element ends if it is still open, and the elements that keep what is around them open.
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead")}
+SHELTERS = {"ul": {"li"}, "ol": {"li"}, "menu": {"li"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th", "tbody", "thead"}, "select": {"option"}}
+KEPT_OPEN = frozenset(x for names in CLOSED_BY.values() for x in names)
+CELLS = frozenset(("td", "th", "table"))
+#: Words of class and id that mark furniture, and roles. A name counts if all its parts are such words or neutral ones.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion sidebar side rail menu nav navbar navigation topbar toolbar breadcrumb breadcrumbs pager pagination footer foot header masthead cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay subscribe subscription newsletter signup login share sharing social comment comments disqus replies reply respond discussion related recommended recommendations widget widgets copyright skip search form".split()
 )
+NEUTRAL = frozenset(
+    "area aside bar block body bottom box btn button buttons card center column columns container content dialog fixed floating global grid group holder icon icons inner item items layout left link links list main message mobile module outer page panel placeholder policy posts primary right row secondary section site slot sticky text thread title top unit wrap wrapper".split()
+)
+#: Words that mark furniture beside any others.
+STRONG = frozenset("advert advertisement adsense breadcrumb breadcrumbs comments disqus gdpr navbar navigation newsletter sidebar sponsored".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# Quotes count after an equals sign, and only where they are closed. Once no tag can be read so to its end, tags end at the next >.
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>", re.S)
+_LOOSE = re.compile(r"(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z]")
+_ATTR = re.compile(r"([^\s/>=\"']+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_OWN_SLASH = re.compile(r"=[^\s\"'=]*/\Z")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[a-z]+")
-_DIGITS = re.compile(r"[0-9]+")
+_DIGITS = re.compile(r"[0-9/]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "skip", "link", "plain", "linked")
+    """An element; nodes are numbered in page order, parents before what they hold. open: the places of what later tags may end."""
+
+    __slots__ = ("no", "tag", "path", "parent", "skip", "link", "article", "open", "plain", "linked")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, skip: bool, link: bool):
-        self.tag, self.path, self.parent, self.skip, self.link = tag, path, parent, skip, link
+    def __init__(self, no: int, tag: str, path: int, parent: Node | None, skip: bool, link: bool):
+        self.no, self.tag, self.path, self.parent, self.skip, self.link = no, tag, path, parent, skip, link
+        self.article = parent is not None and (parent.article or tag in ("article", "main"))
         self.plain = self.linked = 0
 
 
+class Page:
+    """The elements, the runs of text in page order (element, text, whether a new block begins before it), and the numbered paths."""
+
+    def __init__(self):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.nodes, self.runs = [Node(0, "", 0, None, False, False)], []
+        self.nodes[0].open = {}
+
+    def path(self, parent: int, step: str) -> int:
+        found = self.paths.setdefault((parent, step), len(self.steps))
+        if found == len(self.steps):
+            self.steps.append((parent, step))
+        return found
+
+    def spelled(self, path: int) -> str:
+        out = []
+        while path > 0:
+            path, step = self.steps[path]
+            out.append(step)
+        return "/".join(["", *reversed(out)])
+
+    def known(self, spelled: str) -> int | None:
+        """The number of a path as spelled() gives it; None if the page has no such element."""
+        path: int | None = 0
+        for step in spelled.split("/")[1:]:
+            path = self.paths.get((path, step))
+            if path is None:
+                return None
+        return path
+
+
+@lru_cache(1 << 14)
+def _is_mark(name: str) -> bool:
+    """Parts are parted by dashes, digits and capitals: ad-box and adBox are furniture, shadow and share-price are not."""
+    parts = _WORDS.findall(_HUMP.sub(" ", name).lower())
+    return any(x in STRONG for x in parts) or any(x in MARKS for x in parts) and all(x in MARKS or x in NEUTRAL or len(x) < 3 for x in parts)
+
+
 def _marked(tag: str, attrs: str, within: bool) -> tuple[str, bool]:
     """The classes as part of a path, and whether the element is furniture; a header within an article is part of it."""
-    found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
-    classes = sorted({_DIGITS.sub("", x) for x in found.get("class", "").lower().split()} - {""})
     if tag in FURNITURE or tag == "header" and not within:
         return "", True
+    if not attrs:
+        return "", False
+    found: dict[str, str] = {}
+    for k, a, b, c in _ATTR.findall(attrs):
+        found.setdefault(k.lower(), a or b or c)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
         return "", True
-    if tag in ("html", "body", "article", "main", "p", "h1"):
-        return ".".join(classes), False
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    # Parts of a name count where dashes or capitals part them: ad-box and adBox, not shadow.
-    words = {y for x in re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower().split() for y in _WORDS.findall(x)}
-    words -= {"header"} if within else set()
-    return ".".join(classes), bool(words & MARKS)
-
-
-def parse(text: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
-    """The elements, and the runs of text in page order: (element, text, whether a new block begins before it)."""
-    root = Node("", "", None, False, False)
-    nodes, runs, stack, at, new = [root], [], [root], 0, True
-    while at < len(text):
-        m = _TOKEN.search(text, at)
-        run = text[at : m.start()] if m else text[at:]
-        if run:
-            node = stack[-1]
-            if not node.skip:
-                runs.append((node, entities.unescape(run), new))
-                new = False
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+    names = found.get("class", "").split()
+    classes = ".".join(sorted({_DIGITS.sub("", x) for x in found.get("class", "").lower().split()} - {""}))
+    if tag in ("html", "body", "main", "h1"):
+        return classes, False
+    names.append(found.get("id", ""))
+    return classes, any(_is_mark(x) and not (within and x.lower() == "header") for x in names if x and len(x) < 200)
+
+
+def parse(text: str) -> Page:
+    """Reads a page once, in time in proportion to its length: no tag, however broken or deep, is looked for twice."""
+    page = Page()
+    nodes, runs = page.nodes, page.runs
+    stack, total, cells, endless = [nodes[0]], Counter(), [Counter()], set()
+    begin = at = 0
+    new, strict, last = True, True, text.rfind(">")
+
+    def flush(to: int) -> None:
+        nonlocal new
+        if begin < to and not stack[-1].skip:
+            runs.append((stack[-1], entities.unescape(text[begin:to]), new))
+            new = False
+
+    def pop() -> str:
+        node = stack.pop()
+        total[node.tag] -= 1
+        if node.tag in CELLS:
+            cells.pop()
+        else:
+            cells[-1][node.tag] -= 1
+        return node.tag
+
+    while (lt := text.find("<", at)) >= 0:
+        c = text[lt + 1 : lt + 2]
+        if c in ("!", "?") and lt < last or text.startswith("<!--", lt):
+            comment = text.startswith("<!--", lt)
+            end = text.find("-->" if comment else ">", lt + 2)
+            flush(lt)
+            begin = at = len(text) if end < 0 else end + (3 if comment else 1)
+            continue
+        m = None
+        if lt < last and _NAME.match(text, lt + 1):
+            m = _TAG.match(text, lt + 1) if strict else None
+            if m is None:
+                strict = False
+                m = _LOOSE.match(text, lt + 1)
+        if m is None:
+            at = lt + 1
             continue
+        flush(lt)
+        begin = at = m.end()
         tag = m[2].lower()
         if tag in BLOCK:
             new = True
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in BLOCK:
-                    break
+            if total[tag] if tag in BLOCK else cells[-1][tag]:
+                while pop() != tag:
+                    pass
             continue
         if tag == "br":
             runs.append((stack[-1], " ", False))
             continue
-        close = None
-        for i in range(len(stack) - 1, 0, -1):
-            other = stack[i].tag
-            if tag in CLOSES_P and other == "p" or other in CLOSED_BY.get(tag, ()):
-                close = i
-            if other in LIMITS.get(tag, ()) or tag not in CLOSED_BY and other in BLOCK:
-                break
-        if close is not None:
-            del stack[close:]
+        up = stack[-1].open
+        close = up.get("p") if tag in CLOSES_P else min((up[x] for x in CLOSED_BY.get(tag, ()) if x in up), default=None)
+        while close is not None and len(stack) > close:
+            pop()
         parent = stack[-1]
-        classes, skip = _marked(tag, m[3], any(x.tag in ("article", "main") for x in stack))
-        node = Node(tag, f"{parent.path}/{tag}{'.' + classes if classes else ''}", parent, parent.skip or skip, parent.link or tag == "a")
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        classes, skip = _marked(tag, m[3], parent.article)
+        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and not _OWN_SLASH.search(m[3]):
             continue
+        node = Node(len(nodes), tag, page.path(parent.path, f"{tag}.{classes}" if classes else tag), parent, parent.skip or skip, parent.link or tag == "a")
         nodes.append(node)
-        if tag in RAW:
+        if tag in RAW and tag not in endless:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, at)
             if end or tag in ("script", "style"):
-                at = end.end() if end else len(text)
+                begin = at = end.end() if end else len(text)
                 continue
+            endless.add(tag)
+        node.open = parent.open
+        gone = SHELTERS.get(tag, set()) | ({"p"} if tag in BLOCK else set())
+        if not gone.isdisjoint(node.open):
+            node.open = {k: v for k, v in node.open.items() if k not in gone}
+        if tag == "p" or tag in KEPT_OPEN:
+            node.open = {tag: len(stack), **node.open}
+        total[tag] += 1
+        if tag in CELLS:
+            cells.append(Counter())
+        else:
+            cells[-1][tag] += 1
         stack.append(node)
-    return nodes, runs
+    flush(len(text))
+    return page
 
 
-def candidate(nodes: list[Node], runs: list[tuple[Node, str, bool]]) -> tuple[str, int]:
+def candidate(page: Page) -> tuple[int, int]:
     """The path of the element that holds the main text, and its size; links do not count."""
-    for node, run, _ in runs:
+    nodes = page.nodes
+    for node, run, _ in page.runs:
         n = len("".join(run.split()))
         if n:
             if node.link:
@@ -164,53 +256,48 @@ def candidate(nodes: list[Node], runs: list[tuple[Node, str, bool]]) -> tuple[st
     return best.path, best.plain
 
 
-def extracted(runs: list[tuple[Node, str, bool]], path: str) -> str | None:
-    """The blocks of all elements on the path, one to a line; None if there are none."""
-    inside: dict[int, bool] = {}
-
-    def within(node: Node | None) -> bool:
-        if node is None:
-            return False
-        if id(node) not in inside:
-            inside[id(node)] = node.path == path or within(node.parent)
-        return inside[id(node)]
-
-    blocks, found = [], False
-    pending = True
-    for node, run, new in runs:
+def extracted(page: Page, path: int) -> str:
+    """The blocks of all elements on the path, one to a line."""
+    inside = [False] * len(page.nodes)
+    for node in page.nodes:
+        inside[node.no] = node.path == path or node.parent is not None and inside[node.parent.no]
+    blocks, pending = [], True
+    for node, run, new in page.runs:
         pending = pending or new
-        if not within(node):
+        if not inside[node.no]:
             pending = True
             continue
-        found = True
         if pending:
             blocks.append([])
             pending = False
         blocks[-1].append(run)
     lines = [" ".join("".join(b).split()) for b in blocks]
-    return "\n".join(x for x in lines if x) if found else None
+    return "\n".join(x for x in lines if x)
 
 
-def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@trimmed
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's own candidate: its path, size and text."""
     for batch in batches:
-        hosts, paths, sizes = [], [], []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            path, size = candidate(*parse(page or ""))
-            if size:
-                hosts.append(host)
-                paths.append(path)
-                sizes.append(size)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["host", "path", "size"])
+        paths, sizes, texts = [], [], []
+        for html in batch.column(batch.num_columns - 1).to_pylist():
+            page = parse(html or "")
+            path, size = candidate(page)
+            paths.append(page.spelled(path) if size else None)
+            sizes.append(size)
+            texts.append(extracted(page, path))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "path", "size", "text"])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@trimmed
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages by the first of the host's winning paths that gives text, else by their own."""
     for batch in batches:
         texts = []
-        for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            nodes, runs = parse(page or "")
-            own = candidate(nodes, runs)[0]
-            tried = (extracted(runs, path) for path in ([] if own in (paths or ()) else paths or ()))
-            texts.append(next((x for x in tried if x), None) or extracted(runs, own) or "")
+        for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            page = parse(html or "")
+            tried = (extracted(page, path) for path in map(page.known, paths) if path is not None)
+            texts.append(next((x for x in tried if x), None) or extracted(page, candidate(page)[0]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -220,13 +307,18 @@ def host_of(url: str = "url"):
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Rows of pages (page_id, url, html): page_id, url, text, n_chars."""
-    arrow_batches(pages.sparkSession, 500)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
-    votes = rows.select("host", "html").mapInArrow(_voted, "host string, path string, size long")
-    counted = Cut(votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "votes").df
+    arrow_batches(pages.sparkSession)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of().alias("host"), F.xxhash64("html").alias("k"), F.col("html").cast("string").alias("html"))
+    own = Cut(rows.mapInArrow(_own, "page_id long, url string, host string, k long, path string, size long, text string"), "own").df
+    counted = Cut(own.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "votes").df
     vote = F.struct("n", "size", "path")
     hosts = counted.groupBy("host").agg(F.sum("n").alias("total"), F.max(vote).alias("first"))
-    others = counted.join(small(hosts, most=200_000), "host").where((vote == F.col("first")) | (F.col("n") >= F.greatest(F.lit(LEAST), VOTES * F.col("total"))))
-    won = Cut(others.groupBy("host").agg(F.sort_array(F.collect_list(vote), asc=False)["path"].alias("paths")), "paths")
-    joined = rows.join(small(won.df, most=200_000), "host", "left").select("page_id", "url", "html", "paths")
-    return joined.mapInArrow(_read, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    others = counted.join(small(hosts), "host").where((vote == F.col("first")) | (F.col("n") >= F.greatest(F.lit(LEAST), VOTES * F.col("total"))))
+    won = small(Cut(others.groupBy("host").agg(F.sort_array(F.collect_list(vote), asc=False)["path"].alias("paths")), "paths").df)
+    judged = own.join(won, "host", "left").withColumn("again", F.expr("paths is not null and not coalesce(array_contains(paths, path), false)"))
+    # Only pages of another make than their host's are read again.
+    differ = Cut(judged.where("again").select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("k").alias("_k")).distinct(), "differ").df
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("page_id", "_id"), ("url", "_url"), ("k", "_k"))]
+    reread = rows.join(small(differ), same, "left_semi").join(won, "host", "left").select("page_id", "url", "html", "paths")
+    texts = judged.where("not again").select("page_id", "url", "text").unionByName(reread.mapInArrow(_again, "page_id long, url string, text string"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
