@@ -107,14 +107,11 @@ def _sums(columns: list[str], label: str, folds: int, weights: np.ndarray, mean:
     return sums
 
 
-def source_confound(features: DataFrame, columns: list[str], label: str, folds: int = 5, steps: int = 12, by: str = "id") -> DataFrame:
-    """How well capture features alone tell the label: logistic regression per fold, the AUC of what it says of rows left out.
+def out_of_fold(features: DataFrame, columns: list[str], label: str, folds: int = 5, steps: int = 12, by: str = "id") -> tuple[DataFrame, np.ndarray]:
+    """(fold, label, prob) where each fold's rows are judged by a logistic regression on the others, and the coefficients by fold.
 
-    Folds are dealt by the hash of `by`: its rows stay together. Each Newton step is one pass, in which partitions give sums
-    only. Beside the AUC and the verdict, the standardised coefficients' means over the folds, in the order of columns.
+    Folds are dealt by the hash of `by`: its rows stay together. Each Newton step is one pass, in which partitions give sums only.
     """
-    from assayer.operators.metrics import roc_auc
-
     d = features.where(F.col(label).isNotNull()).select(F.pmod(F.xxhash64(by), F.lit(folds)).cast("int").alias("fold"), F.col(label).cast("double").alias(label), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
     by_fold = d.groupBy("fold").agg(F.count("*").alias("n"), *(f(F.col(c) ** k).alias(f"{c}{k}") for c in columns for f, k in ((F.sum, 1), (F.sum, 2)))).collect()
     k = len(columns) + 1
@@ -140,8 +137,16 @@ def source_confound(features: DataFrame, columns: list[str], label: str, folds:
         for c, w, m, s in zip(columns, weights[left], mean[left], spread[left]):
             own = own + F.lit(float(w)) * (F.col(c) - float(m)) / float(s)
         z = F.when(F.col("fold") == left, own).otherwise(z)
-    said = d.select(F.col(label).alias("label"), (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("prob"), F.lit("all").alias("group"))
+    said = d.select("fold", F.col(label).alias("label"), (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("prob"))
+    return said, weights[:, :-1]
+
+
+def source_confound(features: DataFrame, columns: list[str], label: str, folds: int = 5, by: str = "id") -> DataFrame:
+    """How well capture features alone tell the label: the AUC out of fold, a verdict, and each standardised coefficient's mean over folds."""
+    from assayer.operators.metrics import roc_auc
+
+    said, weights = out_of_fold(features, columns, label, folds, by=by)
     separation = F.abs(F.col("auc") - 0.5) + 0.5
     verdict = F.when(separation >= 0.8, "confounded").when(separation >= 0.65, "suspect").otherwise("clean")
-    coefficients = F.array(*(F.lit(float(x)) for x in weights[:, :-1].mean(axis=0)))
-    return roc_auc(said, "group").select("auc", verdict.alias("verdict"), coefficients.alias("coefficients"))
+    coefficients = F.array(*(F.lit(float(x)) for x in weights.mean(axis=0)))
+    return roc_auc(said.withColumn("group", F.lit("all")), "group").select("auc", verdict.alias("verdict"), coefficients.alias("coefficients"))

@@ -401,9 +401,12 @@ def left_join_labels(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", "source").join(labels, "doc_id", "left")
 
 
-@query("select film, arg_max(case_id, case_id) as case_id, count(*) as n from predictions group by film")
+@query(f"select film, arg_max(case_id, (severity, case_id)) as case_id, arg_max(clinic, (severity, case_id)) as clinic, {R('arg_max(prob, (severity, case_id))')} as prob, count(*) as n from predictions group by film")
 def dedup_last_wins(v: Views) -> DataFrame:
-    return v.predictions.groupBy("film").agg(F.max_by("case_id", "case_id").alias("case_id"), F.count("*").alias("n"))
+    """The last case of each film in the order of severity and case, with what it holds."""
+    from assayer.operators.design import last_by
+
+    return rounded(last_by(v.predictions, "film", ["severity", "case_id"], "case_id", "clinic", "prob"))
 
 
 @query("select case_id, film from predictions p where exists (select 1 from customer c where c.c_custkey = p.film and c.c_acctbal > 0)")
@@ -615,9 +618,12 @@ def channel_capacity(v: Views) -> DataFrame:
 
 # Monitoring.
 
-@query(f"""with d as (select clinic, seq, value, sum(value - 0.2::double - 0.05::double) over w as u, sum(0.2::double - value - 0.05::double) over w as d from readings window w as (partition by clinic order by ts, seq rows unbounded preceding)),
+CUSUM = f"""with d as (select clinic, seq, value, sum(value - 0.2::double - 0.05::double) over w as u, sum(0.2::double - value - 0.05::double) over w as d from readings window w as (partition by clinic order by ts, seq rows unbounded preceding)),
 h as (select clinic, seq, value, u - least(0, min(u) over w) as high, d - least(0, min(d) over w) as low from (select d.*, r.ts from d join readings r using (clinic, seq, value)) window w as (partition by clinic order by ts, seq rows unbounded preceding))
-select clinic, seq, {R('value')} as value, {R('high')} as high, {R('low')} as low, high > 0.5 or low > 0.5 as alarm from h""")
+select clinic, seq, {R('value')} as value, {R('high')} as high, {R('low')} as low, high > 0.5 or low > 0.5 as alarm from h"""
+
+
+@query(CUSUM)
 def cusum_batch(v: Views) -> DataFrame:
     return rounded(monitor.cusum(v.readings, 0.2, 0.05, 0.5))
 
@@ -634,18 +640,17 @@ def sequential_stop(v: Views) -> DataFrame:
     return rounded(monitor.sequential_stop(passes))
 
 
-@query()
+@query(CUSUM)
 def cusum_stream(v: Views) -> DataFrame:
     """The stream's rows once it has taken all that is there, from a folder of readings in the shared place."""
-    import uuid
+    from assayer.sources.tables import scratch
 
-    folder = v.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/assayer-stream"
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch(v.spark, "stream")
     v.readings.write.parquet(f"{base}/in")
     rows = v.spark.readStream.schema(v.readings.schema).parquet(f"{base}/in")
     q = monitor.cusum_stream(rows, 0.2, 0.05, 0.5).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return v.spark.read.parquet(f"{base}/out")
+    return rounded(v.spark.read.parquet(f"{base}/out"))
 
 
 @query()

@@ -9,7 +9,7 @@ from assayer.operators import imaging, study
 from assayer.plans.catalogue import R, rounded
 from assayer.plans.views import Views
 from assayer.registry import query
-from assayer.sources.catalogue import SOURCES, source_registry
+from assayer.sources.catalogue import source_registry
 
 
 def decided(v: Views) -> DataFrame:
@@ -63,7 +63,9 @@ def arms_against_baseline(v: Views) -> DataFrame:
     return rounded(study.against(study.arm_summary(a, ["mc_std", "miss"], "arm"), ["mc_std", "miss"], "baseline", "oracle"))
 
 
-@query("select * from (values " + ", ".join(f"('{s[0]}', {s[3]}, {str(s[4]).lower()}, '{s[9]}', '{'|'.join(sorted(k for k, x in s[10].items() if x != 'verified'))}')" for s in SOURCES) + ") t(key, n_images, both_classes, verdict, unverified)")
+@query("""select * from (values ('nitrd_da', 156, true, 'usable', 'both_classes|institution|licence|n_images'), ('nitrd_db', 150, true, 'usable', 'both_classes|institution|licence|n_images'),
+('tbx11k', 11200, true, 'usable_with_caveats', 'institution'), ('vindr_cxr', 18000, true, 'usable_with_caveats', ''), ('padchest', 160000, true, 'usable_with_caveats', 'class_note'),
+('kaggle_tb_aggregate', 4200, true, 'not_a_fold', 'class_note'), ('niaid_tbportals', 3000, false, 'not_a_fold', '')) t(key, n_images, both_classes, verdict, unverified)""")
 def archive_registry(v: Views) -> DataFrame:
     return source_registry(v.spark).select("key", "n_images", "both_classes", "verdict", F.array_join("unverified", "|").alias("unverified"))
 

@@ -10,20 +10,19 @@ _NITRD = "https://www.kaggle.com/datasets/vbookshelf/da-and-db-tb-chest-x-ray-da
 _KNOWN = ["montgomery", "shenzhen", "niaid", "rsna", "belarus"]
 _REPORTED = {"n_images": "reported", "both_classes": "reported", "institution": "reported", "licence": "unknown"}
 
-# The archives, from most to least useful.
+# The archives, from most to least useful; licence and access by short codes, evidence by field.
 SOURCES = (
-    ("nitrd_da", "NITRD set DA", "India", 156, True, "research use; redistributed on Kaggle", "Kaggle download, no gate", _NITRD, ["montgomery", "shenzhen", "rsna"], "usable", _REPORTED),
-    ("nitrd_db", "NITRD set DB", "India", 150, True, "research use; redistributed on Kaggle", "Kaggle download, no gate", _NITRD, ["montgomery", "shenzhen", "rsna"], "usable", _REPORTED),
-    ("tbx11k", "TBX11K", "China", 11200, True, "CC BY 4.0", "Google Drive / Baidu link from the project page", "https://github.com/yun-liu/Tuberculosis", [], "usable_with_caveats",
-     {"licence": "verified", "native_resolution": "verified", "institution": "unknown"}),
-    ("vindr_cxr", "VinDr-CXR", "Vietnam", 18000, True, "PhysioNet Credentialed Health Data License 1.5.0", "credentialed PhysioNet account + CITI training + signed DUA",
-     "https://physionet.org/content/vindr-cxr/1.0.0/", _KNOWN, "usable_with_caveats", {"licence": "verified", "institution": "verified", "both_classes": "verified"}),
-    ("padchest", "PadChest", "Spain", 160000, True, "research use, via BIMCV", "BIMCV registration", "https://bimcv.cipf.es/bimcv-projects/padchest/", _KNOWN, "usable_with_caveats",
-     {"n_images": "verified", "institution": "verified"}),
-    ("kaggle_tb_aggregate", "Tuberculosis (TB) Chest X-ray Database (Qatar/Dhaka)", "mixed", 4200, True, "CC BY 4.0 on the bundle", "Kaggle download, no gate",
-     "https://www.kaggle.com/datasets/tawsifurrahman/tuberculosis-tb-chest-xray-dataset", [], "not_a_fold", {}),
-    ("niaid_tbportals", "NIAID TB Portals", "multi (Belarus, Moldova, Georgia, ...)", 3000, False, "DUA", "click-through data-use agreement", "https://data.tbportals.niaid.nih.gov/",
-     ["montgomery", "shenzhen", "rsna"], "not_a_fold", {}),
+    ("nitrd_da", "NITRD set DA", "India", 156, True, "research", "open", _NITRD, ["montgomery", "shenzhen", "rsna"], "usable", _REPORTED),
+    ("nitrd_db", "NITRD set DB", "India", 150, True, "research", "open", _NITRD, ["montgomery", "shenzhen", "rsna"], "usable", _REPORTED),
+    ("tbx11k", "TBX11K", "China", 11200, True, "cc-by-4", "link", "https://github.com/yun-liu/Tuberculosis", [], "usable_with_caveats",
+     {"n_images": "verified", "class_note": "verified", "licence": "verified", "native_resolution": "verified", "institution": "unknown"}),
+    ("vindr_cxr", "VinDr-CXR", "Vietnam", 18000, True, "credentialed", "agreement", "https://physionet.org/content/vindr-cxr/1.0.0/", _KNOWN, "usable_with_caveats",
+     {"n_images": "verified", "class_note": "verified", "licence": "verified", "institution": "verified", "both_classes": "verified"}),
+    ("padchest", "PadChest", "Spain", 160000, True, "research", "registration", "https://bimcv.cipf.es/bimcv-projects/padchest/", _KNOWN, "usable_with_caveats",
+     {"n_images": "verified", "institution": "verified", "class_note": "reported"}),
+    ("kaggle_tb_aggregate", "Tuberculosis (TB) Chest X-ray Database (Qatar/Dhaka)", "mixed", 4200, True, "cc-by-4", "open",
+     "https://www.kaggle.com/datasets/tawsifurrahman/tuberculosis-tb-chest-xray-dataset", [], "not_a_fold", {"class_note": "reported", "overlap_risk": "verified"}),
+    ("niaid_tbportals", "NIAID TB Portals", "multi", 3000, False, "agreement", "agreement", "https://data.tbportals.niaid.nih.gov/", ["montgomery", "shenzhen", "rsna"], "not_a_fold", {"both_classes": "verified"}),
 )
 
 
