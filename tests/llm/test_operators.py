@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -70,7 +71,11 @@ def edited(text, rate, rng):
     return " ".join(rng.choice(WORDS) if rng.random() < rate else w for w in text.split())
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("few", [neardup.FEW, 0])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, few):
+    """With 0, all pairs across components are found by their rarest shingles."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "HUB", 2)
     rng = random.Random(8)
     bases = [prose(n, rng) for n in (6, 40, 120, 300)]
     texts = [edited(b, rate, rng) for b in bases for rate in (0, 0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.08) for _ in range(3)] + odd_texts()
@@ -87,6 +92,19 @@ def test_near_duplicates_without_ids_and_rows(spark):
     assert neardup.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_near_duplicates_in_a_crowd_of_unlike_texts(spark):
+    """Many texts that share a third of their words, which fill buckets without being linked, and a few links among them."""
+    rng = random.Random(17)
+    common = prose(50, rng)
+    texts = [f"{common} {' '.join(f'w{rng.randrange(10**7)}' for _ in range(60))}" for _ in range(1500)]
+    texts += [edited(t, 0.01, rng) for t in texts[:100]]
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: i for i in range(1500)} | {1500 + i: i if alike(sets[i], sets[1500 + i]) else 1500 + i for i in range(100)}
+    assert found == want and sum(want[1500 + i] == i for i in range(100)) > 50
+
+
 def test_long_sketches_turn_away_few(spark):
     rng = np.random.default_rng(3)
     for _ in range(20):
@@ -318,25 +336,30 @@ def test_every_query_is_registered():
 
 
 def brute_cross_entropy(texts, chosen):
-    """Bits a token of each text by bigram models counted in plain dictionaries."""
+    """Bits a token of each text by bigram models counted in plain dictionaries over all other texts; each sums to one."""
     tokens = [re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
-    vocabulary, out = len({w for t in tokens for w in t}), []
-    for own in ([tokens[i] for i in chosen], tokens):
-        word, first, pair = Counter(w for t in own for w in t), Counter(w for t in own for w in t[:-1]), Counter(x for t in own for x in zip(t, t[1:]))
-        total = max(sum(word.values()), 1)
-
-        def bits(t):
-            sums = 0.0
-            for k, w in enumerate(t):
-                p = lm.WEIGHTS[0] * word[w] / total + lm.WEIGHTS[1] / vocabulary
-                if k:
-                    n = first[t[k - 1]]
-                    share = lm.PAIR_SHARE * n / (n + lm.PAIR_PRIOR)
-                    p = (1 - share) * p + share * pair[t[k - 1], w] / max(n, 1)
-                sums -= math.log2(p)
-            return sums / len(t) if t else None
-
-        out.append([bits(t) for t in tokens])
+    words, out = {w for t in tokens for w in t}, []
+    for own in (set(chosen), set(range(len(texts)))):
+        word, first, pair = (Counter(x for i in own for x in f(tokens[i])) for f in (list, lambda t: t[:-1], lambda t: list(zip(t, t[1:]))))
+        total = sum(word.values())
+
+        def bits(i):
+            t, taken = tokens[i], tokens[i] if i in own else []
+            w, f, p, n = Counter(taken), Counter(taken[:-1]), Counter(zip(taken, taken[1:])), total - len(taken)
+
+            def probability(x, before):
+                base = lm.WEIGHTS[0] * (word[x] - w[x]) / n + lm.WEIGHTS[1] / len(words) if n else 1 / len(words)
+                if before is None:
+                    return base
+                k = first[before] - f[before]
+                share = lm.PAIR_SHARE * k / (k + lm.PAIR_PRIOR)
+                return (1 - share) * base + share * (pair[before, x] - p[before, x]) / max(k, 1)
+
+            if i % 9 == 0 and t:
+                assert sum(probability(x, t[0]) for x in words) == pytest.approx(1)
+            return -sum(math.log2(probability(x, t[k - 1] if k else None)) for k, x in enumerate(t)) / len(t) if t else None
+
+        out.append([bits(i) for i in range(len(texts))])
     return list(zip(*out))
 
 
@@ -345,12 +368,15 @@ def test_cross_entropy_counts_true_ngrams(spark, monkeypatch, group):
     """Whatever the groups and ranges, each document gets the counts of the whole corpus."""
     monkeypatch.setattr(lm, "GROUP", group, raising=False)
     rng = random.Random(5)
-    texts = [" ".join(rng.choice(WORDS) if rng.random() < 0.7 else f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 120))) for _ in range(60)] + odd_texts()
+    texts = [" ".join(rng.choice(WORDS) if rng.random() < 0.7 else f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 120))) for _ in range(60)] + [t if t is None or len(t) < 10_000 else t[:4000] for t in odd_texts()]
     texts += texts[:5]
     d = docs(spark, texts)
     rows = {r.doc_id: r for r in lm.cross_entropy_difference(d, d.where("doc_id % 3 = 0")).collect()}
     for i, (target, background) in enumerate(brute_cross_entropy(texts, range(0, len(texts), 3))):
         assert rows[i].ce_target == pytest.approx(target) and rows[i].ce_background == pytest.approx(background)
+        assert rows[i].ce_diff is None if target is None else rows[i].ce_diff == pytest.approx(target - background)
+    alone = lm.cross_entropy_difference(docs(spark, ["a b a"]), d.limit(0)).collect()[0]
+    assert alone.ce_target == alone.ce_background == 1.0 and alone.ce_diff == 0.0
 
 
 def test_html_keeps_whole_articles(spark):
@@ -400,3 +426,70 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, leak), (None, b), (7, leak), (7, c), (8, d)]
     kept = corpus_pipeline.decontamination_stage(spark, docs(spark, [t for _, t in rows], [i for i, _ in rows]), str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, b), (7, c), (8, d)])
+
+
+def test_secrets_of_many_matches_take_linear_time(spark):
+    """20,000 matches in one text: spans as by brute force, texts masked once for each stretch of them."""
+    rng = random.Random(1)
+    t = " ".join(f"password=abc{i}def" if i % 2 else f"{rng.getrandbits(120):030x}" if i % 3 else f"zX{i}_{rng.getrandbits(90):024X}q" for i in range(20_000))
+    d = docs(spark, [t, f"token=abc{'f' * 30} {'f' * 30}"])
+    began = time.perf_counter()
+    found = secrets.scanned(d, F.col("source"), F.col("doc_id"))
+    rows = {r.doc_id: r.spans.split(",") for r in secrets.digest(found).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redacted(d, found).collect()}
+    assert time.perf_counter() - began < 30
+    assert [x for x in rows[0] if not x.startswith("token")] == [f"{k}:{a}:{b}" for a, _, b, k in base_spans(t)]
+    at, out = 0, []
+    for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in rows[0]):
+        if a >= at:
+            out.append(t[at:a] + secrets.MASK)
+        at = max(at, b)
+    assert clean[0] == "".join(out) + t[at:] and clean[1] == f"{secrets.MASK} {secrets.MASK}"
+
+
+def test_candidates_apart_from_base_spans(spark):
+    """A candidate goes where any base span meets it, whatever their order and lengths."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(150):
+        parts = ["password=" + "".join(rng.choice("abC1/.") for _ in range(rng.randint(3, 30))), "AKIA" + "Z9" * rng.randint(5, 12), "".join(rng.choice("0af") for _ in range(rng.randint(18, 30))), "".join(rng.choice("xY7-_") for _ in range(rng.randint(15, 30)))]
+        texts.append(rng.choice(["", " ", "/"]).join(rng.choice(parts) for _ in range(rng.randint(1, 9))))
+    rows = {r.doc_id: r for r in secrets.digest(secrets.scanned(docs(spark, texts), F.col("source"), F.col("doc_id"))).collect()}
+    values = Counter()
+    want = {}
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        more = [(m.start(), 3, m.end(), "token") for m in re.finditer("[A-Za-z0-9_-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        want[i] = base, [x for x in more if not any(y[0] < x[2] and x[0] < y[2] for y in base)]
+        values.update({t[a:b] for a, _, b, _ in want[i][1]} | {ASSIGN.match(t, a)[1] if k == "assign" else t[a:b] for a, _, b, k in base})
+    for i, t in enumerate(texts):
+        base, more = want[i]
+        live = [x for x in more if values[t[x[0] : x[2]]] == 1]
+        spans = rows[i].spans.split(",") if rows[i].spans else []
+        assert {f"{k}:{a}:{b}" for a, _, b, k in base + live} <= set(spans) <= {f"{k}:{a}:{b}" for a, _, b, k in base + more}
+
+
+def test_url_scores_match_the_model(spark):
+    """The SQL score is that of the weights, on all pages and on long URLs; the labelled table has no host of the pages."""
+    given = [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()] + ["http://" + "é-casino." * 500 + "x/" + "p" * 5000, None, "http://ab/", "://"]
+    df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    weights, bias = urls.learn()
+    z = urls.features(["" if u is None else u for u in given]) @ weights + bias
+    rows = {r.page_id: r for r in urls.judged(df).collect()}
+    for i, u in enumerate(given):
+        assert rows[i].score == pytest.approx(1 / (1 + np.exp(-np.clip(z[i], -40, 40))), abs=1e-9)
+        h, p = urls.parts(u)
+        fits = [(len(b + c), -n, a, b + c) for n, (a, b, c) in enumerate(urls.RULES) if (h == b or h.endswith("." + b)) and p.startswith(c)]
+        assert (rows[i].rule, rows[i].verdict) == ((max(fits)[3], max(fits)[2]) if fits else (None, "block" if rows[i].score >= 0.5 else "allow"))
+    own = {urls.parts(u)[0].split(".")[0] for u in urls.BLOCK + urls.ALLOW}
+    assert not own & {x for u in given[:-4] for x in urls.parts(u)[0].split(".")} - {"www", "m", "blog"}
+
+
+def test_url_model_by_cross_validation():
+    x, y = urls.features(urls.BLOCK + urls.ALLOW), np.array([1.0] * len(urls.BLOCK) + [0.0] * len(urls.ALLOW))
+    right = 0
+    for k in range(8):
+        out = np.arange(len(y)) % 8 == k
+        w, bias = urls.fit(x[~out], y[~out])
+        right += ((x[out] @ w + bias >= 0) == (y[out] == 1)).sum()
+    assert right / len(y) > 0.75
