@@ -40,10 +40,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _gone(spark: SparkSession, path: str) -> None:
     try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(spark, path)
     except Exception:  # the session may have ended before the interpreter
         pass
 
