@@ -32,19 +32,6 @@ def cluster_bootstrap(df: DataFrame, score: str, cluster: str, draws: int = 200,
     return auc.agg(*(F.when(enough, F.percentile("auc", q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))), F.count("auc").alias("draws"))
 
 
-def design_power(grid: DataFrame, simulations: int = 200) -> DataFrame:
-    """For each design (n, readers, effect): the share of simulated studies whose mean difference exceeds 1.96 standard errors."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, readers, effect = int(key[0]), int(key[1]), float(key[2])
-        rng = np.random.default_rng([n, readers, int(effect * 1000)])
-        x = rng.normal(effect, 1.0, (simulations, n)) + rng.normal(0, 1.0, (simulations, n, readers)).mean(axis=2)
-        z = x.mean(axis=1) / (x.std(axis=1, ddof=1) / np.sqrt(n))
-        return pd.DataFrame([(n, readers, effect, float((np.abs(z) >= 1.96).mean()))], columns=["n", "readers", "effect", "power"])
-
-    return grid.groupBy("n", "readers", "effect").applyInPandas(run, "n int, readers int, effect double, power double")
-
-
 def balanced_assignment(edges: list[tuple[str, str]], per_cell: int) -> dict[str, str]:
     """Each film to at most one of its cells, cells filled level by level along augmenting paths."""
     cells: dict[str, list[str]] = {}

@@ -662,9 +662,9 @@ def cluster_bootstrap(v: Views) -> DataFrame:
 
 @query()
 def design_power(v: Views) -> DataFrame:
-    from assayer.operators.montecarlo import design_power as power
+    from assayer.operators.readers import design_power as power
 
-    grid = v.spark.createDataFrame([(n, k, e) for n in (60, 120, 240) for k in (1, 3) for e in (0.1, 0.2)], "n int, readers int, effect double")
+    grid = v.spark.createDataFrame([(n, k, 0.5, r) for n in (60, 120, 240) for k in (1, 3) for r in (0.3, 0.45)], "n int, readers int, icc double, signal_r double")
     return power(grid)
 
 
