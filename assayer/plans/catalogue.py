@@ -388,15 +388,15 @@ def pairwise_clinics(v: Views) -> DataFrame:
 
 # Joins, sets and reshaping.
 
-@query("select case_id, clinic, e.event_type, p.prob >= 0.5 as said from predictions p left join (select event_id, event_type from events where event_id % 3 <> 0) e on e.event_id = p.case_id")
+@query("select case_id, clinic, e.event_type, p.prob >= 0.5 as said from predictions p left join (select event_id, event_type from events) e on e.event_id = p.case_id")
 def left_join_meta(v: Views) -> DataFrame:
-    meta = v.table("events").where("event_id % 3 <> 0").select(F.col("event_id").alias("case_id"), "event_type")
+    meta = v.table("events").select(F.col("event_id").alias("case_id"), "event_type")
     return v.predictions.join(meta, "case_id", "left").select("case_id", "clinic", "event_type", (F.col("prob") >= 0.5).alias("said"))
 
 
 @query("select d.doc_id, d.source, l.quality, l.toxic from documents d left join labels l on l.doc_id = d.doc_id")
 def left_join_labels(v: Views) -> DataFrame:
-    """The whole of both tables, where some documents have no label; left_join_meta leaves out a third of the rows, as its SQL does."""
+    """The whole of both tables, where some documents have no label."""
     labels = v.table("labels").select("doc_id", "quality", "toxic")
     return v.table("documents").select("doc_id", "source").join(labels, "doc_id", "left")
 
@@ -711,24 +711,16 @@ def finding_contrast(v: Views) -> DataFrame:
     return rounded(d.select("case_id", slab_contrast(rho, size).alias("delta_d"), slab_contrast_sigma(rho, rho * 0.1, size, size * 0.4).alias("sigma")))
 
 
-@query(f"""with x as (select clinic, id, i, px[i]::double as x from images, range(1, 9) t(i)),
+@query(f"""with x as (select clinic, id, i, px[i]::double as x from images, range(1, 65) t(i)),
 m as (select clinic, i, avg(x) as m from x group by all),
 c as (select a.clinic, a.i, b.i as j, covar_samp(a.x, b.x) as c from x a join x b using (clinic, id) group by all),
 mt as (select a.clinic as a, b.clinic as b, sum((a.m - b.m) * (a.m - b.m)) as t from m a join m b on a.i = b.i and a.clinic < b.clinic group by all),
-ct as (select a.clinic as a, b.clinic as b, sum((a.c - b.c) * (a.c - b.c)) / (4 * 64) as t from c a join c b on a.i = b.i and a.j = b.j and a.clinic < b.clinic group by all)
+ct as (select a.clinic as a, b.clinic as b, sum((a.c - b.c) * (a.c - b.c)) / (4 * 64 * 64) as t from c a join c b on a.i = b.i and a.j = b.j and a.clinic < b.clinic group by all)
 select a as clinic_a, b as clinic_b, {R('mt.t + ct.t')} as distance from mt join ct using (a, b)""")
 def coral_distance(v: Views) -> DataFrame:
     from assayer.operators.physics import coral
 
-    return rounded(coral(v.images.select("id", "clinic", F.slice("px", 1, 8).alias("x")), 8))
-
-
-@query()
-def coral_distance_whole(v: Views) -> DataFrame:
-    """Over all values of a vector; coral_distance reads the first eight, as its SQL does."""
-    from assayer.operators.physics import coral_whole
-
-    return rounded(coral_whole(v.images.select("clinic", F.col("px").alias("x"))))
+    return rounded(coral(v.images.select("clinic", F.col("px").alias("x"))))
 
 
 METHODS = "m as (select case_id, label, prob, unnest([{'method': 'max_prob', 'conf': greatest(prob, 1 - prob)}, {'method': 'mc_dropout', 'conf': 1 - mc_std / 0.2::double}], recursive := true) from predictions)"

@@ -230,16 +230,16 @@ def test_coral_reads_whole_vectors(spark):
     for r in Views(spark, sf).images.select("clinic", "px").collect():
         clinics.setdefault(r.clinic, []).append(r.px)
     stats = {k: (np.mean(x, 0), np.cov(np.array(x, float).T)) for k, x in clinics.items() if len(x) > 1}
-    got = {(r.clinic_a, r.clinic_b): r.distance for r in QUERIES["coral_distance_whole"](spark, sf).collect()}
+    got = {(r.clinic_a, r.clinic_b): r.distance for r in QUERIES["coral_distance"](spark, sf).collect()}
     assert len(got) == len(stats) * (len(stats) - 1) // 2
     for (a, b), distance in got.items():
         (ma, ca), (mb, cb) = stats[a], stats[b]
         assert distance == pytest.approx(((ma - mb) ** 2).sum() + ((ca - cb) ** 2).sum() / (4 * len(ma) ** 2), abs=1e-6)
 
-    from assayer.operators.physics import coral_whole
+    from assayer.operators.physics import coral
 
     rows = [("ab"[i % 2], [float(i % 3)] * 63 + [float(i % 2) * 5]) for i in range(12)]
-    assert coral_whole(spark.createDataFrame(rows, "clinic string, x array<float>").repartition(3)).first().distance == pytest.approx(25)
+    assert coral(spark.createDataFrame(rows, "clinic string, x array<float>").repartition(3)).first().distance == pytest.approx(25)
 
 
 def test_left_join_drops_no_partner(spark):
