@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -14,35 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.sources.tables import importable
+from assayer.sources.tables import delete, importable, scratch
 
 #: A side of a join is broadcast up to so many bytes, of its values and ROW_BYTES a row; larger ones are shuffled.
 BROADCAST_BYTES, ROW_BYTES = 2_000_000, 24
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own_folder:
-            _own_folder.append("file://" + tempfile.mkdtemp(prefix="assayer-"))
-        folder = _own_folder[0]
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        _delete(spark, path)
-    except Exception:  # the session may have ended before the interpreter
-        pass
+_kept: list[Cut] = []
 
 
 class Cut:
@@ -50,15 +24,22 @@ class Cut:
 
     def __init__(self, df: DataFrame, name: str = "cut"):
         self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        self.path = scratch(self.spark, name)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        self._at_exit = atexit.register(_delete_at_exit, self.spark, self.path)
+        _kept.append(self)
 
     def drop(self) -> None:
-        """Only once no plan reads it any more."""
-        atexit.unregister(self._at_exit)
-        _delete(self.spark, self.path)
+        """Only once no plan reads it any more; what is left goes with the interpreter."""
+        if self in _kept:
+            _kept.remove(self)
+            delete(self.spark, self.path)
+
+
+def clear() -> None:
+    """Drops all tables of this kind: in a long session, once the results that were made from them are written."""
+    for x in list(_kept):
+        x.drop()
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -2,13 +2,17 @@
 
 Rows with equal shingle sets are one node. In each bucket of a band all nodes are tried against one hub, which joins large
 groups of copies at a cost in proportion to their size. Then only pairs of a bucket are left that still lie in different
-components; longer sketches, made for the nodes of such buckets alone, pass those that may reach the similarity, each in
-the first bucket that it shares. So no group is expanded into its pairs. A pair of similarity 0.75 shares none of the 32
-bands of 4 values with probability 6e-6, and is turned away by a sketch with less than that.
+components. Where few nodes lie outside the bucket's main component, each is tried against the bucket. Where many do, which
+are alike yet not linked, the bucket is split by the rarest shingles of its nodes: sets of the least similarity share one
+among so many of their rarest, in any fixed order of all shingles, so no link is lost and what the nodes have in common, being
+frequent, brings none together. Longer sketches, made for the nodes of such buckets alone, pass the pairs that may reach the
+similarity. So no group is expanded into its pairs. A pair of similarity 0.75 shares none of the 32 bands of 4 values with
+probability 6e-6, and is turned away by a sketch with less than that.
 
 Results: a null text, an empty one or one of white space only has no shingles and is linked with nothing. Fewer than
 `words` words count as one shingle. Rows of one doc_id are one document, of which each row keeps its own n_shingles. A
 row without doc_id is linked like any other but names no component: without a link to an id its component_id is null.
+An empty table gives no rows. Long texts are read whole. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import BROADCAST_ROWS, Cut, arrow_batches, small
+from assayer.llm.common import Cut, arrow_batches, small, trimmed
 from assayer.llm.textwords import mix, shingles, slices
 
 BANDS, ROWS = 32, 4
@@ -30,8 +34,14 @@ SKETCH_BITS = 256
 LONGER = ((512, 1024), (3072, 4096))
 #: Deviations that a sketch may lie beyond what the least similarity leads one to expect.
 SLACK = 4.5
-#: Bytes kept of a shingle's hash: two sets of a thousand agree by chance on one with probability 4e-9.
-KEPT = 6
+#: Nodes outside a bucket's main component up to which they are tried against the whole bucket.
+FEW = 64
+#: Nodes of a block that is tried against another.
+BLOCK = 1024
+#: Bits of the table of shingles' frequencies (4 MB), which gives their order.
+FREQUENCY_BITS = 20
+#: Pairs of one hub that are confirmed in one task.
+HUB = 2000
 #: Ids lie below this.
 NO_ID = 1 << 62
 
@@ -103,22 +113,51 @@ def _sketched(words: int):
                     rows.append((ids[i], len(own), *_fingerprint(own), _bands(least), odd_sketch(least)))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return sketched, "node long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>"
+    return trimmed(sketched), "node long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>"
+
+
+def _each_set(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
+    for first, last, h, at in slices(batch):
+        for i in range(last - first):
+            yield shingles(h[at[i] : at[i + 1]], words)
 
 
 def _sets(words: int):
-    """(node, the set's hashes cut to KEPT bytes) of texts."""
+    """(node, the set's sorted hashes) of texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _each_set(batch, words)], pa.binary())], names=["node", "own"])
+
+    return trimmed(sets), "node long, own binary"
+
+
+def _frequencies(words: int):
+    """How many sets hold shingles of each cell of the table."""
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FREQUENCY_BITS, np.int64)
+        for batch in batches:
+            for own in _each_set(batch, words):
+                np.add.at(total, (own >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), 1)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+
+    return trimmed(frequencies), "cell long, n long"
+
+
+def _rarest(words: int, percent: int, frequency):
+    """(node, those of its rarest shingles of which similar sets share one)."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for first, last, h, at in slices(batch):
-                for i in range(first, last):
-                    own = shingles(h[at[i - first] : at[i - first + 1]], words)
-                    out.append(np.unique(own >> np.uint64(64 - 8 * KEPT)).view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "own"])
+            for own in _each_set(batch, words):
+                order = np.lexsort((own, frequency.value[(own >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]))
+                out.append(own[order[: len(own) + (-percent * len(own)) // 100 + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "rare"])
 
-    return sets, "node long, own binary"
+    return trimmed(rarest), "node long, rare array<long>"
 
 
 def _longer(words: int):
@@ -129,20 +168,79 @@ def _longer(words: int):
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for first, last, h, at in slices(batch):
-                for i in range(first, last):
-                    least = minhash(shingles(h[at[i - first] : at[i - first + 1]], words), _MOST)
-                    out.append([_bands(least[:_K]), *(odd_sketch(least[:k], bits) for k, bits in LONGER)])
+            for own in _each_set(batch, words):
+                least = minhash(own, _MOST)
+                out.append([_bands(least[:_K]), *(odd_sketch(least[:k], bits) for k, bits in LONGER)])
             columns = [pa.array(x, schema.field(1).type) for x in zip(*out)] or [pa.array([], schema.field(1).type)] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 
-    return longer, "node long, " + ", ".join(f"{x} array<long>" for x in names)
-
+    return trimmed(longer), "node long, " + ", ".join(f"{x} array<long>" for x in names)
+
+
+def _tried(own: np.ndarray, across: bool, comp: np.ndarray, g: int, sets: list[np.ndarray], sketches: list[np.ndarray], most: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (as places) of a block, or across two, that lie in different components, that sketches pass, and that share no shingle before g."""
+    n, left, right = len(own), [], []
+    for at in range(0, n, 64):
+        rows = np.arange(at, min(at + 64, n))
+        x, y = np.nonzero((comp[rows, None] != comp) & (rows[:, None] < np.arange(n)) & ((own[rows, None] != own) if across else True))
+        x += at
+        for z, bound in zip(sketches, most):
+            for k in range(0, len(x), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                good = np.bitwise_count(z[x[part]] ^ z[y[part]]).sum(axis=1, dtype=np.int64) <= bound
+                x[part], y[part] = np.where(good, x[part], -1), y[part]
+            x, y = x[x >= 0], y[x >= 0]
+        left.append(x)
+        right.append(y)
+    x, y = np.concatenate(left), np.concatenate(right)
+    if len(x):
+        # Whoever shares an earlier one meets there.
+        earlier = [s[s < g] for s in sets]
+        token, place = np.unique(np.concatenate(earlier), return_inverse=True)
+        row = np.repeat(np.arange(n), list(map(len, earlier)))
+        met = np.zeros(len(x), bool)
+        for k in range(0, len(token), 4096):
+            inside = (place >= k) & (place < k + 4096)
+            held = np.zeros((n, min(4096, len(token) - k)), bool)
+            held[row[inside], place[inside] - k] = True
+            for c in range(0, len(x), 4096):
+                met[c : c + 4096] |= (held[x[c : c + 4096]] & held[y[c : c + 4096]]).any(axis=1)
+        x, y = x[~met], y[~met]
+    return x, y
+
+
+def _crowded(percent: int):
+    """The pairs (a, b) of groups (g, i, j) of rows, which come sorted by them."""
+    most = [most_odd(percent / 100, samples, bits) for samples, bits in LONGER]
+
+    def pairs(t: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+        g, i, j, own, node, comp = (t.column(k).to_numpy() for k in range(6))
+        sets = t.column(6)
+        z = [t.column(k).flatten().to_numpy().view(np.uint64).reshape(len(t), -1) for k in (7, 8)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low, high in zip(edges, edges[1:]):
+            if high - low < 2 or (comp[low:high] == comp[low]).all():
+                continue
+            here = [x.values.to_numpy() for x in sets[low:high]]
+            x, y = _tried(own[low:high], i[low] != j[low], comp[low:high], g[low], here, [s[low:high] for s in z], most)
+            a.append(np.minimum(node[low + x], node[low + y]))
+            b.append(np.maximum(node[low + x], node[low + y]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = batch if held is None or not len(held) else pa.concat_batches([held, batch])
+            if not len(t):
+                continue
+            keys = np.stack([t.column(k).to_numpy() for k in range(3)])
+            edges = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1]
+            yield pairs(t, edges)
+            held = t.slice(edges[-1])
+        if held is not None and len(held):
+            yield pairs(held, np.array([0, len(held)]))
 
-def _unpacked(own: bytes) -> np.ndarray:
-    x = np.zeros((len(own) // KEPT, 8), np.uint8)
-    x[:, :KEPT] = np.frombuffer(own, np.uint8).reshape(-1, KEPT)
-    return x.view(np.uint64).ravel()
+    return trimmed(crowded), "a long, b long"
 
 
 def _confirmed(percent: int):
@@ -153,13 +251,13 @@ def _confirmed(percent: int):
             for a, b in zip(batch.column(2), batch.column(3)):
                 a = a.as_py()
                 if a != last:
-                    last, known = a, _unpacked(a)
-                other = _unpacked(b.as_py())
+                    last, known = a, np.frombuffer(a, np.uint64)
+                other = np.frombuffer(b.as_py(), np.uint64)
                 both = len(np.intersect1d(known, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(known) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return confirmed, "a long, b long"
+    return trimmed(confirmed), "a long, b long"
 
 
 def components(edges: DataFrame) -> Cut:
@@ -224,39 +322,65 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         """The pairs (a, b) that full sets confirm."""
         wanted = Cut(close.df.select(F.col("a").alias("node")).distinct().unionByName(close.df.select(F.col("b").alias("node")).distinct()).distinct(), "wanted")
         packed = Cut(once(texts_of(wanted).mapInArrow(*_sets(words)), "node", "own"), "sets")
-        first = packed.df.select(F.col("node").alias("b"), F.col("own").alias("y")).join(small(close.df), "b")
-        sized = first.join(packed.df.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+        # A hub's set goes once to each part of its pairs.
+        hubs = small(Cut(close.df.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"), "hubs").df)
+        first = packed.df.select(F.col("node").alias("b"), F.col("own").alias("y")).join(small(close.df), "b").join(hubs, "a", "left")
+        part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+        sent = packed.df.select(F.col("node").alias("a"), F.col("own").alias("x")).join(hubs, "a", "left")
+        sent = sent.select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        sized = first.select("a", "b", "y", part.alias("part")).join(sent, ["a", "part"])
         links = Cut(sized.select("a", "b", "x", "y").mapInArrow(*_confirmed(percent)), "links")
         for x in (close, wanted, packed):
             x.drop()
         return links
 
+    def split(many: Cut, longer: Cut) -> DataFrame:
+        """The pairs (a, b) across components, of nodes (node, comp), that share one of their rarest shingles and that sketches pass."""
+        ours = texts_of(Cut(many.df.select("node"), "ours"))
+        table = np.zeros(1 << FREQUENCY_BITS, np.uint32)
+        # The table's size is fixed, whatever the number of texts.
+        for row in ours.mapInArrow(*_frequencies(words)).groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+            table[row.column(0).to_numpy()] = np.minimum(row.column(1).to_numpy(), 0xFFFFFFFF)
+        frequency = docs.sparkSession.sparkContext.broadcast(table)
+        rare = Cut(once(ours.mapInArrow(*_rarest(words, percent, frequency)), "node", "rare").join(small(many.df), "node").select("node", "comp", F.explode("rare").alias("g")), "rare")
+        shared = rare.df.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("low < high").select("g", "parts")
+        met = rare.df.join(small(Cut(shared, "shared").df), "g").groupBy("node", "comp").agg(F.sort_array(F.collect_list(F.struct("g", "parts"))).alias("gs"))
+        placed = met.join(small(longer.df), "node").select("node", "comp", F.col("gs.g").alias("gs"), "z0", "z1", F.inline("gs"))
+        # A large group is tried block by block with each other.
+        placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        keyed = placed.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "gs", "z0", "z1")
+        pairs = Cut(keyed.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(*_crowded(percent)), "crowd").df
+        rare.drop()
+        return pairs
+
     # Each node against the hubs of its buckets.
     tried = Cut(members.df.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    n = tried.df.count()
-    left = nodes.df.select(F.col("node").alias("a"), F.col("sketch").alias("x")).join(small(tried.df, n), "a")
-    both = nodes.df.select(F.col("node").alias("b"), F.col("sketch").alias("y")).join(small(left, 3 * n), "b")
+    left = Cut(nodes.df.select(F.col("node").alias("a"), F.col("sketch").alias("x")).join(small(tried.df), "a"), "left")
+    both = nodes.df.select(F.col("node").alias("b"), F.col("sketch").alias("y")).join(small(left.df), "b")
     links = confirmed(Cut(both.where(f"{odd} <= {bits}").select("a", "b"), "close"))
     comp = components(links.df)
 
     # Buckets that hold several components: the pairs across them.
     placed = members.df.select("k", "node").join(small(comp.df), "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp"))
     by_comp = placed.groupBy("k", "comp").agg(F.count("*").alias("n"))
-    mixed = by_comp.groupBy("k").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main")).where("parts > 1").select("k", "main")
+    mixed = by_comp.groupBy("k").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("parts > 1").select("k", "main", "others")
     here = Cut(placed.join(small(Cut(mixed, "mixed").df), "k"), "here")
     wanted = Cut(here.df.select("node").distinct(), "wanted")
     longer = Cut(once(texts_of(wanted).mapInArrow(*_longer(words)), "node", "z0", "z1"), "longer")
-    carried = here.df.join(small(longer.df, most=BROADCAST_ROWS // 100), "node")
-    rest = carried.where("comp <> main").select("k", "node", "comp", "bands", "z0", "z1")
-    other = carried.select("k", F.col("node").alias("node2"), F.col("comp").alias("comp2"), "main", F.col("bands").alias("bands2"), F.col("z0").alias("y0"), F.col("z1").alias("y1"))
     near = " + ".join(f"bit_count(z0[{i}] ^ y0[{i}])" for i in range(LONGER[0][1] // 64)) + f" <= {most_odd(percent / 100, *LONGER[0])}"
     nearer = f"aggregate(zip_with(z1, y1, (p, q) -> bit_count(p ^ q)), 0, (a, v) -> a + v) <= {most_odd(percent / 100, *LONGER[1])}"
+    carried = here.df.where(F.col("others") <= FEW).join(small(longer.df), "node")
+    rest = carried.where("comp <> main").select("k", "node", "comp", "bands", "z0", "z1")
+    other = carried.select("k", F.col("node").alias("node2"), F.col("comp").alias("comp2"), "main", F.col("bands").alias("bands2"), F.col("z0").alias("y0"), F.col("z1").alias("y1"))
     across = f"comp <> comp2 and (comp2 = main or node < node2) and {near} and {nearer} and element_at(array_intersect(bands, bands2), 1) = k"
     pairs = rest.join(other, "k").where(across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    many = Cut(here.df.where(F.col("others") > FEW).select("node", "comp").distinct(), "many")
+    if not many.df.isEmpty():
+        pairs = pairs.unionByName(split(many, longer))
     more = confirmed(Cut(pairs, "close"))
     if not more.df.isEmpty():
         comp = components(more.df.unionByName(comp.df.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-    for x in (links, more, here, wanted, longer, tried, members, hubs):
+    for x in (links, more, many, here, wanted, longer, left, tried, members, hubs):
         x.drop()
     whole = nodes.df.select("f1", "f2", "node").join(comp.df, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("comp"))
     out = rows.df.select("node", "n_shingles", "f1", "f2").join(whole, ["f1", "f2"], "left")

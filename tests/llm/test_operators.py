@@ -76,6 +76,7 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, few):
     """With 0, all pairs across components are found by their rarest shingles."""
     monkeypatch.setattr(neardup, "FEW", few)
     monkeypatch.setattr(neardup, "HUB", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
     rng = random.Random(8)
     bases = [prose(n, rng) for n in (6, 40, 120, 300)]
     texts = [edited(b, rate, rng) for b in bases for rate in (0, 0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.08) for _ in range(3)] + odd_texts()
