@@ -4,7 +4,9 @@ Trained by numpy on a bounded sample of labelled windows; applied to all windows
 A text's language is that of the highest mean probability over its windows, weighted by their letters.
 
 A null text, or one without any letter, is `und` with score 0. Without labelled rows every text is. Ties go to the
-language that sorts first. Repeated rows are judged alike.
+language that sorts first. Long texts are read whole, a piece at a time. Repeated rows are judged alike, rows without doc_id
+too; an empty table gives no rows. Labelled rows without a language or text teach nothing. Other columns, whatever their names,
+are left out.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import arrow_batches, bounded_sample
+from assayer.llm.common import arrow_batches, bounded_sample, trimmed
 from assayer.llm.textwords import PIECE
 
 #: Bytes of a window; widths of the filters, and how many of each.
@@ -146,7 +148,7 @@ def _predicted(net):
             langs, scores = _judged(net.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), batch.column(2)], names=["doc_id", "lang_pred", "score", "letters"])
 
-    return predicted, "doc_id long, lang_pred string, score double, letters boolean"
+    return trimmed(predicted), "doc_id long, lang_pred string, score double, letters boolean"
 
 
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ The fullest window is filled before it is emitted, with the first part of the pi
 freely. At the end of a partition its open windows are poured together, so that one part of a window is left over; these
 leftovers are poured together again, some partitions' at a time, until few are left. Only the last are padded.
 
-A null or empty text is the end id alone. Repeated rows are packed each. An empty table gives no rows.
+A null or empty text is the end id alone. Repeated rows are packed each, and so are rows without doc_id, whose pieces have
+none. Long texts are cut at window ends. Of windows that fit equally well the first opened takes the piece. An empty table
+gives no rows. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Cut, arrow_batches
+from assayer.llm.common import Cut, arrow_batches, trimmed
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW, OPEN_WINDOWS, END_ID = 2048, 64, 1
@@ -166,7 +168,7 @@ def _packed(path: str, window: int, most_open: int):
         rows, left = packer.merged()
         yield _batch(rows + _left(left))
 
-    return packed, _PIECES
+    return trimmed(packed), _PIECES
 
 
 def _poured(level: int, window: int, last: bool):
@@ -189,7 +191,7 @@ def _poured(level: int, window: int, last: bool):
             yield _batch(rows)
         yield _batch(packer.rows(current) if last and current.used else _left(current))
 
-    return poured, _PIECES
+    return trimmed(poured), _PIECES
 
 
 def pack(docs: DataFrame, path: str = TOKENIZER, window: int = WINDOW, most_open: int = OPEN_WINDOWS) -> DataFrame:

@@ -4,9 +4,11 @@ Sequential covering grows conjunctions of thresholds for low quality on labelled
 on rows held back from its growth, and stops where a rule no longer holds there. The list becomes one ordered conditional
 expression. The learner itself sees a bounded sample of labelled rows, on the driver.
 
-A null text counts as empty and has no words; it fails the base rules. Without labels of both kinds the list is empty and
-the base rules alone decide. Rows of labels for one document are taken together, the lowest quality counts. Repeated rows
-are judged alike.
+A null text counts as empty and has no words; it fails the base rules. Long texts count whole. Without labels of both kinds
+the list is empty and the base rules alone decide; an empty table gives no rows. Rows of labels for one document are taken
+together, the lowest quality counts; labels without a document are left out. Repeated rows are judged alike, rows without
+doc_id too. Of equally good conditions the first statistic's and the lowest threshold's counts. Other columns of docs, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
