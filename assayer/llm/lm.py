@@ -6,7 +6,11 @@ every document in tables that grow with the corpus. Documents are dealt into gro
 n-grams are counted within it and shuffled by ranges of their hashes, where they are summed over all groups; each group
 gets back the sums of its own n-grams only. So a frequent n-gram is one row a group, and nothing of the model is collected.
 
-A text without words, or a null one, has 0 tokens and null scores. Repeated rows are counted and scored each.
+No document is scored by its own counts: they are taken off the sums of each model that it is part of.
+
+A text without words, or a null one, has 0 tokens and null scores. Repeated rows are counted and scored each, so that copies
+count for each other. An empty table gives no rows; without a target its model is uniform, as is the background's for a
+document alone. Long texts are read whole. Ties have equal scores. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Cut, arrow_batches, small
+from assayer.llm.common import Cut, arrow_batches, small, trim
 from assayer.llm.textwords import mix, slices
 
 #: Shares of the word's and the uniform probability; the pair's takes a part of both, which grows with the first word's count.
@@ -57,11 +61,21 @@ def _unpacked(data: bytes, kind: type, rows: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(rows, -1)
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys by the steps between them, which are small and leave zeros."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64, 1)[0], dtype=np.uint64)
+
+
 def _counted(bits: int):
     bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def counted(docs: pa.Table) -> pa.Table:
         """Counts of a group: of its words, as words and as a pair's first, and of its pairs; each of all texts and of the target's."""
+        trim()
         h, at = _tokens(docs)
         words, word, pairs, pair, second = _grams(h, at)
         mine = np.repeat(np.array(docs.column("target").to_pylist(), bool), np.diff(at))
@@ -78,7 +92,7 @@ def _counted(bits: int):
                 if edges[r] < edges[r + 1]:
                     own = slice(edges[r], edges[r + 1])
                     ranges.append((k << bits) + r)
-                    keys.append(found[own].tobytes())
+                    keys.append(_steps(found[own] - bounds[r]))
                     counts.append(_packed(n[:, own]))
         groups = pa.array([docs.column("part")[0].as_py()] * len(ranges), pa.int64())
         return pa.table({"part": groups, "range": pa.array(ranges, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
@@ -89,8 +103,9 @@ def _counted(bits: int):
 def _summed(bits: int):
     def summed(rows: pa.Table) -> pa.Table:
         """The sums over all groups, given back to each for its own n-grams; part -1 has the words' totals."""
+        trim()
         r = rows.column("range")[0].as_py()
-        keys = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
+        keys = [_keys(x) for x in rows.column("keys").to_pylist()]
         counts = np.hstack([_unpacked(x, np.int32, 2 if r >> bits else 4) for x in rows.column("counts").to_pylist()])
         found, place = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.stack([np.bincount(place, x, len(found)) for x in counts]).astype(np.int64)
@@ -104,10 +119,17 @@ def _summed(bits: int):
     return summed, "part long, range int, counts binary, words long, background long, target long"
 
 
+def _within(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each token, how often its id occurs in its own row."""
+    _, place, n = np.unique(rows.astype(np.int64) << 32 | ids, return_inverse=True, return_counts=True)
+    return n[place]
+
+
 def _scored(bits: int, vocabulary: int, totals: tuple[int, int]):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ce_target", pa.float64()), ("ce_background", pa.float64()), ("ce_diff", pa.float64())])
 
     def scored(docs: pa.Table, model: pa.Table) -> pa.Table:
+        trim()
         h, at = _tokens(docs)
         words, word, pairs, pair, second = _grams(h, at)
         blobs = sorted(zip(model.column("range").to_pylist(), model.column("counts").to_pylist()))
@@ -116,13 +138,18 @@ def _scored(bits: int, vocabulary: int, totals: tuple[int, int]):
             raise RuntimeError("the texts of a group changed between counting and scoring")
         n = np.diff(at)
         rows = np.repeat(np.arange(len(n)), n)
+        mine = np.array(docs.column("target").to_pylist(), bool)[rows]
+        before = word[second - 1]
+        own_word, own_before, own_pair = _within(rows, word), _within(rows[second], before), _within(rows[second], pair)
         means = []
         for side in (1, 0):
-            base = WEIGHTS[0] * sums[0][side] / max(totals[side], 1) + WEIGHTS[1] / max(vocabulary, 1)
-            p = base[word]
-            before = sums[0][2 + side][word[second - 1]]
-            share = PAIR_SHARE * before / (before + PAIR_PRIOR)
-            p[second] = (1 - share) * p[second] + share * sums[1][side][pair] / np.maximum(before, 1)
+            # Without what the document itself has brought.
+            part = mine if side else np.ones(len(h), bool)
+            total = totals[side] - n[rows] * part
+            p = np.where(total > 0, WEIGHTS[0] * (sums[0][side][word] - own_word * part) / np.maximum(total, 1) + WEIGHTS[1] / max(vocabulary, 1), 1 / max(vocabulary, 1))
+            first = sums[0][2 + side][before] - own_before * part[second]
+            share = PAIR_SHARE * first / (first + PAIR_PRIOR)
+            p[second] = (1 - share) * p[second] + share * (sums[1][side][pair] - own_pair * part[second]) / np.maximum(first, 1)
             means.append(np.bincount(rows, -np.log2(p), len(n)) / np.maximum(n, 1))
         empty = n == 0
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(n), *(pa.array(x, mask=empty) for x in (*means, means[0] - means[1]))], schema=schema)
@@ -141,9 +168,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     bits = max(RANGES, size // RANGE).bit_length() - 1
     texts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // GROUP + 1)))
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = texts.join(small(wanted), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"), "part")
-    counted = marked.groupBy("part").applyInArrow(*_counted(bits))
+    marked = texts.join(small(wanted), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    counted = marked.select("text", "target", "part").groupBy("part").applyInArrow(*_counted(bits))
     model = Cut(counted.groupBy("range").applyInArrow(*_summed(bits)), "ngrams").df
     total = model.where("part = -1").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("words", "background", "target"))).first()
     own = model.where("part >= 0").select("part", "range", "counts")
-    return texts.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(*_scored(bits, total[0], (total[1], total[2])))
+    return marked.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(*_scored(bits, total[0], (total[1], total[2])))
