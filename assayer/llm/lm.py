@@ -28,6 +28,8 @@ WEIGHTS = (0.9, 0.1)
 PAIR_SHARE, PAIR_PRIOR = 0.6, 200.0
 #: Bytes of text of a group, and of the corpus for each range of hashes (RANGES at least).
 GROUP, RANGE, RANGES = 1 << 22, 1 << 25, 1 << 8
+#: Ids of the target are broadcast up to so many bytes, a million: else the texts are shuffled once more on either side.
+WANTED_BYTES = 32_000_000
 
 
 def _tokens(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     bits = max(RANGES, size // RANGE).bit_length() - 1
     texts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // GROUP + 1)))
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = texts.join(small(wanted), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    marked = texts.join(small(wanted, WANTED_BYTES), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     counted = marked.select("text", "target", "part").groupBy("part").applyInArrow(*_counted(bits))
     model = Cut(counted.groupBy("range").applyInArrow(*_summed(bits)), "ngrams").df
     total = model.where("part = -1").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("words", "background", "target"))).first()
