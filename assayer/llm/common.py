@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,5 +126,15 @@ def trimmed(f: Callable) -> Callable:
     return outer
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Rows of counts by the place of their bytes, so that the many zeros lie together and compress."""
+    return np.ascontiguousarray(counts).view(np.uint8).reshape(-1, counts.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type, rows: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(rows, -1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Cut, arrow_batches, small, trim
+from assayer.llm.common import Cut, arrow_batches, packed, small, trim, unpacked
 from assayer.llm.textwords import mix, slices
 
 #: Shares of the word's and the uniform probability; the pair's takes a part of both, which grows with the first word's count.
@@ -53,23 +53,13 @@ def _grams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return words, word, pairs, pair, second
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Rows of counts by the place of their bytes, so that the many zeros lie together and compress."""
-    return np.ascontiguousarray(counts).view(np.uint8).reshape(-1, counts.itemsize).T.tobytes()
-
-
-def _unpacked(data: bytes, kind: type, rows: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(rows, -1)
-
-
 def _steps(keys: np.ndarray) -> bytes:
     """Sorted keys by the steps between them, which are small and leave zeros."""
-    return _packed(np.diff(keys, prepend=np.uint64(0)))
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data, np.uint64, 1)[0], dtype=np.uint64)
+    return np.cumsum(unpacked(data, np.uint64, 1)[0], dtype=np.uint64)
 
 
 def _counted(bits: int):
@@ -95,7 +85,7 @@ def _counted(bits: int):
                     own = slice(edges[r], edges[r + 1])
                     ranges.append((k << bits) + r)
                     keys.append(_steps(found[own] - bounds[r]))
-                    counts.append(_packed(n[:, own]))
+                    counts.append(packed(n[:, own]))
         groups = pa.array([docs.column("part")[0].as_py()] * len(ranges), pa.int64())
         return pa.table({"part": groups, "range": pa.array(ranges, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -108,11 +98,11 @@ def _summed(bits: int):
         trim()
         r = rows.column("range")[0].as_py()
         keys = [_keys(x) for x in rows.column("keys").to_pylist()]
-        counts = np.hstack([_unpacked(x, np.int32, 2 if r >> bits else 4) for x in rows.column("counts").to_pylist()])
+        counts = np.hstack([unpacked(x, np.int32, 2 if r >> bits else 4) for x in rows.column("counts").to_pylist()])
         found, place = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.stack([np.bincount(place, x, len(found)) for x in counts]).astype(np.int64)
         edges = np.cumsum([0, *map(len, keys)])
-        parts, back = rows.column("part").to_pylist(), [_packed(sums[:, place[a:b]]) for a, b in zip(edges, edges[1:])]
+        parts, back = rows.column("part").to_pylist(), [packed(sums[:, place[a:b]]) for a, b in zip(edges, edges[1:])]
         totals = [0, 0, 0] if r >> bits else [len(found), int(sums[0].sum()), int(sums[1].sum())]
         zeros = [0] * len(parts)
         columns = {"part": [*parts, -1], "range": [r] * (len(parts) + 1), "counts": [*back, b""]} | {name: [*zeros, x] for name, x in zip(("words", "background", "target"), totals)}
@@ -135,7 +125,7 @@ def _scored(bits: int, vocabulary: int, totals: tuple[int, int]):
         h, at = _tokens(docs)
         words, word, pairs, pair, second = _grams(h, at)
         blobs = sorted(zip(model.column("range").to_pylist(), model.column("counts").to_pylist()))
-        sums = [np.hstack([np.zeros((rows, 0), np.int64), *(_unpacked(x, np.int64, rows) for r, x in blobs if r >> bits == k)]) for k, rows in ((0, 4), (1, 2))]
+        sums = [np.hstack([np.zeros((rows, 0), np.int64), *(unpacked(x, np.int64, rows) for r, x in blobs if r >> bits == k)]) for k, rows in ((0, 4), (1, 2))]
         if sums[0].shape[1] != len(words) or sums[1].shape[1] != len(pairs):
             raise RuntimeError("the texts of a group changed between counting and scoring")
         n = np.diff(at)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontam, html, langid, lm, neardup, packing, quality, rules, secrets, sql, urls
+from assayer.llm import align, decontam, html, langid, lm, neardup, packing, quality, rules, secrets, sql, urls
 from assayer.llm.common import held_out, table
 
 
@@ -60,6 +60,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_packing,
         op10_url_filter,
+        op11_token_alignment,
     )
 }
 
