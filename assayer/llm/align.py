@@ -39,11 +39,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 GROUP, SLICE = 1 << 24, 1 << 20
 #: Bits of an id in a pair.
 BITS = 20
-#: Segments of a text kept with their ids by a worker, and their most characters.
-KEPT, LONGEST = 200_000, 40
 #: Characters whose classes all regular expression engines agree on.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
-_SEGMENT = re.compile(" +[^ ]*")
 
 
 def place(file: str) -> str:
@@ -88,10 +85,7 @@ class ByteLevel:
 
 
 class Pieces:
-    """A piece tokenizer, which puts a space before a text: ids of texts, and each id's bytes.
-
-    Where no piece goes on beyond a space, spaces and the word after them are encoded alike wherever they stand; the ids of short ones are kept.
-    """
+    """A piece tokenizer, which puts a space before a text: ids of texts, and each id's bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -99,24 +93,9 @@ class Pieces:
         self.exact = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.exact.id_to_piece(i) for i in range(self.exact.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if self.exact.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.apart = not any("▁" in n.lstrip("▁") for n in names)
-        self.space = self.exact.piece_to_id("▁")
-        self.kept: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if not self.apart or "▁" in text:
-            return self.exact.encode(text)
-        ids, kept = [], self.kept
-        for segment in _SEGMENT.findall(" " + text):
-            found = kept.get(segment)
-            if found is None:
-                found = self.exact.encode(segment[1:]) if len(segment) > 1 else [self.space]
-                if len(segment) <= LONGEST:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[segment] = found
-            ids += found
-        return ids
+        return self.exact.encode(text)
 
 
 @lru_cache(2)

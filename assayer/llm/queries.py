@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import align, decontam, html, langid, lm, neardup, packing, quality, rules, secrets, sql, urls
+from assayer.llm import align, decontam, html, langid, lm, neardup, packing, quality, resample, rules, secrets, sql, urls
 from assayer.llm.common import held_out, table
 
 
@@ -64,6 +64,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"))
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Towards the benchmark's texts."""
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_url_filter,
         op11_token_alignment,
+        op13_target_resampling,
     )
 }
 

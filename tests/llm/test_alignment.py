@@ -122,15 +122,6 @@ def test_groups_are_what_the_digest_says_and_cover_the_text(spark, models):
             assert own[0].start == 0 and own[-1].end == len((" " + t).encode()) and all(x.end == y.start for x, y in zip(own, own[1:]))
 
 
-def test_kept_segments_give_the_tokenizers_ids(models):
-    rng = random.Random(2)
-    b = align.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    assert b.apart
-    for _ in range(300):
-        t = "".join(rng.choice(["a", "the", " ", " ", "  ", "\n", "é", "x1", "日", "▁", "--", "\t"]) for _ in range(rng.randint(1, 40)))
-        assert b.encode(t) == models[1].encode(t), repr(t)
-
-
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert align.alignment(df).collect() == [] and align.token_groups(df).collect() == []
