@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import align, decontam, html, langid, lm, neardup, packing, quality, resample, rules, secrets, sql, urls
+from assayer.llm import align, decontam, html, langid, lm, neardup, packing, quality, resample, rules, secrets, sql, urls, warc
 from assayer.llm.common import held_out, table
 
 
@@ -64,6 +64,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Towards the benchmark's texts."""
     return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,8 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_url_filter,
         op11_token_alignment,
+        op12_warc_archive,
         op13_target_resampling,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": sql.OP1, "op7_minhash_near_dedup": sql.OP7}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": sql.OP1, "op7_minhash_near_dedup": sql.OP7, "op12_warc_archive": sql.OP12}

@@ -56,3 +56,15 @@ reach(doc_id, r) as (select doc_id, doc_id from documents union select reach.doc
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
 from sets s join (select doc_id, min(r) as component_id from reach group by doc_id) c using (doc_id)
 """
+
+OP12 = """
+with rows as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+named as (
+  select *, translate(array_to_string(list_transform(range(1, 41, 5), lambda i: to_base(cast('0x' || substr(h, i, 5) as bigint), 32, 4)), ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as digest,
+    max(page_id) over (partition by payload) as top
+  from rows
+)
+select page_id, strlen(payload) as payload_bytes, digest as payload_digest, case when page_id is distinct from top then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from top then top end as refers_to
+from named
+"""
