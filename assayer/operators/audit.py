@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators.quantiles import summary
+
 SIDE = 8
 BITS = SIDE * SIDE - 1
 
@@ -90,7 +92,7 @@ def capture_features(images: DataFrame) -> DataFrame:
 
 
 def shift_table(features: DataFrame) -> DataFrame:
-    return features.groupBy("clinic").agg(F.count("*").alias("n"), F.percentile("mean", 0.5).alias("median"), F.avg("mean").alias("brightness"), F.avg("std").alias("contrast"))
+    return summary(features, ["clinic"], {"median": ("mean", 0.5)}, F.count("*").alias("n"), F.avg("mean").alias("brightness"), F.avg("std").alias("contrast"))
 
 
 def hash_calibration(counts: DataFrame, same: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer.functions.scalars import clip, share
 from assayer.operators.metrics import confusion, rates
 from assayer.operators.montecarlo import assigned, out_of_fold
+from assayer.operators.quantiles import quantiles, summary
 from assayer.operators.ranking import shuffled_rank
 from assayer.operators.survey import quantile_stratum
 
@@ -120,9 +121,15 @@ def separability(features: DataFrame, columns: list[str], label: str, folds: int
     return each.agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"), F.count("*").cast("int").alias("folds"))
 
 
+def rolled(df: DataFrame, by: str, wanted: dict, *aggs: Column, flag: str = "overall") -> DataFrame:
+    """summary() by group and over all, where `flag` is true."""
+    each = summary(df, [by], wanted, *aggs).withColumn(flag, F.lit(False))
+    return each.unionByName(summary(df, [], wanted, *aggs).withColumns({by: F.lit(None).cast(df.schema[by].dataType), flag: F.lit(True)}))
+
+
 def rolled_medians(df: DataFrame, by: str, *columns: str) -> DataFrame:
     """Medians by group and over all (`overall`)."""
-    return df.rollup(by).agg(F.grouping(by).cast("boolean").alias("overall"), F.count("*").alias("n"), *(F.percentile(c, 0.5).alias(c) for c in columns))
+    return rolled(df, by, {c: (c, 0.5) for c in columns}, F.count("*").alias("n"))
 
 
 def rolled_rates(df: DataFrame, by: str) -> DataFrame:
@@ -134,14 +141,14 @@ def rolled_rates(df: DataFrame, by: str) -> DataFrame:
 def arm_coverage(df: DataFrame, error: str, sigma: str, *by: str) -> DataFrame:
     """How often an arm's quoted interval of two deviations holds the truth, with the medians of both."""
     e = F.abs(F.col(error))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(e, 0.5).alias("error"), F.percentile(sigma, 0.5).alias("sigma"), share(e <= 2 * F.col(sigma)).alias("coverage"))
+    return summary(df, list(by), {"error": (e, 0.5), "sigma": (sigma, 0.5)}, F.count("*").alias("n"), share(e <= 2 * F.col(sigma)).alias("coverage"))
 
 
 def cache_stats(df: DataFrame, pixels: str, margin: str) -> DataFrame:
     """The range of log floors between their 1 % and 99 % quantiles, the share abstained, and the median margin."""
     log = F.log10(F.greatest(F.lit(LEAST_FLOOR), F.least(F.lit(FLOOR_CLIP), F.col("_x").cast("double"))))
-    range_ = df.select(F.explode(pixels).alias("_x")).groupBy(log.alias("_v")).agg(F.count("*").alias("_c")).agg(F.expr("percentile(_v, 0.01D, _c)").alias("log_lo"), F.expr("percentile(_v, 0.99D, _c)").alias("log_hi"))
-    rest = df.agg(F.count("*").alias("n"), share(F.col(margin).isNull()).alias("abstain_rate"), F.percentile(margin, 0.5).alias("margin_median"))
+    range_ = quantiles(df.select(F.explode(pixels).alias("_x")), [], {"log_lo": (log, 0.01), "log_hi": (log, 0.99)})
+    rest = summary(df, [], {"margin_median": (margin, 0.5)}, F.count("*").alias("n"), share(F.col(margin).isNull()).alias("abstain_rate"))
     return range_.crossJoin(F.broadcast(rest))
 
 
@@ -152,11 +159,12 @@ def gate_report(df: DataFrame, ratio: str = "ratio", seed: str = "seed", band: t
     """
     r = F.col(ratio)
     usable = r.isNotNull() & ~F.isnan(r) & (r > 0) & (r < float("inf")) & ~F.col("degenerate") & ~F.col("unphysical")
-    whole = df.agg(
+    whole = summary(
+        df, [], {n: (F.when(usable, r), q) for n, q in (("median", 0.5), ("low", 0.25), ("high", 0.75))},
         F.count("*").alias("n_conditions"), F.count_if(usable).alias("n_usable"), F.count_if(F.col("degenerate")).alias("n_degenerate"), F.count_if(F.col("unphysical")).alias("n_unphysical"),
-        share(F.col("degenerate")).alias("degenerate_share"), share(F.col("passes")).alias("pass_share"), *(F.percentile(F.when(usable, r), q).alias(n) for n, q in (("median", 0.5), ("low", 0.25), ("high", 0.75))),
+        share(F.col("degenerate")).alias("degenerate_share"), share(F.col("passes")).alias("pass_share"),
     )
-    seeds = df.where(usable).groupBy(seed).agg(F.percentile(r, 0.5).alias("m")).agg((F.max("m") / F.min("m")).alias("spread"))
+    seeds = quantiles(df.where(usable), [seed], {"m": (r, 0.5)}).agg((F.max("m") / F.min("m")).alias("spread"))
     d = whole.crossJoin(F.broadcast(seeds))
     ok = F.col("median").between(*band) & (F.col("spread") <= most_spread) & (F.col("degenerate_share") <= most_degenerate) & (F.col("n_unphysical") == 0)
     return d.withColumn("holds", F.coalesce(ok, F.lit(False)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.scalars import clip, ratio, share
 from assayer.operators.metrics import with_confidence
+from assayer.operators.quantiles import quantiles, summary
 from assayer.operators.ranking import global_rank, group_rank
 
 GRID = [i / 50 for i in range(51)]
@@ -17,7 +18,7 @@ def risk_coverage(df: DataFrame, confidence: str, *by: str) -> DataFrame:
 
     Rows are counted by the last threshold that they reach, in one aggregation; sums over the thresholds from the top answer all of them.
     """
-    cuts = df.groupBy(*by).agg(F.count("*").alias("total"), F.expr(f"percentile({confidence}, array({', '.join(f'{q}D' for q in GRID)}))").alias("q"))
+    cuts = summary(df, list(by), {"q": (confidence, GRID)}, F.count("*").alias("total"))
     cuts = cuts.withColumn("q", F.array_distinct("q"))
     said, is_ = F.col("prob") >= 0.5, F.col("label") == 1
     joined = df.join(cuts, list(by)) if by else df.crossJoin(F.broadcast(cuts))
@@ -68,7 +69,7 @@ def policies(df: DataFrame) -> DataFrame:
 
 def operating_points(df: DataFrame, quantile: float = 0.2) -> DataFrame:
     """Each policy's figures with the confidence's quantile as threshold."""
-    cut = df.groupBy("policy").agg(F.percentile("confidence", quantile).alias("t"))
+    cut = quantiles(df, ["policy"], {"t": ("confidence", quantile)})
     d = df.join(F.broadcast(cut), "policy").withColumn("kept", F.col("confidence") >= F.col("t")).withColumn("right", (F.col("prob") >= 0.5) == (F.col("label") == 1))
     k = F.col("kept")
     return d.groupBy("policy").agg(share(k).alias("coverage"), F.avg(F.when(k, F.col("right").cast("double"))).alias("accuracy"), F.count_if(~k).alias("n_deferred"), F.count_if(~k & ~F.col("right")).alias("deferred_wrong"), F.count_if(k & ~F.col("right")).alias("kept_wrong"))
@@ -139,4 +140,5 @@ def triage_summary(t: DataFrame) -> DataFrame:
 def certificate_sweep(t: DataFrame) -> DataFrame:
     """By severity: shares of verdicts and actions, and the median margin."""
     is_ = lambda c, v: share(F.col(c) == v)
-    return t.groupBy("severity").agg(*(is_("verdict", v).alias(v) for v in ("abstain", "insufficient", "marginal", "detectable")), F.percentile("margin_db", 0.5).alias("median_margin"), is_("action", "retake").alias("retake"), is_("action", "refer").alias("refer"))
+    shares = [*(is_("verdict", v).alias(v) for v in ("abstain", "insufficient", "marginal", "detectable")), is_("action", "retake").alias("retake"), is_("action", "refer").alias("refer")]
+    return summary(t, ["severity"], {"median_margin": ("margin_db", 0.5)}, *shares)

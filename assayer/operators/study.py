@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import clip, ratio
+from assayer.operators.quantiles import summary
 
 #: Columns of a rating sheet; all else stays in the key.
 SHEET = ("display_order", "case_id", "refer_1_to_5", "adequacy", "reason_code", "note")
@@ -84,7 +85,7 @@ def weighted_agreement(df: DataFrame, a: str, b: str, weight: str, *by: str) ->
 
 def arm_summary(df: DataFrame, metrics: list[str], *by: str) -> DataFrame:
     """Per arm the number and each metric's median over its finite values."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile(F.when(~F.isnan(m), F.col(m)), 0.5).alias(m) for m in metrics))
+    return summary(df, list(by), {m: (F.when(~F.isnan(m), F.col(m)), 0.5) for m in metrics}, F.count("*").alias("n"))
 
 
 def against(summary: DataFrame, metrics: list[str], base: str, best: str) -> DataFrame:
@@ -102,8 +103,8 @@ GATES = {"tone_rmse_od": 0.05, "blur_ratio": (0.5, 2.0), "reference_spread_od":
 
 def recapture_gates(scores: DataFrame) -> DataFrame:
     """(gate, value, passes) over scored photographs (wedge_rmse, sigma, edge_sigma, spread, violations, discs_n); no value fails."""
-    m = scores.agg(
-        F.percentile("wedge_rmse", 0.5).alias("tone"), F.percentile(F.col("sigma") / F.nullif("edge_sigma", F.lit(0.0)), 0.5).alias("blur"),
+    m = summary(
+        scores, [], {"tone": ("wedge_rmse", 0.5), "blur": (F.col("sigma") / F.nullif("edge_sigma", F.lit(0.0)), 0.5)},
         F.max("spread").alias("spread"), ratio(F.sum("violations"), F.sum("discs_n")).alias("rate"),
     )
     low, high = GATES["blur_ratio"]

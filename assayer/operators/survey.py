@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import ratio, share
+from assayer.operators.quantiles import quantiles, summary
 from assayer.operators.ranking import group_rank
 
 
 def quantile_stratum(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
     """How many of the k - 1 inner quantiles lie below the value; -1 for null."""
-    probs = ", ".join(f"{i}D / {k}D" for i in range(1, k))
-    edges = df.agg(F.expr(f"percentile({column}, array({probs}))").alias("_edges"))
+    edges = quantiles(df, [], {"_edges": (column, [i / k for i in range(1, k)])})
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(column))))).drop("_edges")
 
 
@@ -84,26 +84,27 @@ def paired_summary(runs: DataFrame, reference: str) -> DataFrame:
 
 def median_and_spread(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Median and median absolute deviation, in two passes."""
-    m = df.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"), F.count(column).alias("n"))
+    m = summary(df, list(by), {"median": (column, 0.5)}, F.count(column).alias("n"))
     d = df.join(m, list(by))
-    return d.groupBy(*by, "median", "n").agg(F.percentile(F.abs(F.col(column) - F.col("median")), 0.5).alias("mad"))
+    return quantiles(d, [*by, "median", "n"], {"mad": (F.abs(F.col(column) - F.col("median")), 0.5)})
 
 
 def falsification_gate(df: DataFrame, value: str, *by: str, most_spread: float = 2.0) -> DataFrame:
     """Medians by group, their largest over smallest, and whether that passes."""
-    m = df.where(F.col(value) > 0).groupBy(*by).agg(F.percentile(value, 0.5).alias("m"))
+    m = quantiles(df.where(F.col(value) > 0), list(by), {"m": (value, 0.5)})
     return m.agg(F.count("*").alias("groups"), F.min("m").alias("least"), F.max("m").alias("most"), (F.max("m") / F.min("m")).alias("spread"), (F.max("m") / F.min("m") <= most_spread).alias("passes"))
 
 
 def latency(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Mean, median, the element at 95 % of the sorted values (counted from their number, cut down, less one), extremes."""
     d = group_rank(df.where(F.col(column).isNotNull()), list(by), column, None, "rn", "n")
-    return d.groupBy(*by).agg(F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("median"), F.max(F.when(F.col("rn") == F.greatest(F.floor(F.col("n") * 0.95), F.lit(1)), F.col(column))).alias("p95"), F.min(column).alias("least"), F.max(column).alias("most"))
+    p95 = F.max(F.when(F.col("rn") == F.greatest(F.floor(F.col("n") * 0.95), F.lit(1)), F.col(column))).alias("p95")
+    return summary(d, list(by), {"median": (column, 0.5)}, F.avg(column).alias("mean"), p95, F.min(column).alias("least"), F.max(column).alias("most"))
 
 
 def discordance(df: DataFrame, share_flagged: float = 0.2) -> DataFrame:
     """Two signals cut at the same quantile: the shares of the four quadrants, among measured rows."""
     d = df.where("margin_db is not null")
-    cut = d.agg(F.percentile("margin_db", share_flagged).alias("a"), F.percentile("mc_std", 1 - share_flagged).alias("b"))
+    cut = quantiles(d, [], {"a": ("margin_db", share_flagged), "b": ("mc_std", 1 - share_flagged)})
     low, unsure = F.col("margin_db") <= F.col("a"), F.col("mc_std") >= F.col("b")
     return d.crossJoin(F.broadcast(cut)).agg(share(low & unsure).alias("both"), share(low & ~unsure).alias("physics_only"), share(~low & unsure).alias("learned_only"), share(~low & ~unsure).alias("neither"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import r6
-from assayer.operators import audit, metrics, provenance, selective, survey
+from assayer.operators import audit, design, metrics, provenance, quantiles, selective, survey
 from assayer.operators.ranking import shuffled_rank
 from assayer.plans.views import Views
 from assayer.registry import query
@@ -464,7 +464,8 @@ def unpivot_findings(v: Views) -> DataFrame:
 def rollup_coverage(v: Views) -> DataFrame:
     from assayer.functions.scalars import share
 
-    return rounded(v.predictions.rollup("clinic").agg(F.grouping("clinic").cast("int").alias("whole"), F.count("*").alias("n"), share(F.col("margin_db").isNull()).alias("abstain"), F.percentile("margin_db", 0.5).alias("median_margin")))
+    d = design.rolled(v.predictions, "clinic", {"median_margin": ("margin_db", 0.5)}, F.count("*").alias("n"), share(F.col("margin_db").isNull()).alias("abstain"), flag="whole")
+    return rounded(d.withColumn("whole", F.col("whole").cast("int")))
 
 
 @query(f"""with f as (select case_id, list_sort([(margin_db, 0), (margin_db - 2, 1), (margin_db + 1, 2)])[1] as w from predictions where margin_db is not null)
@@ -567,7 +568,7 @@ def disc_confusion(v: Views) -> DataFrame:
 @query(f"with r as (select clinic, film, avg(mc_std) m, stddev_samp(mc_std) s, count(*) n from predictions group by all) select clinic, {R('avg(m)')} as mean, {R('quantile_cont(s, 0.5)')} as reproducibility, cast(sum(n) as bigint) as n from r group by clinic")
 def region_characterise(v: Views) -> DataFrame:
     r = v.predictions.groupBy("clinic", "film").agg(F.avg("mc_std").alias("m"), F.stddev_samp("mc_std").alias("s"), F.count("*").alias("n"))
-    return rounded(r.groupBy("clinic").agg(F.avg("m").alias("mean"), F.percentile("s", 0.5).alias("reproducibility"), F.sum("n").alias("n")))
+    return rounded(quantiles.summary(r, ["clinic"], {"reproducibility": ("s", 0.5)}, F.avg("m").alias("mean"), F.sum("n").alias("n")))
 
 
 @query(f"select film, count(*) as n, {R('avg(mc_std)')} as mean, arg_max(case_id, (mc_std, -case_id)) as worst_case, {R('corr(mc_std, logit)')} as corr from predictions group by film")

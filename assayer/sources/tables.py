@@ -52,6 +52,13 @@ def _gone(spark: SparkSession, path: str) -> None:
         pass
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written under the shared folder and read again: later plans start there, on any executor, also after losses."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
