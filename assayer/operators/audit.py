@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators.nearhash import near_words
 from assayer.operators.quantiles import summary
 
 SIDE = 8
@@ -49,7 +50,15 @@ def near_pairs(a: DataFrame, b: DataFrame, most: int, bits: int = BITS) -> DataF
 
 
 def near_hashes(hashes: DataFrame, most: int) -> DataFrame:
-    """(hash_a, hash_b, bits) of distinct near hashes, each pair in both directions, and each hash with itself: copies are one."""
+    """(hash_a, hash_b, bits) of distinct near hashes, each pair in both directions, and each hash with itself: copies are one.
+
+    A hash is a number of up to 63 bits, or an array of 64-bit words.
+    """
+    if hashes.schema["hash"].dataType.typeName() == "array":
+        each = hashes.select("hash").distinct()
+        pairs = near_words(hashes, most)
+        same = each.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("bits"))
+        return pairs.unionByName(pairs.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b"), "bits")).unionByName(same)
     each = hashes.select(F.col("hash").alias("id"), F.lit("").alias("clinic"), "hash").distinct()
     pairs = near_pairs(each, each, most).select(F.col("id_a").alias("hash_a"), F.col("id_b").alias("hash_b"), "bits")
     same = each.select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("bits"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import r6
-from assayer.operators import audit, design, metrics, provenance, quantiles, selective, survey
+from assayer.operators import audit, design, metrics, nearhash, provenance, quantiles, selective, survey
 from assayer.operators.ranking import shuffled_rank
 from assayer.plans.views import Views
 from assayer.registry import query
@@ -361,6 +361,38 @@ def hash_calibration(v: Views) -> DataFrame:
     return audit.hash_calibration(audit.pair_counts(audit.difference_hash(v.images), MOST_BITS), "clinic_a = clinic_b")
 
 
+WIDE = """films as (select 2 * id as id, clinic, list_transform(px, lambda x: x::double) as px from images union all select 2 * id + 1, 'copies', list_transform(px, lambda x: floor(x::double * 64) / 64) from images),
+wide as (select id, clinic, list_transform(range(1, 5), lambda s: cast(list_sum(list_transform(range(64), lambda i: case when px[(i + s) % 64 + 1] > px[i + 1] then (case when i = 63 then -9223372036854775808 else 1::bigint << i end) else 0 end)) as bigint)) as hash from films),
+pairs as (select * from (select a.id as id_a, b.id as id_b, a.clinic as clinic_a, b.clinic as clinic_b, cast(list_sum(list_transform(range(1, 5), lambda w: bit_count(xor(a.hash[w], b.hash[w])))) as int) as bits from wide a join wide b on a.id < b.id) where bits <= 14)"""
+
+
+def _wide(v: Views) -> DataFrame:
+    """Hashes of 256 bits of the images, and of copies that were stored more coarsely."""
+    px = F.transform("px", lambda x: x.cast("double"))
+    films = v.images.select((F.col("id") * 2).alias("id"), "clinic", px.alias("px"))
+    copies = v.images.select((F.col("id") * 2 + 1).alias("id"), F.lit("copies").alias("clinic"), F.transform(px, lambda x: F.floor(x * 64) / 64).alias("px"))
+    return nearhash.gradient_words(films.unionByName(copies))
+
+
+@query(f"with {WIDE} select * from pairs")
+def near_pairs_wide(v: Views) -> DataFrame:
+    return nearhash.near_images(_wide(v), MOST_BITS)
+
+
+@query(f"""with {WIDE}, pairs2 as (select id_a, clinic_a, clinic_b from pairs union all select id_b, clinic_b, clinic_a from pairs), s as (select clinic as clinic_a, count(*) as size from films group by clinic)
+select clinic_a, clinic_b, count(*) as pairs, count(distinct id_a) as n_a, {R('count(distinct id_a) / any_value(size)')} as fraction, case when count(distinct id_a) / any_value(size) <= 0.01 then 'suspect' else 'overlapping' end as verdict from pairs2 join s using (clinic_a) group by clinic_a, clinic_b""")
+def overlap_wide(v: Views) -> DataFrame:
+    h = _wide(v)
+    return rounded(audit.overlap(audit.pair_counts(h, MOST_BITS), h))
+
+
+@query(f"with {WIDE}, p as (select bits, id_a // 2 = id_b // 2 as same from pairs) select max(bits) filter (same) as pos_max, min(bits) filter (not same) as neg_min, quantile_cont(bits, 0.5) filter (same) as pos_median, count(*) filter (same) as n from p")
+def calibration_wide(v: Views) -> DataFrame:
+    """Of an image and its coarser copy, how many bits differ where the copy is found; of other pairs, the least, if any is near."""
+    same = F.expr("id_a div 2 = id_b div 2")
+    return nearhash.near_images(_wide(v), MOST_BITS).agg(F.max(F.when(same, F.col("bits"))).alias("pos_max"), F.min(F.when(~same, F.col("bits"))).alias("neg_min"), F.percentile(F.when(same, F.col("bits")), 0.5).alias("pos_median"), F.count_if(same).alias("n"))
+
+
 FEATURES = "features as (select id, clinic, list_avg(p) as mean, sqrt(list_avg(list_transform(p, lambda x: (x - list_avg(p)) * (x - list_avg(p))))) as std, list_min(p) as low, list_max(p) as high, list_avg(list_transform(range(1, len(p)), lambda i: abs(p[i + 1] - p[i]))) as roughness from (select *, list_transform(px, lambda x: x::double) as p from images))"
 
 
