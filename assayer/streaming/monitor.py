@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assayer.operators.ranking import dealt
+from assayer.operators.ranking import dealt, group_rank
 
 
 def cusum(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
@@ -33,6 +33,24 @@ def cusum(readings: DataFrame, target: float, slack: float, threshold: float) ->
     return out.withColumn("alarm", (F.col("high") > threshold) | (F.col("low") > threshold))
 
 
+def cusum_with_resets(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
+    """cusum() of (clinic, ts, seq, value, reset) where a row that says reset starts a clinic's chart anew; with each reading's number since then.
+
+    Which chart a reading belongs to is the number of resets before it: counted by stretches of time, as the sums are.
+    """
+    own = Window.partitionBy("clinic", "_bucket").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    timed = dealt(readings.withColumn("_time", F.unix_micros(F.col("ts").cast("timestamp"))), "_time", "seq").withColumn("_inside", F.sum(F.col("reset").cast("long")).over(own))
+    ends = timed.groupBy(F.col("clinic").alias("_clinic"), F.col("_bucket").alias("_at")).agg(F.sum(F.col("reset").cast("long")).alias("_resets"))
+    before = Window.partitionBy("_clinic").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_resets").over(before), F.lit(0)))
+    met = timed.join(ends, (F.col("_bucket") == F.col("_at")) & F.col("clinic").eqNullSafe(F.col("_clinic")))
+    charts = met.where("not reset").select(F.struct("clinic", (F.col("_inside") + F.col("_before")).alias("chart")).alias("clinic"), "ts", "seq", "value")
+    numbers = group_rank(charts.withColumn("_time", F.unix_micros(F.col("ts").cast("timestamp"))), ["clinic"], "_time", "seq", "readings").select(F.col("clinic").alias("_chart"), F.col("seq").alias("_seq"), "readings")
+    rows = cusum(charts, target, slack, threshold)
+    met = rows.join(numbers, (F.col("clinic") == F.col("_chart")) & (F.col("seq") == F.col("_seq")))
+    return met.select("clinic.clinic", "seq", "value", "high", "low", "alarm", "readings")
+
+
 def cusum_stream(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
     """The same over a stream of (clinic, ts, seq, value): two sums a clinic are its state; a batch's rows are sorted, late ones count on arrival."""
 
