@@ -2,9 +2,11 @@
 
 Both models are word bigrams interpolated with unigrams and with the uniform distribution over all words of the corpus,
 with the same weights; each distribution sums to one. Words and pairs are told apart by 64-bit hashes and counted over
-every document in tables that grow with the corpus. Documents are dealt into groups of about GROUP bytes. A group's
-n-grams are counted within it and shuffled by ranges of their hashes, where they are summed over all groups; each group
-gets back the sums of its own n-grams only. So a frequent n-gram is one row a group, and nothing of the model is collected.
+every document in tables that grow with the corpus. Documents lie in groups of about GROUP bytes, as they are read: a group is
+one row, its words' hashes and each token's place among them, and texts are never shuffled. A group's n-grams are counted
+within it and shuffled by ranges of their hashes, where they are summed over all groups; each group gets back the sums of its
+own n-grams only. So a frequent n-gram is one row a group, and nothing of the model is collected. Which documents are of the
+target is found by a join of ids, and brought to the groups as places: nothing is broadcast, whatever the target's size.
 
 No document is scored by its own counts: they are taken off the sums of each model that it is part of.
 
@@ -15,12 +17,15 @@ document alone. Long texts are read whole. Ties have equal scores. Other columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import Cut, arrow_batches, packed, small, trim, unpacked
+from assayer.llm.common import Cut, arrow_batches, packed, trim, trimmed, unpacked
 from assayer.llm.textwords import mix, slices
 
 #: Shares of the word's and the uniform probability; the pair's takes a part of both, which grows with the first word's count.
@@ -28,29 +33,47 @@ WEIGHTS = (0.9, 0.1)
 PAIR_SHARE, PAIR_PRIOR = 0.6, 200.0
 #: Bytes of text of a group, and of the corpus for each range of hashes (RANGES at least).
 GROUP, RANGE, RANGES = 1 << 22, 1 << 25, 1 << 8
-#: Ids of the target are broadcast up to so many bytes, a million: else the texts are shuffled once more on either side.
-WANTED_BYTES = 32_000_000
-
-
-def _tokens(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of all texts, and the texts' bounds."""
-    found, bounds, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
-    for batch in texts.to_batches():
-        for _, _, h, at in slices(batch):
-            found.append(h)
-            bounds.append(at[1:] + n)
-            n += len(h)
-    return np.concatenate(found), np.concatenate(bounds)
-
-
-def _grams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted words and each token's place there, the sorted pairs and each pair's place, and the pairs' second tokens."""
-    inner = np.ones(len(h), bool)
-    inner[at[:-1][at[:-1] < len(h)]] = False
-    second = np.flatnonzero(inner)
-    words, word = np.unique(h, return_inverse=True)
+
+
+def _grouped(group: int):
+    """Rows of about `group` bytes of texts: part, ids, each document's tokens, the sorted words, each token's place there."""
+    names = {"part": pa.int64(), "ids": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "words": pa.binary(), "tokens": pa.binary(), "size": pa.int64()}
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        ids, n, found, size = [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            words, word = np.unique(np.concatenate(found), return_inverse=True)
+            values = (part, ids, n, _steps(words), packed(word.astype(np.uint32)), size)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, names.values())], list(names))
+
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            for first, last, h, at in slices(batch):
+                ids += own[first:last]
+                n += np.diff(at).tolist()
+                found.append(h)
+                size += batch.column(1).slice(first, last - first).nbytes
+                if size >= group:
+                    yield row()
+                    part, ids, n, found, size = part + 1, [], [], [], 0
+        if ids:
+            yield row()
+
+    return trimmed(grouped), "part long, ids array<long>, n array<long>, words binary, tokens binary, size long"
+
+
+def _grams(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """A group's sorted words and each token's place there, the sorted pairs and each pair's place, the pairs' second tokens, and each document's tokens."""
+    words, word = _keys(group.column("words")[0].as_py()), unpacked(group.column("tokens")[0].as_py(), np.uint32, 1)[0].astype(np.int64)
+    n = np.array(group.column("n")[0].as_py(), np.int64)
+    inner = np.ones(len(word), bool)
+    starts = np.cumsum(n) - n
+    inner[starts[n > 0]] = False
+    second, h = np.flatnonzero(inner), words[word]
     pairs, pair = np.unique(mix(h[second - 1] * np.uint64(0x9E3779B97F4A7C15) + h[second]), return_inverse=True)
-    return words, word, pairs, pair, second
+    return words, word, pairs, pair, second, n
 
 
 def _steps(keys: np.ndarray) -> bytes:
@@ -65,12 +88,13 @@ def _keys(data: bytes) -> np.ndarray:
 def _counted(bits: int):
     bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
-    def counted(docs: pa.Table) -> pa.Table:
+    def counted(group: pa.Table, target: pa.Table) -> pa.Table:
         """Counts of a group: of its words, as words and as a pair's first, and of its pairs; each of all texts and of the target's."""
         trim()
-        h, at = _tokens(docs)
-        words, word, pairs, pair, second = _grams(h, at)
-        mine = np.repeat(np.array(docs.column("target").to_pylist(), bool), np.diff(at))
+        words, word, pairs, pair, second, n = _grams(group)
+        own = np.zeros(len(n), bool)
+        own[target.column("at").to_numpy()] = True
+        mine = np.repeat(own, n)
         before = word[second - 1]
         tables = (
             (words, (word, word[mine], before, before[mine[second]])),
@@ -86,7 +110,7 @@ def _counted(bits: int):
                     ranges.append((k << bits) + r)
                     keys.append(_steps(found[own] - bounds[r]))
                     counts.append(packed(n[:, own]))
-        groups = pa.array([docs.column("part")[0].as_py()] * len(ranges), pa.int64())
+        groups = pa.array([group.column("part")[0].as_py()] * len(ranges), pa.int64())
         return pa.table({"part": groups, "range": pa.array(ranges, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return counted, "part long, range int, keys binary, counts binary"
@@ -120,23 +144,24 @@ def _within(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def _scored(bits: int, vocabulary: int, totals: tuple[int, int]):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ce_target", pa.float64()), ("ce_background", pa.float64()), ("ce_diff", pa.float64())])
 
-    def scored(docs: pa.Table, model: pa.Table) -> pa.Table:
+    def scored(group: pa.Table, model: pa.Table) -> pa.Table:
         trim()
-        h, at = _tokens(docs)
-        words, word, pairs, pair, second = _grams(h, at)
+        words, word, pairs, pair, second, n = _grams(group)
         blobs = sorted(zip(model.column("range").to_pylist(), model.column("counts").to_pylist()))
+        target = np.zeros(len(n), bool)
+        if blobs and blobs[0][0] < 0:  # places of the target's documents
+            target[[int(x) for x in blobs.pop(0)[1].split(b",")]] = True
         sums = [np.hstack([np.zeros((rows, 0), np.int64), *(unpacked(x, np.int64, rows) for r, x in blobs if r >> bits == k)]) for k, rows in ((0, 4), (1, 2))]
         if sums[0].shape[1] != len(words) or sums[1].shape[1] != len(pairs):
             raise RuntimeError("the texts of a group changed between counting and scoring")
-        n = np.diff(at)
         rows = np.repeat(np.arange(len(n)), n)
-        mine = np.array(docs.column("target").to_pylist(), bool)[rows]
+        mine = target[rows]
         before = word[second - 1]
         own_word, own_before, own_pair = _within(rows, word), _within(rows[second], before), _within(rows[second], pair)
         means = []
         for side in (1, 0):
             # Without what the document itself has brought.
-            part = mine if side else np.ones(len(h), bool)
+            part = mine if side else np.ones(len(word), bool)
             total = totals[side] - n[rows] * part
             p = np.where(total > 0, WEIGHTS[0] * (sums[0][side][word] - own_word * part) / np.maximum(total, 1) + WEIGHTS[1] / max(vocabulary, 1), 1 / max(vocabulary, 1))
             first = sums[0][2 + side][before] - own_before * part[second]
@@ -144,7 +169,7 @@ def _scored(bits: int, vocabulary: int, totals: tuple[int, int]):
             p[second] = (1 - share) * p[second] + share * (sums[1][side][pair] - own_pair * part[second]) / np.maximum(first, 1)
             means.append(np.bincount(rows, -np.log2(p), len(n)) / np.maximum(n, 1))
         empty = n == 0
-        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(n), *(pa.array(x, mask=empty) for x in (*means, means[0] - means[1]))], schema=schema)
+        return pa.Table.from_arrays([pa.array(group.column("ids")[0].as_py(), pa.int64()), pa.array(n), *(pa.array(x, mask=empty) for x in (*means, means[0] - means[1]))], schema=schema)
 
     return scored, "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double"
 
@@ -156,13 +181,14 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """
     arrow_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = Cut(texts.mapInArrow(*_grouped(GROUP)), "groups").df
+    size = groups.agg(F.sum("size")).first()[0] or 0
     bits = max(RANGES, size // RANGE).bit_length() - 1
-    texts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // GROUP + 1)))
-    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = texts.join(small(wanted, WANTED_BYTES), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    counted = marked.select("text", "target", "part").groupBy("part").applyInArrow(*_counted(bits))
+    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    places = Cut(groups.select("part", F.posexplode("ids").alias("at", "doc_id")).join(wanted, "doc_id", "left_semi").select(F.col("part").alias("of"), "at"), "target").df
+    counted = groups.groupBy("part").cogroup(places.groupBy("of")).applyInArrow(*_counted(bits))
     model = Cut(counted.groupBy("range").applyInArrow(*_summed(bits)), "ngrams").df
     total = model.where("part = -1").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("words", "background", "target"))).first()
-    own = model.where("part >= 0").select("part", "range", "counts")
-    return marked.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(*_scored(bits, total[0], (total[1], total[2])))
+    own = model.where("part >= 0").select(F.col("part").alias("of"), "range", "counts")
+    told = places.groupBy("of").agg(F.array_join(F.collect_list(F.col("at").cast("string")), ",").cast("binary").alias("counts")).select("of", F.lit(-1).alias("range"), "counts")
+    return groups.groupBy("part").cogroup(own.unionByName(told).groupBy("of")).applyInArrow(*_scored(bits, total[0], (total[1], total[2])))

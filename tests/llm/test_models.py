@@ -141,3 +141,25 @@ def test_long_and_repeated_rows_are_scored_alike(spark):
     scores = sorted((r.doc_id or 0, r.score) for r in quality.quality(df, y).collect())
     assert len(scores) == 4 and scores[1] == scores[2]
     assert sum(r.n_words == 40_000 for r in rules.judged(df, y).collect()) == 2
+
+
+def test_many_equal_rows_lie_in_many_groups(spark, monkeypatch):
+    """50,000 rows of one text, without an id and with one of the target: no group holds more than its bytes, and all score alike."""
+    from assayer.llm import lm
+
+    monkeypatch.setattr(lm, "GROUP", 50_000)
+    seen = []
+    inner = lm.Cut
+
+    def watched(df, name):
+        out = inner(df, name)
+        if name == "groups":
+            seen.extend(r[0] for r in out.df.selectExpr("size(ids)").collect())
+        return out
+
+    monkeypatch.setattr(lm, "Cut", watched)
+    text = "the same words in each of these rows"
+    df = spark.range(50_000).selectExpr("case when id % 2 = 0 then 5 end as doc_id", f"'{text}' as text")
+    rows = lm.cross_entropy_difference(df, spark.createDataFrame([(5,), (5,), (6,)], "doc_id long")).groupBy("doc_id").agg({"*": "count", "ce_diff": "min", "n_tokens": "max"}).collect()
+    assert sorted((r["count(1)"], r["max(n_tokens)"]) for r in rows) == [(25_000, 8), (25_000, 8)]
+    assert len(seen) > 20 and max(seen) < 50_000 / 8

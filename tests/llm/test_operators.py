@@ -332,7 +332,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
     assert Path(corpus_pipeline.__file__).parent == Path(queries.__file__).parents[2]
 
 
