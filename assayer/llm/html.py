@@ -7,6 +7,10 @@ are counted by host in Spark. The path with most votes wins, and so do all with
 have several templates. A page gives the text of all its elements on its own candidate's path if that is a winner, else on
 the first winning path that it has, or of its own candidate where it has none of them.
 
+What a tag, class or id marks as furniture is still no furniture if it holds most of the page's plain text and its title or an
+article, or nearly all of it; and a section of an article whose id may be that of a part of it (SECTIONS), with a heading and few
+links, stays unless comments lie in it.
+
 A null or empty html, or an empty table, gives empty text, or no rows. A page without a host votes with all others that have none.
 Ties go to the path with more text, then to the one that sorts last. Repeated rows vote each and give the same text. Pages are
 read in time in proportion to their length, however long, deep or broken: an unclosed comment or script reaches to the end, what
@@ -39,7 +43,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("dd dt head html body li option optgroup summary legend tbody td tfoot th thead tr".split())
-FURNITURE = frozenset("nav footer aside form script style noscript iframe template button select option textarea head title menu dialog search canvas audio video".split())
+FURNITURE = frozenset("nav footer aside script style noscript iframe template button select option textarea head title menu dialog search canvas audio video".split())
 #: Blocks that are part of a text, and no containers of it.
 PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 tr thead tbody tfoot ul ol dl dt dd table td th caption blockquote pre figure figcaption".split())
 #: What an element ends if it is still open, and the elements that keep what is around them open.
@@ -56,6 +60,15 @@ NEUTRAL = frozenset(
 )
 #: Words that mark furniture beside any others.
 STRONG = frozenset("advert advertisement adsense breadcrumb breadcrumbs comments disqus gdpr navbar navigation newsletter sidebar sponsored".split())
+#: Words before a mark that speak of something else on the page: has-sidebar, no-sidebar.
+ABOUT = frozenset("has no with without hide show".split())
+#: Ids of sections that an article may have itself, and marks of readers' comments.
+SECTIONS = frozenset("discussion related notices".split())
+COMMENTS = frozenset("comment comments disqus replies reply respond discussion".split())
+#: Shares of a page's plain running text of what is no furniture, whatever it is called: with a title or article in it, or without.
+MOST, NEARLY_ALL = 0.5, 0.85
+#: Share of link text that a section of an article stays under.
+LINKS = 0.3
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 # Quotes count after an equals sign, and only where they are closed. Once no tag can be read so to its end, tags end at the next >.
@@ -72,16 +85,16 @@ _DIGITS = re.compile(r"[0-9/]+")
 class Node:
     """An element; nodes are numbered in page order, parents before what they hold. open: the places of what later tags may end."""
 
-    __slots__ = ("no", "tag", "path", "parent", "skip", "link", "article", "open", "plain", "linked")
+    __slots__ = ("no", "tag", "path", "parent", "skip", "mark", "link", "article", "open", "plain", "linked")
 
-    def __init__(self, no: int, tag: str, path: int, parent: Node | None, skip: bool, link: bool):
-        self.no, self.tag, self.path, self.parent, self.skip, self.link = no, tag, path, parent, skip, link
+    def __init__(self, no: int, tag: str, path: int, parent: Node | None, skip: bool, link: bool, mark: str = ""):
+        self.no, self.tag, self.path, self.parent, self.skip, self.link, self.mark = no, tag, path, parent, skip, link, mark
         self.article = parent is not None and (parent.article or tag in ("article", "main"))
         self.plain = self.linked = 0
 
 
 class Page:
-    """The elements, the runs of text in page order (element, text, whether a new block begins before it), and the numbered paths."""
+    """The elements, the runs of text in page order (element, text, whether a new block begins before it, characters but white space), and the numbered paths."""
 
     def __init__(self):
         self.paths: dict[tuple[int, str], int] = {}
@@ -116,26 +129,60 @@ class Page:
 def _is_mark(name: str) -> bool:
     """Parts are parted by dashes, digits and capitals: ad-box and adBox are furniture, shadow and share-price are not."""
     parts = _WORDS.findall(_HUMP.sub(" ", name).lower())
+    if parts and parts[0] in ABOUT:
+        return False
     return any(x in STRONG for x in parts) or any(x in MARKS for x in parts) and all(x in MARKS or x in NEUTRAL or len(x) < 3 for x in parts)
 
 
-def _marked(tag: str, attrs: str, within: bool) -> tuple[str, bool]:
-    """The classes as part of a path, and whether the element is furniture; a header within an article is part of it."""
+def _marked(tag: str, attrs: str, within: bool) -> tuple[str, bool, str]:
+    """The classes as part of a path, whether the element is furniture for sure, and the names that say it may be; a header within an article is part of it."""
     if tag in FURNITURE or tag == "header" and not within:
-        return "", True
+        return "", True, ""
+    mark = "form" if tag == "form" else ""
     if not attrs:
-        return "", False
+        return "", False, mark
     found: dict[str, str] = {}
     for k, a, b, c in _ATTR.findall(attrs):
         found.setdefault(k.lower(), a or b or c)
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return "", True
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+        return "", True, ""
     names = found.get("class", "").split()
     classes = ".".join(sorted({_DIGITS.sub("", x) for x in found.get("class", "").lower().split()} - {""}))
     if tag in ("html", "body", "main", "h1"):
-        return classes, False
-    names.append(found.get("id", ""))
-    return classes, any(_is_mark(x) and not (within and x.lower() == "header") for x in names if x and len(x) < 200)
+        return classes, False, ""
+    role, own = found.get("role", "").lower(), found.get("id", "")
+    names = [x for x in (*names, own) if x and len(x) < 200 and _is_mark(x) and not (within and x.lower() == "header")]
+    if within and names == [own] and own.lower() in SECTIONS:
+        return classes, False, f"#{own.lower()}"
+    return classes, False, " ".join([*names, *([role] if role in ROLES else []), *([mark] if mark else [])])
+
+
+def _settle(page: Page) -> None:
+    """Decides which marked elements are furniture, and drops what lies in them."""
+    nodes, count = page.nodes, len(page.nodes)
+    plain, linked, told, title, heading, comments = ([0] * count for _ in range(6))
+    for node, _, _, n in page.runs:
+        (linked if node.link else plain)[node.no] += n
+    for node in reversed(nodes[1:]):  # parents come first
+        i, up = node.no, node.parent.no
+        told[i] = bool(node.mark) and not COMMENTS.isdisjoint(_WORDS.findall(_HUMP.sub(" ", node.mark).lower()))
+        plain[up] += plain[i]
+        linked[up] += linked[i]
+        title[i] |= node.tag in ("h1", "article", "main")
+        title[up] |= title[i]
+        heading[up] |= heading[i] or node.tag in ("h2", "h3", "h4", "h5", "h6")
+        comments[up] |= comments[i] or told[i]
+    for node in nodes[1:]:
+        i = node.no
+        node.skip = node.skip or node.parent.skip
+        if node.mark and not node.skip:
+            share = plain[i] / max(plain[0], 1)
+            if node.mark[0] == "#":
+                stays = heading[i] and not comments[i] and linked[i] <= LINKS * (plain[i] + linked[i])
+            else:
+                stays = not told[i] and (share >= NEARLY_ALL or share >= MOST and title[i])
+            node.skip = not stays
+    page.runs = [x for x in page.runs if not x[0].skip]
 
 
 def parse(text: str) -> Page:
@@ -149,7 +196,8 @@ def parse(text: str) -> Page:
     def flush(to: int) -> None:
         nonlocal new
         if begin < to and not stack[-1].skip:
-            runs.append((stack[-1], entities.unescape(text[begin:to]), new))
+            run = entities.unescape(text[begin:to])
+            runs.append((stack[-1], run, new, len("".join(run.split()))))
             new = False
 
     def pop() -> str:
@@ -189,20 +237,20 @@ def parse(text: str) -> Page:
                     pass
             continue
         if tag == "br":
-            runs.append((stack[-1], " ", False))
+            runs.append((stack[-1], " ", False, 0))
             continue
         up = stack[-1].open
         close = up.get("p") if tag in CLOSES_P else min((up[x] for x in CLOSED_BY.get(tag, ()) if x in up), default=None)
         while close is not None and len(stack) > close:
             pop()
         parent = stack[-1]
-        classes, skip = _marked(tag, m[3], parent.article)
+        classes, skip, mark = _marked(tag, m[3], parent.article)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and not _OWN_SLASH.search(m[3]):
             continue
-        node = Node(len(nodes), tag, page.path(parent.path, f"{tag}.{classes}" if classes else tag), parent, parent.skip or skip, parent.link or tag == "a")
+        node = Node(len(nodes), tag, page.path(parent.path, f"{tag}.{classes}" if classes else tag), parent, parent.skip or skip, parent.link or tag == "a", mark)
         nodes.append(node)
         if tag in RAW and tag not in endless:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, at, last + 1)  # beyond the last > no tag ends
             if end or tag in ("script", "style"):
                 begin = at = end.end() if end else len(text)
                 continue
@@ -220,14 +268,15 @@ def parse(text: str) -> Page:
             cells[-1][tag] += 1
         stack.append(node)
     flush(len(text))
+    if any(node.mark for node in nodes):
+        _settle(page)
     return page
 
 
 def candidate(page: Page) -> tuple[int, int]:
     """The path of the element that holds the main text, and its size; links do not count."""
     nodes = page.nodes
-    for node, run, _ in page.runs:
-        n = len("".join(run.split()))
+    for node, _, _, n in page.runs:
         if n:
             if node.link:
                 node.linked += n
@@ -262,7 +311,7 @@ def extracted(page: Page, path: int) -> str:
     for node in page.nodes:
         inside[node.no] = node.path == path or node.parent is not None and inside[node.parent.no]
     blocks, pending = [], True
-    for node, run, new in page.runs:
+    for node, run, new, _ in page.runs:
         pending = pending or new
         if not inside[node.no]:
             pending = True

@@ -110,3 +110,37 @@ def test_query_against_another_extractor(spark, sf):
     rows = queries.op4_html_extraction(spark, folder).collect()
     assert {r.page_id: (r.url, r.text) for r in rows} == want and len(rows) == len(want)
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+WRAPPERS = ['<div class="site has-sidebar">{}</div>', '<div id="page" class="no-sidebar">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="page with-comments">{}</div>', '<div class="sidebar-layout">{}</div>', "{}"]
+ARTICLES = ['<article class="post newsletter-issue">{}</article>', "<article>{}</article>", '<main id="content">{}</main>', '<div class="post-body">{}</div>']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("article", ARTICLES)
+def test_what_holds_the_text_is_no_furniture(spark, wrapper, article):
+    """The text is known as the page is made; furniture lies around the article and within it."""
+    lines = ["The title"] + [f"Sentence {i} of this article goes on for some words, as articles do, and then it ends." for i in range(8)]
+    parts = [f"<h1>{lines[0]}</h1>", *(f"<p>{x}</p>" for x in lines[1:])]
+    furniture = ['<div class="ad">buy now</div>', '<div class="share-buttons"><a href=x>share</a></div>', '<aside>see also</aside>', '<div id="comments"><h2>Comments</h2><p>me too, and at some length</p></div>', "<form><input>your mail</form>"]
+    for at, x in zip((2, 4, 5, 9, 7), furniture):
+        parts.insert(at, x)
+    around = '<nav><a href="/">home</a></nav>{}<div class="sidebar"><h3>Popular</h3><p>an older piece</p></div><footer>all rights</footer>'
+    df = spark.createDataFrame([(1, "http://h.x/1", f"<html><body>{wrapper.format(around.format(article.format(''.join(parts))))}</body></html>")], "page_id long, url string, html string")
+    assert html.main_text(df).first().text == "\n".join(lines)
+
+
+def test_sections_of_an_article_stay_and_comments_go(spark):
+    body = "<h1>T</h1><p>" + "words of the paper " * 20 + "</p>"
+    own = '<section id="discussion"><h2>Discussion</h2><p>we discuss</p></section><section id="related"><h2>Related work</h2><p>others did</p></section><div id="notices"><h3>Notices</h3><p>legal</p></div>'
+    not_own = '<section id="discussion"><h2>Discussion</h2><div class="comment"><p>first!</p></div></section><div id="related"><h3>More</h3><ul><li><a href=x>another long title</a></li></ul></div><section id="comments"><h2>Comments</h2><p>hm</p></section>'
+    rows = [(1, "http://a.x", f"<article>{body}{own}</article>"), (2, "http://b.x", f"<article>{body}{not_own}</article>")]
+    text = {r.page_id: r.text.split("\n")[2:] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text == {1: ["Discussion", "we discuss", "Related work", "others did", "Notices", "legal"], 2: []}
+
+
+def test_an_end_tag_that_never_ends_is_looked_for_once():
+    for name in ("title", "script", "textarea"):
+        began = time.process_time()
+        html.parse(f"<p>x</p><{name}>" + f"</{name} " * 100_000)
+        assert time.process_time() - began < 2
