@@ -127,13 +127,16 @@ def trimmed(f: Callable) -> Callable:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Rows of counts by the place of their bytes, so that the many zeros lie together and compress."""
-    return np.ascontiguousarray(counts).view(np.uint8).reshape(-1, counts.itemsize).T.tobytes()
+    """Rows of counts by the place of their bytes, so that the many zeros lie together, compressed; the size comes first."""
+    data = np.ascontiguousarray(counts).view(np.uint8).reshape(-1, counts.itemsize).T.tobytes()
+    return len(data).to_bytes(8, "little") + (pa.compress(data, "zstd", asbytes=True) if data else b"")
 
 
 def unpacked(data: bytes, kind: type, rows: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    whole = pa.decompress(data[8:], n, "zstd", asbytes=True) if n else b""
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(rows, -1)
+    return np.ascontiguousarray(np.frombuffer(whole, np.uint8).reshape(size, -1).T).view(kind).reshape(rows, -1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
