@@ -2,34 +2,95 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import ratio
-from assayer.operators.ranking import dealt
+from assayer.operators.ranking import dealt, group_rank
+from assayer.sources.tables import written
+
+
+#: Cumulative values of the Poisson distribution at mean 1, from 0 on: how often a draw takes a cluster.
+POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)
+
+
+def draws_of(cluster: str, draws: int, seed: int) -> np.ndarray:
+    """How often each draw takes a cluster: four digits of a digest are a draw's uniform number, eight draws share a digest."""
+    digits = "".join(hashlib.md5(f"{seed}|{cluster}|{i}".encode()).hexdigest() for i in range(-(-draws // 8)))
+    u = (np.frombuffer(bytes.fromhex(digits), ">u2")[:draws] + 0.5) / 65536
+    return np.searchsorted(POISSON, u, "left")
+
+
+def _stretch(draws: int, seed: int, by: list[str]):
+    """A stretch of scores: for each draw the pairs in order within it, and its weights of either label."""
 
+    def stretch(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, [("_x", "ascending")])
+        rows = rows.take(order)
+        x, p, n = (rows.column(c).to_numpy() for c in ("_x", "_p", "_n"))
+        coded = rows.column("_cluster").combine_chunks().dictionary_encode()
+        weights = np.stack([draws_of(c, draws, seed) for c in coded.dictionary.to_pylist()]).astype(np.float64)
+        place, below, parts = coded.indices.to_numpy(), np.zeros(draws), np.zeros((3, draws))
+        ends = np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1
+        first = 0
+        while first < len(x):  # some thousand rows at a time, cut between scores
+            last = int(ends[min(np.searchsorted(ends, first + 4096), len(ends) - 1)])
+            own = weights[place[first:last]]
+            starts = np.flatnonzero(np.append(True, x[first + 1 : last] != x[first : last - 1]))
+            ps, ns = (np.add.reduceat(own * v[first:last, None], starts) for v in (p, n))
+            lower = below + np.cumsum(ns, axis=0) - ns
+            parts += [(ps * (lower + ns / 2)).sum(axis=0), ps.sum(axis=0), ns.sum(axis=0)]
+            below, first = lower[-1] + ns[-1], last
+        values = {c: [rows.column(c)[0].as_py()] for c in (*by, "_bucket")} | {c: [v.tolist()] for c, v in zip(("s", "p", "n"), parts)}
+        return pa.table({c: pa.array(v, rows.schema.field(c).type if c in rows.schema.names and c not in "spn" else pa.list_(pa.float64())) for c, v in values.items()})
 
-def cluster_bootstrap(df: DataFrame, score: str, cluster: str, draws: int = 200, seed: int = 1, least: int = 20) -> DataFrame:
-    """An AUC's 95 % interval from clusters drawn with replacement: each draw weighs clusters by Poisson counts from a hash.
+    return stretch
 
-    Rows are counted by (score, label, cluster) first. Fewer than `least` draws with both labels give no interval.
+
+def cluster_bootstrap(df: DataFrame, score: str, cluster: str, draws: int = 200, seed: int = 1, least: int = 20, by: list[str] | None = None) -> DataFrame:
+    """An AUC's 95 % interval from clusters drawn with replacement, for each of `by`: each draw weighs clusters by Poisson counts from digests.
+
+    Rows are counted by (score, cluster) and shuffled once, by stretches of the score; a stretch carries all draws as vectors,
+    and gives its pairs in order and its weights for each. Fewer than `least` draws with both labels give no interval.
     """
-    # Pairs in order, by stretches of the score: within a stretch by its distinct scores, across stretches by sums.
-    counted = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("x"), cluster).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), cluster, "draw"), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    # The Poisson distribution's cumulative values at mean 1.
-    count = sum(((u > F.lit(p)).cast("int") for p in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    each = dealt(counted, "x").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", count).where("w > 0")
-    sums = each.groupBy("draw", "_bucket", "x").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
-    own = Window.partitionBy("draw", "_bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    inside = sums.withColumn("below", F.coalesce(F.sum("n").over(own), F.lit(0)))
-    parts = inside.groupBy("draw", "_bucket").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    before = Window.partitionBy("draw").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    auc = parts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("draw").agg(ratio(F.sum(F.col("s") + F.col("p") * F.col("below")), F.sum("p") * F.sum("n")).alias("auc"))
+    by = list(by or [])
+    positive, negative = (F.count_if(F.col("label") == y).cast("double") for y in (1, 0))
+    counted = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_x"), F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("_cluster")).agg(positive.alias("_p"), negative.alias("_n"))
+    each = dealt(counted, "_x").withColumn("_bucket", F.col("_bucket").cast("int"))
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+    parts = each.groupBy(*by, "_bucket").applyInArrow(_stretch(draws, seed, by), f"{kinds}_bucket int, s array<double>, p array<double>, n array<double>")
+    drawn = parts.select(*by, "_bucket", F.posexplode(F.arrays_zip("s", "p", "n")).alias("draw", "v")).select(*by, "_bucket", "draw", "v.*")
+    before = Window.partitionBy(*by, "draw").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(before), F.lit(0.0))
+    auc = drawn.withColumn("below", below).groupBy(*by, "draw").agg(ratio(F.sum(F.col("s") + F.col("p") * F.col("below")), F.sum("p") * F.sum("n")).alias("auc"))
     enough = F.count("auc") >= least
-    return auc.agg(*(F.when(enough, F.percentile("auc", q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))), F.count("auc").alias("draws"))
+    return auc.groupBy(*by).agg(*(F.when(enough, F.percentile("auc", q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))), F.count("auc").alias("draws"))
+
+
+def stratified_folds(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
+    """(group, fold, n, positives): groups kept whole, dealt largest first, there and back over the folds, those with and without positives apart.
+
+    Fold sizes differ by no more than one group of either kind. There are no more folds than groups of the rarer kind, or, where
+    each group holds both labels, than rows of the rarer label; with fewer than two, fold is null.
+    """
+    sizes = df.where(F.col(label).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("positives"))
+    with_, without = F.count_if(F.col("positives") > 0), F.count_if(F.col("positives") < F.col("n"))
+    most = sizes.agg(F.least(F.lit(folds), with_, without, F.sum("positives"), F.sum(F.col("n") - F.col("positives"))).cast("int").alias("_folds"))
+    tie = F.conv(F.substring(F.md5(F.coalesce(F.col(group).cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long")
+    rows = sizes.withColumns({"_kind": F.col("positives") > 0, "_size": -F.col("n"), "_tie": tie})
+    ranked = group_rank(rows, ["_kind"], "_size", "_tie", "_rank").crossJoin(F.broadcast(most))
+    k, at = F.col("_folds"), F.col("_rank") - 1
+    there = F.pmod(at, 2 * k)
+    fold = F.when(there < k, there).otherwise(2 * k - 1 - there)
+    # Groups without positives begin at the other end, where the last of those with some were not dealt.
+    fold = F.when(F.col("_kind"), fold).otherwise(k - 1 - fold)
+    return ranked.select(group, F.when(k >= 2, fold).cast("int").alias("fold"), "n", "positives")
 
 
 def balanced_assignment(edges: list[tuple[str, str]], per_cell: int) -> dict[str, str]:
@@ -97,9 +158,13 @@ def _sums(columns: list[str], label: str, folds: int, weights: np.ndarray, mean:
 def out_of_fold(features: DataFrame, columns: list[str], label: str, folds: int = 5, steps: int = 12, by: str = "id") -> tuple[DataFrame, np.ndarray]:
     """(fold, label, prob) where each fold's rows are judged by a logistic regression on the others, and the coefficients by fold.
 
-    Folds are dealt by the hash of `by`: its rows stay together. Each Newton step is one pass, in which partitions give sums only.
+    Folds are stratified_folds() of `by`: its rows stay together. Without two folds nothing is judged: no rows. Each Newton
+    step is one pass, in which partitions give sums only.
     """
-    d = features.where(F.col(label).isNotNull()).select(F.pmod(F.xxhash64(by), F.lit(folds)).cast("int").alias("fold"), F.col(label).cast("double").alias(label), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
+    dealt_out = written(stratified_folds(features, by, label, folds), "folds").where("fold is not null")
+    folds = (dealt_out.agg(F.max("fold")).first()[0] or 0) + 1
+    met = features.join(dealt_out.select(F.col(by).alias("_by"), "fold"), F.col(by).eqNullSafe(F.col("_by")))
+    d = met.where(F.col(label).isNotNull()).select("fold", F.col(label).cast("double").alias(label), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
     by_fold = d.groupBy("fold").agg(F.count("*").alias("n"), *(f(F.col(c) ** k).alias(f"{c}{k}") for c in columns for f, k in ((F.sum, 1), (F.sum, 2)))).collect()
     k = len(columns) + 1
     weights, mean, spread = np.zeros((folds, k)), np.zeros((folds, k - 1)), np.ones((folds, k - 1))

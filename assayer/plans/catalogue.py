@@ -686,19 +686,48 @@ def cusum_stream(v: Views) -> DataFrame:
     return rounded(v.spark.read.parquet(f"{base}/out"))
 
 
-@query()
+def bootstrap_sql(rows: str, by: str = "") -> str:
+    """The interval over rows (by, x, film, label): draws by digits of digests, as the operator takes them."""
+    keys = f"{by}, " if by else ""
+    u = "(cast('0x' || substr(md5('1|' || film || '|' || (b // 8)), (b % 8) * 4 + 1, 4) as int) + 0.5::double) / 65536"
+    count = " + ".join(f"({u} > {p}::double)::int" for p in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582))
+    q = lambda p: R(f"case when count(auc) >= 20 then quantile_cont(auc, {p}) end")
+    return f"""with rows as ({rows}), c as (select {keys}x, film, (count(*) filter (label = 1))::double as p, (count(*) filter (label = 0))::double as n from rows group by all),
+w as (select film, b, {count} as w from (select distinct film from rows), range(200) t(b)),
+j as (select {keys}b, x, sum(w * p) as p, sum(w * n) as n from c join w using (film) group by all),
+k as (select {keys}b, p, n, coalesce(sum(n) over (partition by {keys}b order by x rows between unbounded preceding and 1 preceding), 0) as below from j),
+a as (select {keys}b, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) as auc from k group by all)
+select {keys}{q(0.025)} as low, {q(0.5)} as median, {q(0.975)} as high, count(auc) as draws from a {f'group by {by}' if by else ''}"""
+
+
+@query(bootstrap_sql("select prob as x, film, label from predictions where prob is not null"))
 def cluster_bootstrap(v: Views) -> DataFrame:
     from assayer.operators.montecarlo import cluster_bootstrap as interval
 
-    return interval(v.predictions, "prob", "film")
+    return rounded(interval(v.predictions, "prob", "film"))
 
 
-@query()
-def design_power(v: Views) -> DataFrame:
-    from assayer.operators.readers import design_power as power
+SIGNALS = {"learned": "prob", "margin": "-margin_db", "uncertainty": "mc_std"}
+
+
+@query(bootstrap_sql(" union all ".join(f"select '{n}' as signal, {x} as x, film, label from predictions where {x} is not null" for n, x in SIGNALS.items()), "signal"))
+def signal_intervals(v: Views) -> DataFrame:
+    """Each signal's interval over films, signed so that more of it speaks for a referral."""
+    from assayer.operators.montecarlo import cluster_bootstrap as interval
+
+    each = F.array(*(F.struct(F.lit(n).alias("signal"), F.expr(x).alias("x")) for n, x in SIGNALS.items()))
+    return rounded(interval(v.predictions.select("film", "label", F.inline(each)), "x", "film", by=["signal"]))
+
+
+@query("""with s as (select film, count(*) as n, count(*) filter (label = 1) as positives from predictions group by film),
+m as (select least(5, count(*) filter (positives > 0), count(*) filter (positives < n), sum(positives), sum(n - positives))::int as k from s),
+r as (select *, positives > 0 as kind, row_number() over (partition by positives > 0 order by n desc, ('0x' || substr(md5(film::varchar), 1, 12))::bigint) - 1 as place from s),
+f as (select *, case when place % (2 * k) < k then place % (2 * k) else 2 * k - 1 - place % (2 * k) end as there from r, m)
+select film, case when k >= 2 then (case when kind then there else k - 1 - there end)::int end as fold, n, positives from f""")
+def fold_table(v: Views) -> DataFrame:
+    from assayer.operators.montecarlo import stratified_folds
 
-    grid = v.spark.createDataFrame([(n, k, 0.5, r) for n in (60, 120, 240) for k in (1, 3) for r in (0.3, 0.45)], "n int, readers int, icc double, signal_r double")
-    return power(grid)
+    return stratified_folds(v.predictions, "film", "label")
 
 
 @query()

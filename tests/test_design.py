@@ -132,20 +132,3 @@ def test_logs_findings_caches_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sweep").count() == 6
     design.save_json(cache, f"{tmp_path}/json")
     assert sorted(map(tuple, design.load_json(spark, f"{tmp_path}/json", "key string, severity double, id long").collect())) == sorted(map(tuple, cache.collect()))
-
-
-def test_panel_power_and_ceilings(spark):
-    from assayer.operators import readers
-
-    grid = spark.createDataFrame([(120, 3, 0.5, 0.45), (120, 3, 0.5, 0.0), (120, 1, 0.9, 0.45)], "n int, readers int, icc double, signal_r double")
-    rows = {(r.readers, r.signal_r): r for r in readers.design_power(grid, 200).collect()}
-    # Published values of the first design: power 0.8525 and a ceiling of 0.913.
-    assert rows[3, 0.45].power == pytest.approx(0.85, abs=0.08) and rows[3, 0.45].ceiling_panel == pytest.approx(0.913, abs=0.02)
-    assert rows[3, 0.0].power < 0.12 and rows[3, 0.45].false_alarms < 0.12 and rows[3, 0.45].consensus == pytest.approx(0.75)
-    assert rows[1, 0.45].ceiling_single > rows[3, 0.45].ceiling_single
-    rng = np.random.default_rng(2)
-    refer, propensity = readers.panel(rng, rng.standard_normal(20_000), 2, 0.6, 0.5)
-    assert refer.mean(axis=0) == pytest.approx([0.25, 0.25], abs=0.01)
-    score, label = rng.standard_normal(50), rng.random(50) < 0.4
-    assert readers.auc(score, label)[0] == pytest.approx(np.mean([a > b for a in score[label] for b in score[~label]]))
-    assert np.isnan(readers.auc(score, np.zeros(50, bool))[0])

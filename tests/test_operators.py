@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,43 @@ def test_left_join_drops_no_partner(spark):
     rows = QUERIES["left_join_labels"](spark, sf).collect()
     assert {r.doc_id for r in rows if r.quality is not None} == known & {r.doc_id for r in rows}
     assert any(r.quality is None for r in rows)
+
+
+def test_bootstrap_draws_are_those_of_a_plain_loop(spark):
+    """Each draw's weights, and its AUC by all pairs; scores that tie, clusters with one label, a null cluster; by group."""
+    rng = random.Random(6)
+    rows = [("ab"[i % 2], rng.choice([0.1, 0.2, 0.5, rng.random()]), None if i % 13 == 0 else i % 7, int(rng.random() < 0.4)) for i in range(120)] + [("a", None, 1, 1), ("c", 0.5, 1, 1)]
+    got = {r.g: r for r in montecarlo.cluster_bootstrap(spark.createDataFrame(rows, "g string, x double, film int, label int"), "x", "film", draws=60, by=["g"]).collect()}
+    for g in "ab":
+        aucs = []
+        for b in range(60):
+            total = above = 0.0
+            own = [(x, y, montecarlo.draws_of("" if c is None else str(c), 60, 1)[b]) for h, x, c, y in rows if h == g and x is not None]
+            for x, y, w in own:
+                for u, z, t in own:
+                    if y == 1 and z == 0:
+                        total += w * t
+                        above += w * t * ((x > u) + (x == u) / 2)
+            if total:
+                aucs.append(above / total)
+        assert got[g].draws == len(aucs)
+        assert (got[g].low, got[g].median, got[g].high) == pytest.approx(tuple(np.quantile(aucs, [0.025, 0.5, 0.975])), abs=1e-9)
+    assert got["c"].draws == 0 and got["c"].low is None
+
+
+def test_folds_keep_groups_and_are_even(spark):
+    rng = random.Random(4)
+    rows = [(g, int(rng.random() < (0.3 if g % 3 else 0.0))) for g in range(60) for _ in range(rng.randint(1, 30))]
+    rows = rows + [(None, 1), (None, 0), (61, None)]
+    got = montecarlo.stratified_folds(spark.createDataFrame(rows, "g int, y int"), "g", "y", 5).collect()
+    sizes, positives = [0] * 5, [0] * 5
+    for r in got:
+        sizes[r.fold] += r.n
+        positives[r.fold] += r.positives
+    assert len(got) == 61 and sum(sizes) == len(rows) - 1 and len({r.g for r in got}) == 61
+    assert max(sizes) - min(sizes) <= 2 * max(r.n for r in got) and max(positives) - min(positives) <= 2 * max(r.n for r in got)
+    few = montecarlo.stratified_folds(spark.createDataFrame([(i, int(i < 2)) for i in range(30)], "g int, y int"), "g", "y", 5).collect()
+    assert {r.fold for r in few} == {0, 1}
+    one = montecarlo.stratified_folds(spark.createDataFrame([(i, 1) for i in range(30)], "g int, y int"), "g", "y", 5).collect()
+    assert {r.fold for r in one} == {None}
+    assert montecarlo.out_of_fold(spark.createDataFrame([(i, 1, 0.5) for i in range(9)], "id int, y int, x double"), ["x"], "y")[0].collect() == []
