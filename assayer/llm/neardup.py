@@ -36,6 +36,8 @@ LONGER = ((512, 1024), (3072, 4096))
 SLACK = 4.5
 #: Nodes outside a bucket's main component up to which they are tried against the whole bucket.
 FEW = 64
+#: Nodes of a bucket that those outside its main component meet in one part.
+MEET = 4096
 #: Nodes of a block that is tried against another.
 BLOCK = 1024
 #: Bits of the table of shingles' frequencies (4 MB), which gives their order.
@@ -177,8 +179,8 @@ def _longer(words: int):
     return trimmed(longer), "node long, " + ", ".join(f"{x} array<long>" for x in names)
 
 
-def _tried(own: np.ndarray, across: bool, comp: np.ndarray, g: int, sets: list[np.ndarray], sketches: list[np.ndarray], most: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (as places) of a block, or across two, that lie in different components, that sketches pass, and that share no shingle before g."""
+def _tried(own: np.ndarray, across: bool, comp: np.ndarray, sketches: list[np.ndarray], most: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (as places) of a block, or across two, that lie in different components and that sketches pass."""
     n, left, right = len(own), [], []
     for at in range(0, n, 64):
         rows = np.arange(at, min(at + 64, n))
@@ -192,37 +194,21 @@ def _tried(own: np.ndarray, across: bool, comp: np.ndarray, g: int, sets: list[n
             x, y = x[x >= 0], y[x >= 0]
         left.append(x)
         right.append(y)
-    x, y = np.concatenate(left), np.concatenate(right)
-    if len(x):
-        # Whoever shares an earlier one meets there.
-        earlier = [s[s < g] for s in sets]
-        token, place = np.unique(np.concatenate(earlier), return_inverse=True)
-        row = np.repeat(np.arange(n), list(map(len, earlier)))
-        met = np.zeros(len(x), bool)
-        for k in range(0, len(token), 4096):
-            inside = (place >= k) & (place < k + 4096)
-            held = np.zeros((n, min(4096, len(token) - k)), bool)
-            held[row[inside], place[inside] - k] = True
-            for c in range(0, len(x), 4096):
-                met[c : c + 4096] |= (held[x[c : c + 4096]] & held[y[c : c + 4096]]).any(axis=1)
-        x, y = x[~met], y[~met]
-    return x, y
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _crowded(percent: int):
-    """The pairs (a, b) of groups (g, i, j) of rows, which come sorted by them."""
+    """The pairs (a, b) of groups (g, i, j) of rows, which come sorted by them: a pair that shares several shingles comes several times."""
     most = [most_odd(percent / 100, samples, bits) for samples, bits in LONGER]
 
     def pairs(t: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
-        g, i, j, own, node, comp = (t.column(k).to_numpy() for k in range(6))
-        sets = t.column(6)
-        z = [t.column(k).flatten().to_numpy().view(np.uint64).reshape(len(t), -1) for k in (7, 8)]
+        _, i, j, own, node, comp = (t.column(k).to_numpy() for k in range(6))
+        z = [t.column(k).flatten().to_numpy().view(np.uint64).reshape(len(t), -1) for k in (6, 7)]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for low, high in zip(edges, edges[1:]):
             if high - low < 2 or (comp[low:high] == comp[low]).all():
                 continue
-            here = [x.values.to_numpy() for x in sets[low:high]]
-            x, y = _tried(own[low:high], i[low] != j[low], comp[low:high], g[low], here, [s[low:high] for s in z], most)
+            x, y = _tried(own[low:high], i[low] != j[low], comp[low:high], [s[low:high] for s in z], most)
             a.append(np.minimum(node[low + x], node[low + y]))
             b.append(np.maximum(node[low + x], node[low + y]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -344,12 +330,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         frequency = docs.sparkSession.sparkContext.broadcast(table)
         rare = Cut(once(ours.mapInArrow(*_rarest(words, percent, frequency)), "node", "rare").join(small(many.df), "node").select("node", "comp", F.explode("rare").alias("g")), "rare")
         shared = rare.df.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("low < high").select("g", "parts")
-        met = rare.df.join(small(Cut(shared, "shared").df), "g").groupBy("node", "comp").agg(F.sort_array(F.collect_list(F.struct("g", "parts"))).alias("gs"))
-        placed = met.join(small(longer.df), "node").select("node", "comp", F.col("gs.g").alias("gs"), "z0", "z1", F.inline("gs"))
+        met = rare.df.join(small(Cut(shared, "shared").df), "g").groupBy("node", "comp").agg(F.collect_list(F.struct("g", "parts")).alias("gs"))
+        placed = met.join(small(longer.df), "node").select("node", "comp", "z0", "z1", F.inline("gs"))
         # A large group is tried block by block with each other.
         placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keyed = placed.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "gs", "z0", "z1")
-        pairs = Cut(keyed.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(*_crowded(percent)), "crowd").df
+        keyed = placed.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "z0", "z1")
+        pairs = Cut(keyed.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(*_crowded(percent)).distinct(), "crowd").df
         rare.drop()
         return pairs
 
@@ -363,17 +349,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     # Buckets that hold several components: the pairs across them.
     placed = members.df.select("k", "node").join(small(comp.df), "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp"))
     by_comp = placed.groupBy("k", "comp").agg(F.count("*").alias("n"))
-    mixed = by_comp.groupBy("k").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("parts > 1").select("k", "main", "others")
+    mixed = by_comp.groupBy("k").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.ceil(F.sum("n") / MEET).cast("int").alias("salts")).where("parts > 1").select("k", "main", "others", "salts")
     here = Cut(placed.join(small(Cut(mixed, "mixed").df), "k"), "here")
     wanted = Cut(here.df.select("node").distinct(), "wanted")
     longer = Cut(once(texts_of(wanted).mapInArrow(*_longer(words)), "node", "z0", "z1"), "longer")
     near = " + ".join(f"bit_count(z0[{i}] ^ y0[{i}])" for i in range(LONGER[0][1] // 64)) + f" <= {most_odd(percent / 100, *LONGER[0])}"
     nearer = f"aggregate(zip_with(z1, y1, (p, q) -> bit_count(p ^ q)), 0, (a, v) -> a + v) <= {most_odd(percent / 100, *LONGER[1])}"
     carried = here.df.where(F.col("others") <= FEW).join(small(longer.df), "node")
-    rest = carried.where("comp <> main").select("k", "node", "comp", "bands", "z0", "z1")
-    other = carried.select("k", F.col("node").alias("node2"), F.col("comp").alias("comp2"), "main", F.col("bands").alias("bands2"), F.col("z0").alias("y0"), F.col("z1").alias("y1"))
+    # A large main component is dealt into parts, each of which meets the few nodes outside it.
+    rest = carried.where("comp <> main").select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "comp", "bands", "z0", "z1")
+    other = carried.select("k", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("node2"), F.col("comp").alias("comp2"), "main", F.col("bands").alias("bands2"), F.col("z0").alias("y0"), F.col("z1").alias("y1"))
     across = f"comp <> comp2 and (comp2 = main or node < node2) and {near} and {nearer} and element_at(array_intersect(bands, bands2), 1) = k"
-    pairs = rest.join(other, "k").where(across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    pairs = rest.join(other, ["k", "salt"]).where(across).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
     many = Cut(here.df.where(F.col("others") > FEW).select("node", "comp").distinct(), "many")
     if not many.df.isEmpty():
         pairs = pairs.unionByName(split(many, longer))

@@ -71,12 +71,31 @@ def edited(text, rate, rng):
     return " ".join(rng.choice(WORDS) if rng.random() < rate else w for w in text.split())
 
 
+def shuffled_bytes(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_crowds_of_long_texts_shuffle_in_proportion(spark, monkeypatch):
+    """Unlike texts of one bucket, three times as long: at most four times as much is shuffled; none is linked."""
+    monkeypatch.setattr(neardup, "FEW", 0)
+    rng, seen = random.Random(5), []
+    for n in (2000, 6000):
+        base = [f"w{rng.randrange(50_000)}" for _ in range(n)]
+        texts = [" ".join(w if rng.random() > 0.018 else f"x{rng.randrange(10**9)}" for w in base) for _ in range(60)]
+        df, before = docs(spark, texts), shuffled_bytes(spark)
+        assert neardup.near_duplicates(df).where("not kept").count() == sum(a != i for i, a in brute_components(list(enumerate(texts))).items())
+        seen.append(shuffled_bytes(spark) - before)
+    assert seen[1] <= 4 * seen[0], seen
+
+
 @pytest.mark.parametrize("few", [neardup.FEW, 0])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, few):
     """With 0, all pairs across components are found by their rarest shingles."""
     monkeypatch.setattr(neardup, "FEW", few)
     monkeypatch.setattr(neardup, "HUB", 2)
     monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "MEET", 2)
     rng = random.Random(8)
     bases = [prose(n, rng) for n in (6, 40, 120, 300)]
     texts = [edited(b, rate, rng) for b in bases for rate in (0, 0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.08) for _ in range(3)] + odd_texts()
