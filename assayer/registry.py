@@ -29,4 +29,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from assayer.plans import catalogue, designs, imaging, streams, studies  # noqa: E402, F401  fills the tables above
+from assayer.plans import catalogue, designs, extensions, imaging, streams, studies  # noqa: E402, F401  fills the tables above
