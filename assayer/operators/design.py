@@ -81,7 +81,7 @@ def sample_design(df: DataFrame, n_cases: int = 120, strata: int = 3, repeats: f
     cells = population.count()
     drawn = assigned(d, film, "cell", max(1, n_cases // max(1, cells)))
     allocated = drawn.groupBy("cell").agg(F.count("*").alias("allocated"))
-    cases = d.select(F.col(film).cast("string").alias(film), "cell", F.col(case).cast("string").alias("case_id"), F.col(case).alias("_case")).join(F.broadcast(drawn), [film, "cell"])
+    cases = d.select(F.col(film).cast("string").alias(film), "cell", F.col(case).cast("string").alias("case_id"), F.col(case).alias("_case")).join(drawn, [film, "cell"])
     shown = cases.groupBy(film, "cell").agg(F.min_by("case_id", "_case").alias("case_id")).join(population, "cell").join(allocated, "cell")
     shown = shuffled_rank(shown, [], seed, "case_id", "_r", "_n").withColumn("weight", F.col("population") / F.col("allocated"))
     once = shown.select("case_id", film, "cell", "weight", F.lit(False).alias("is_repeat"))
@@ -90,9 +90,9 @@ def sample_design(df: DataFrame, n_cases: int = 120, strata: int = 3, repeats: f
 
 
 def frozen_confidence(fit: DataFrame, df: DataFrame, uncertainty: str, *by: str) -> DataFrame:
-    """Uncertainty as confidence by the bounds of `fit`, cut to [0, 1]; bounds that tell nothing apart give 0.5."""
+    """Uncertainty as confidence by the bounds of `fit`, cut to [0, 1]; bounds that tell nothing apart give 0.5, a group without bounds null."""
     bounds = fit.groupBy(*by).agg(F.min(uncertainty).alias("_low"), F.max(uncertainty).alias("_high"))
-    d = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))
+    d = df.join(bounds, list(by), "left") if by else df.crossJoin(F.broadcast(bounds))
     wide = F.col("_high") - F.col("_low")
     value = F.when(wide < 1e-12, 0.5).otherwise(clip(1 - (F.col(uncertainty) - F.col("_low")) / F.nullif(wide, F.lit(0.0)), 0.0, 1.0))
     return d.withColumn("confidence", value).drop("_low", "_high")
@@ -186,9 +186,13 @@ def paired_intervals(runs: DataFrame, reference: str, draws: int = 2000, seed: i
 
 
 def epoch_draws(ids: DataFrame, seed: int, epoch: Column | int, key: str = "id") -> DataFrame:
-    """Each row's augmentation of an epoch, a function of (seed, epoch, id) alone: severity in [0, 1), flip, and shift of up to 8."""
+    """Each row's augmentation of an epoch, a function of (seed, epoch, id) alone: severity in [0, 1), flip, and shift of up to 8.
+
+    The draws are digits of the digest of all three: eight each.
+    """
     e = F.lit(epoch) if isinstance(epoch, int) else epoch
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), e.cast("long"), F.col(key), F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), e.cast("string"), F.col(key).cast("string")))
+    u = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
     return ids.select(key, e.cast("long").alias("epoch"), u(0).alias("severity"), (u(1) < 0.5).alias("flip"), F.floor(u(2) * 17 - 8).cast("int").alias("shift"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.scalars import ratio
+from assayer.operators.matching import matched
 from assayer.operators.ranking import dealt, group_rank
 from assayer.sources.tables import written
 
@@ -122,16 +123,23 @@ def balanced_assignment(edges: list[tuple[str, str]], per_cell: int) -> dict[str
     return owner
 
 
+#: Edges that the driver may hold for the search over few cells.
+FEW_EDGES = 1_000_000
+
+
 def assigned(df: DataFrame, film: str, cell: str, per_cell: int) -> DataFrame:
-    """The drawn design of (film, cell) over all rows; what is collected is bounded by the number of cells.
+    """The drawn design of (film, cell) over all rows: as many films as can be, cells filled level by level.
 
     At most cells * per_cell films are drawn, so among a cell's first films of that number one is free whenever the
-    search asks for the next: it never reads beyond them, and the design is that of all edges.
+    search asks for the next: it never reads beyond them, and the design is that of all edges. Where cells are so many that
+    these are too much for the driver, the search goes by joins (matching.matched), and gives each level as many films.
     """
     edges = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in (film, cell))).distinct()
-    most = edges.select(cell).distinct().count() * per_cell
+    cells = edges.select(cell).distinct().count()
+    if cells * cells * per_cell > FEW_EDGES:
+        return matched(edges, film, cell, per_cell)
     rank = F.row_number().over(Window.partitionBy(cell).orderBy(film))
-    first = edges.withColumn("_rank", rank).where(F.col("_rank") <= most).select(film, cell).collect()
+    first = edges.withColumn("_rank", rank).where(F.col("_rank") <= cells * per_cell).select(film, cell).collect()
     drawn = sorted(balanced_assignment([tuple(r) for r in first], per_cell).items())
     return df.sparkSession.createDataFrame(drawn, f"{film} string, {cell} string")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.operators import audit, design, selective, survey
+from assayer.operators import audit, design, matching, selective, survey
 from assayer.plans.catalogue import FEATURES, RIGHT, TRIAGE, R, rounded
 from assayer.plans.views import Views
 from assayer.registry import query
@@ -158,11 +158,21 @@ def paired_intervals(v: Views) -> DataFrame:
     return design.paired_intervals(v.runs, "3-MEDIUM")
 
 
-@query("select c_custkey as id, 2 as epoch from customer")
+_U = "('0x' || substr(md5('7|2|' || c_custkey), {}, 8))::bigint / 4294967296::double"
+
+
+@query(f"select c_custkey as id, 2 as epoch, {R(_U.format(1))} as severity, {_U.format(9)} < 0.5 as flip, cast(floor({_U.format(17)} * 17 - 8) as int) as shift from customer")
 def epoch_ids(v: Views) -> DataFrame:
-    """Which rows an epoch draws for; the draws themselves are hashes."""
+    """What an epoch draws for each row."""
     ids = v.table("customer").select(F.col("c_custkey").alias("id"))
-    return design.epoch_draws(ids, 7, 2).select("id", F.col("epoch").cast("int").alias("epoch"))
+    return rounded(design.epoch_draws(ids, 7, 2).withColumn("epoch", F.col("epoch").cast("int")))
+
+
+@query("select l_partkey as part, least(2, count(distinct l_orderkey)) as n from lineitem group by l_partkey")
+def matched_orders(v: Views) -> DataFrame:
+    """Orders matched to the parts that they hold, each order once and each part twice: there are orders enough for all."""
+    found = matching.matched(v.table("lineitem").select(F.col("l_orderkey").alias("film"), F.col("l_partkey").alias("part")), "film", "part", 2)
+    return found.groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query("select 'data/' || source || '/' || doc_id || '.png' as path, doc_id || '__s' || lpad(cast((doc_id % 5) * 25 as varchar), 3, '0') as key from documents")
