@@ -37,6 +37,8 @@ SHORT = 6
 BLOCK_WORDS = 400_000
 #: Salts of a seed's join; bits of the bitmap of a joined benchmark's seeds (16 MB).
 SALTS, BITMAP_BITS = 8, 27
+#: Items whose words one row holds for a text, about.
+TOGETHER = 64
 #: Meetings of seeds of a text and an item, for each possible shift, beyond which all shifts are tried.
 MEETINGS = 2
 _FILTER_BITS = 22
@@ -238,8 +240,10 @@ def _joined(texts: DataFrame, benchmark: DataFrame, short: int) -> DataFrame:
     spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = own.withColumn("salt", salt).join(spread, ["seed", "salt"]).select("doc_id", "k", "no", "salt").distinct()
     every = items.select("no", "item_id", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    given = met.join(every, ["no", "salt"]).groupBy(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
-    given = Cut(given, "met").df
+    # A text that meets many items meets them some at a time: no row holds the words of more than about TOGETHER.
+    together = F.pmod(F.xxhash64("no"), F.lit(items.count() // TOGETHER + 1)).alias("_part")
+    given = met.join(every, ["no", "salt"]).groupBy(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), together).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
+    given = Cut(given.drop("_part"), "met").df
     tried = keyed.join(given, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))).select("doc_id", "text", "items")
     return tried.mapInArrow(*_verified(short))
 

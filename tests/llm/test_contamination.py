@@ -74,3 +74,25 @@ def test_repeated_words_take_no_square_time():
     mixed = np.tile(np.array([7, 8], np.uint64), 10_000)
     began = time.process_time()
     assert len(list(items.found(mixed, np.array([0, len(mixed)])))) == 0 and time.process_time() - began < 5
+
+
+def test_a_phrase_in_all_texts_and_all_items_is_met_in_bounded_rows(spark, monkeypatch):
+    """Joined as sent, though each text meets each item; no row holds the words of many items."""
+    monkeypatch.setattr(decontam, "TOGETHER", 5)
+    seen, inner = [], decontam.Cut
+
+    def watched(df, name):
+        out = inner(df, name)
+        if name == "met":
+            seen.append(out.df.selectExpr("max(size(items))", "count(*)").first())
+        return out
+
+    monkeypatch.setattr(decontam, "Cut", watched)
+    rng = random.Random(12)
+    phrase = prose(13, rng)
+    items = spark.createDataFrame([(i, f"{prose(9, rng)} {phrase} {prose(4, rng)}") for i in range(60)], "item_id long, text string")
+    texts = docs(spark, [f"{prose(40, rng)} {phrase} {prose(30, rng)}" for _ in range(25)] + [prose(50, rng), None])
+    rows = lambda words: sorted(tuple(r) for r in decontam.contamination(texts, items, block_words=words).collect())
+    joined = rows(0)
+    assert joined == rows(1 << 30) and len(joined) == 25 * 60
+    assert seen[0][0] <= 5 * 5 and seen[0][1] >= 25 * 60 / 25
