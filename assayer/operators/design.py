@@ -152,6 +152,20 @@ def cache_stats(df: DataFrame, pixels: str, margin: str) -> DataFrame:
     return range_.crossJoin(F.broadcast(rest))
 
 
+CHANNELS = ("none", "channel", "scramble", "severity")
+
+
+def fourth_channel(df: DataFrame, mode: str, key: str, floor: str, severity: str, low: float, high: float, epoch: int) -> DataFrame:
+    """key, severity and what a model gets as its fourth channel: nothing, the log floor between training's bounds, another case's at the same severity, or the severity."""
+    if mode not in CHANNELS:
+        raise ValueError(f"unknown channel {mode!r}; expected one of {list(CHANNELS)}")
+    if mode in ("none", "severity"):
+        return df.select(key, severity, (F.lit(None).cast("double") if mode == "none" else F.col(severity).cast("double")).alias("channel"))
+    rows = scrambled(df, key, floor, severity, epoch).withColumn(floor, F.col("scrambled")) if mode == "scramble" else df
+    log = F.log10(F.greatest(F.lit(LEAST_FLOOR), F.least(F.lit(FLOOR_CLIP), F.col(floor).cast("double"))))
+    return rows.select(key, severity, clip((log - low) / max(high - low, 1e-9), 0.0, 1.0).alias("channel"))
+
+
 def gate_report(df: DataFrame, ratio: str = "ratio", seed: str = "seed", band: tuple[float, float] = (0.5, 2.0), most_spread: float = 2.0, most_degenerate: float = 0.2) -> DataFrame:
     """The falsification gate over conditions (ratio, seed, degenerate, unphysical, passes): counts, quartiles, spread over seeds, verdict.
 

@@ -158,6 +158,21 @@ def paired_intervals(v: Views) -> DataFrame:
     return design.paired_intervals(v.runs, "3-MEDIUM")
 
 
+_CHANNEL = "least(1, greatest(0, (log10(greatest(1e-6, least(1.0::double, {0}))) + 2.0::double) / 1.5::double))"
+
+
+@query(f"""with o as (select case_id, severity, mc_std, row_number() over (partition by severity order by md5('4|' || case_id), case_id) as r, count(*) over (partition by severity) as n from predictions)
+select 'channel' as mode, a.case_id, {R(_CHANNEL.format('a.mc_std'))} as channel from o a union all select 'scramble', a.case_id, {R(_CHANNEL.format('b.mc_std'))} from o a join o b on a.severity = b.severity and b.r = a.r % a.n + 1
+union all select 'severity', case_id, severity from predictions union all select 'none', case_id, null from predictions""")
+def fourth_channels(v: Views) -> DataFrame:
+    """Of each case, what each mode selects: mc_std stands for the floor, between bounds of 0.01 and about 0.3."""
+    each = [design.fourth_channel(v.predictions, m, "case_id", "mc_std", "severity", -2.0, -0.5, 4).select(F.lit(m).alias("mode"), "case_id", "channel") for m in design.CHANNELS]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return rounded(out)
+
+
 _U = "('0x' || substr(md5('7|2|' || c_custkey), {}, 8))::bigint / 4294967296::double"
 
 

@@ -93,8 +93,15 @@ def sheet_confusion(v: Views) -> DataFrame:
     return imaging.disc_confusion(imaging.sheet_scores(v.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.expr("(n_nationkey % 5) * 0.25D").alias("severity"))))
 
 
-@query("""select key, floor(delta_d * 1e6 + 0.5) / 1e6 as delta_d, size_mm from (select key, 2.0::double * 0.67::double / ln(10) * 0.19::double * rho * size_mm / 10 as delta_d, size_mm
+@query("""with f as (select key, 2.0::double * 0.67::double / ln(10) * 0.19::double * rho * size_mm / 10 as delta_d, size_mm
 from (values ('miliary_nodule', 1.06::double - 0.26::double, 2.0::double), ('small_nodule', 1.06::double - 0.26::double, 6.0::double), ('infiltrate', 0.5::double * (1.06::double - 0.26::double), 15.0::double),
-('cavity_wall', 1.06::double - 0.001205::double, 3.4::double), ('consolidation', 1.06::double - 0.26::double, 45.0::double), ('pleural_effusion', 1.0::double - 0.26::double, 30.0::double), ('fibrotic_band', 1.06::double - 0.26::double, 5.0::double)) t(key, rho, size_mm))""")
+('cavity_wall', 1.06::double - 0.001205::double, 3.4::double), ('consolidation', 1.06::double - 0.26::double, 45.0::double), ('pleural_effusion', 1.0::double - 0.26::double, 30.0::double), ('fibrotic_band', 1.06::double - 0.26::double, 5.0::double)) t(key, rho, size_mm)),
+r as (select delta_d as ref from f where key = 'small_nodule')
+select key, floor(delta_d * 1e6 + 0.5) / 1e6 as delta_d, size_mm, (select count(*) from predictions where margin_db + 20 * log10(delta_d / ref) >= 3) as n_shown from f, r""")
 def finding_dimension(v: Views) -> DataFrame:
-    return imaging.finding_dimension(v.spark).select("key", F.expr("floor(delta_d * 1e6 + 0.5) / 1e6").alias("delta_d"), "size_mm")
+    """Each finding with the cases whose margin, which is that of a small nodule, would show it clearly."""
+    f = imaging.finding_dimension(v.spark)
+    ref = f.where("key = 'small_nodule'").select(F.col("delta_d").alias("ref"))
+    # Seven rows.
+    shown = v.predictions.select("margin_db").crossJoin(F.broadcast(f.crossJoin(ref))).where("margin_db + 20 * log10(delta_d / ref) >= 3").groupBy("key").agg(F.count("*").alias("n_shown"))
+    return f.join(shown, "key", "left").select("key", F.expr("floor(delta_d * 1e6 + 0.5) / 1e6").alias("delta_d"), "size_mm", F.coalesce("n_shown", F.lit(0)).alias("n_shown"))

@@ -63,11 +63,14 @@ def arms_against_baseline(v: Views) -> DataFrame:
     return rounded(study.against(study.arm_summary(a, ["mc_std", "miss"], "arm"), ["mc_std", "miss"], "baseline", "oracle"))
 
 
-@query("""select * from (values ('nitrd_da', 156, true, 'usable', 'both_classes|institution|licence|n_images'), ('nitrd_db', 150, true, 'usable', 'both_classes|institution|licence|n_images'),
+@query("""select t.*, (select count(*) from manifest where clinic = t.key) as n_files from (values ('nitrd_da', 156, true, 'usable', 'both_classes|institution|licence|n_images'), ('nitrd_db', 150, true, 'usable', 'both_classes|institution|licence|n_images'),
 ('tbx11k', 11200, true, 'usable_with_caveats', 'institution'), ('vindr_cxr', 18000, true, 'usable_with_caveats', ''), ('padchest', 160000, true, 'usable_with_caveats', 'class_note'),
 ('kaggle_tb_aggregate', 4200, true, 'not_a_fold', 'class_note'), ('niaid_tbportals', 3000, false, 'not_a_fold', '')) t(key, n_images, both_classes, verdict, unverified)""")
 def archive_registry(v: Views) -> DataFrame:
-    return source_registry(v.spark).select("key", "n_images", "both_classes", "verdict", F.array_join("unverified", "|").alias("unverified"))
+    """The archives, with the files of the manifest that come from each."""
+    files = v.manifest.groupBy(F.col("clinic").alias("key")).agg(F.count("*").alias("n_files"))
+    rows = source_registry(v.spark).select("key", "n_images", "both_classes", "verdict", F.array_join("unverified", "|").alias("unverified"))
+    return rows.join(files, "key", "left").na.fill(0, ["n_files"])
 
 
 @query()
