@@ -288,6 +288,12 @@ def split_loco(v: Views) -> DataFrame:
     return provenance.split(v.manifest, "loco", holdout="src0")
 
 
+@query(f"with {SPLIT_LOCO} select path, clinic, label from split where split = 'test'")
+def split_filter(v: Views) -> DataFrame:
+    """The rows of one split."""
+    return provenance.split(v.manifest, "loco", holdout="src0").where("split = 'test'").select("path", "clinic", "label")
+
+
 @query(f"with {SPLIT_LOCO} select split, count(*) filter (label = 0) as normal, count(*) filter (label = 1) as positive, count(*) as total from split group by split")
 def split_summary(v: Views) -> DataFrame:
     return provenance.split_summary(provenance.split(v.manifest, "loco", holdout="src0"))
