@@ -25,9 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.align import place
 from assayer.llm.common import Cut, arrow_batches, trimmed
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The file, and where it lies on this machine; workers look for it on theirs.
+FILE = "byte_bpe_50k.json"
+TOKENIZER = place(FILE)
 WINDOW, OPEN_WINDOWS, END_ID = 2048, 64, 1
 #: Leftovers that are poured together in one task.
 GROUP = 256
@@ -40,6 +43,7 @@ _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
 @lru_cache(1)
 def _tokenizer(path: str):
     """The tokenizer's encoder of lists of plain texts, and that of any texts."""
+    path = place(path)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -58,7 +62,7 @@ def _tokenizer(path: str):
     return (lambda texts: [fast.encode_ordinary(x) for x in texts]), anything
 
 
-def token_ids(texts: list[str | None], path: str = TOKENIZER) -> list[np.ndarray]:
+def token_ids(texts: list[str | None], path: str = FILE) -> list[np.ndarray]:
     """Each text's ids, and the end id: by the vocabulary's ranks where that gives the same ids sooner, else by the tokenizer."""
     fast, anything = _tokenizer(path)
     texts = [x or "" for x in texts]
@@ -194,7 +198,7 @@ def _poured(level: int, window: int, last: bool):
     return trimmed(poured), _PIECES
 
 
-def pack(docs: DataFrame, path: str = TOKENIZER, window: int = WINDOW, most_open: int = OPEN_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, path: str = FILE, window: int = WINDOW, most_open: int = OPEN_WINDOWS) -> DataFrame:
     """Rows of pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each id of each document lies in one piece; a sequence's pieces follow one another from offset 0 up to `window` at most.
