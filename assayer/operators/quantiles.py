@@ -18,7 +18,7 @@ from assayer.sources.tables import written
 
 DIGIT = 16
 #: Rows of a group, or of a bin, that one task may count by whole values.
-FEW = 1 << 16
+FEW = 120_000
 
 Wanted = dict[str, tuple[Column | str, float | list[float]]]
 
