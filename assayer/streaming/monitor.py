@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assayer.operators.ranking import dealt, group_rank
 
+#: Rows of a result frame.
+FRAME = 20_000
+
 
 def cusum(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
     """Upper and lower sums in closed form: a running sum less its least value so far (0 included).
@@ -51,18 +55,32 @@ def cusum_with_resets(readings: DataFrame, target: float, slack: float, threshol
     return met.select("clinic.clinic", "seq", "value", "high", "low", "alarm", "readings")
 
 
+def chart_frames(clinic, batches: Iterator[pd.DataFrame], state: GroupState, target: float, slack: float, threshold: float) -> Iterator[pd.DataFrame]:
+    """A clinic's rows of one micro-batch, in order, FRAME at a time: only three numbers a row are held for all of them."""
+    parts = [[b[c].to_numpy() for c in ("ts", "seq", "value")] for b in batches]
+    ts, seq, value = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order = np.lexsort((seq, ts))
+    seq, value = seq[order], value[order]
+    del ts, order
+    high, low = state.get if state.exists else (0.0, 0.0)
+    for at in range(0, len(seq), FRAME):
+        values = value[at : at + FRAME]
+        highs, lows = [], []
+        for x in values.tolist():
+            high, low = max(0.0, high + x - target - slack), max(0.0, low + target - x - slack)
+            highs.append(high)
+            lows.append(low)
+        out = pd.DataFrame({"clinic": clinic, "seq": seq[at : at + FRAME], "value": values, "high": highs, "low": lows})
+        yield out.assign(alarm=(out["high"] > threshold) | (out["low"] > threshold))
+    state.update((high, low))
+
+
 def cusum_stream(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
     """The same over a stream of (clinic, ts, seq, value): two sums a clinic are its state; a batch's rows are sorted, late ones count on arrival."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high, low = state.get if state.exists else (0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        out = []
-        for seq, value in zip(rows["seq"], rows["value"]):
-            high, low = max(0.0, high + value - target - slack), max(0.0, low + target - value - slack)
-            out.append((key[0], seq, value, high, low, high > threshold or low > threshold))
-        state.update((high, low))
-        yield pd.DataFrame(out, columns=["clinic", "seq", "value", "high", "low", "alarm"])
+        yield from chart_frames(key[0], batches, state, target, slack, threshold)
 
     return readings.groupBy("clinic").applyInPandasWithState(step, "clinic string, seq long, value double, high double, low double, alarm boolean", "high double, low double", "append", GroupStateTimeout.NoTimeout)
 
