@@ -21,11 +21,47 @@ from assayer.sources.tables import written
 POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)
 
 
+#: The same for each uniform number of 16 bits.
+TIMES = np.searchsorted(POISSON, (np.arange(1 << 16) + 0.5) / (1 << 16), "left").astype(np.uint8)
+
+
+def drawn(clusters: list[str], draws: int, seed: int) -> np.ndarray:
+    """A row for each cluster, how often each draw takes it: four digits of a digest are a draw's uniform number, eight draws share a digest."""
+    ends, out = [f"|{i}".encode() for i in range(-(-draws // 8))], np.empty((len(clusters), draws), np.uint8)
+    for at in range(0, len(clusters), 4096):
+        heads = [f"{seed}|{c}".encode() for c in clusters[at : at + 4096]]
+        digests = b"".join([hashlib.md5(h + e).digest() for h in heads for e in ends])
+        out[at : at + 4096] = TIMES[np.frombuffer(digests, ">u2").reshape(len(heads), -1)[:, :draws]]
+    return out
+
+
 def draws_of(cluster: str, draws: int, seed: int) -> np.ndarray:
-    """How often each draw takes a cluster: four digits of a digest are a draw's uniform number, eight draws share a digest."""
-    digits = "".join(hashlib.md5(f"{seed}|{cluster}|{i}".encode()).hexdigest() for i in range(-(-draws // 8)))
-    u = (np.frombuffer(bytes.fromhex(digits), ">u2")[:draws] + 0.5) / 65536
-    return np.searchsorted(POISSON, u, "left")
+    """How often each draw takes a cluster."""
+    return drawn([cluster], draws, seed)[0].astype(int)
+
+
+#: Bytes of draws that a Python worker keeps from one stretch of scores to the next, as a cluster lies in many of them.
+KEPT = 128 << 20
+_kept: dict[tuple[int, int], tuple[dict[str, int], np.ndarray]] = {}
+
+
+def weights_of(clusters: list[str], draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """drawn() of distinct clusters as a table and each one's row in it. Those that came before are not drawn again, as far as they are kept."""
+    most = KEPT // draws
+    if len(clusters) > most:
+        return drawn(clusters, draws, seed), np.arange(len(clusters))
+    if (draws, seed) not in _kept:
+        _kept.clear()
+        _kept[draws, seed] = {}, np.empty((most, draws), np.uint8)
+    known, table = _kept[draws, seed]
+    new = [c for c in clusters if c not in known]
+    if len(known) + len(new) > most:
+        known.clear()
+        new = clusters
+    first = len(known)
+    table[first : first + len(new)] = drawn(new, draws, seed)
+    known.update(zip(new, range(first, first + len(new))))
+    return table, np.fromiter((known[c] for c in clusters), int, len(clusters))
 
 
 def _stretch(draws: int, seed: int, by: list[str]):
@@ -36,8 +72,8 @@ def _stretch(draws: int, seed: int, by: list[str]):
         rows = rows.take(order)
         x, p, n = (rows.column(c).to_numpy() for c in ("_x", "_p", "_n"))
         coded = rows.column("_cluster").combine_chunks().dictionary_encode()
-        weights = np.stack([draws_of(c, draws, seed) for c in coded.dictionary.to_pylist()]).astype(np.float64)
-        place, below, parts = coded.indices.to_numpy(), np.zeros(draws), np.zeros((3, draws))
+        weights, at = weights_of(coded.dictionary.to_pylist(), draws, seed)
+        place, below, parts = at[coded.indices.to_numpy()], np.zeros(draws), np.zeros((3, draws))
         ends = np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1
         first = 0
         while first < len(x):  # some thousand rows at a time, cut between scores
