@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assayer.sources.sink import BatchSink
+from assayer.streaming.monitor import ROUNDING
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -88,7 +89,7 @@ class Chart(StatefulProcessor):
                 continue
             high, low, n = max(0.0, high + value - self.target - self.slack), max(0.0, low + self.target - value - self.slack), n + 1
             kept.append((seq, high, low))
-            out.append((key[0], seq, value, high, low, high > self.threshold or low > self.threshold, n))
+            out.append((key[0], seq, value, high, low, max(high, low) > self.threshold + ROUNDING, n))
         self.sums.update((high, low, n))
         if kept:
             self.history.appendList(kept)

@@ -15,6 +15,9 @@ from assayer.operators.ranking import dealt, group_rank
 #: Rows of a result frame.
 FRAME = 20_000
 
+#: By what a sum of doubles may be off: one that is the threshold itself is no alarm, in whatever order it was added.
+ROUNDING = 1e-9
+
 
 def cusum(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
     """Upper and lower sums in closed form: a running sum less its least value so far (0 included).
@@ -34,7 +37,7 @@ def cusum(readings: DataFrame, target: float, slack: float, threshold: float) ->
     met = d.join(ends, (F.col("_bucket") == F.col("_at")) & F.col("clinic").eqNullSafe(F.col("_clinic")))
     level = lambda x: F.col(f"{x}_before") + F.col(x) - F.least(F.col(f"{x}_floor"), F.col(f"{x}_before") + F.col(f"{x}_least"))
     out = met.select("clinic", "seq", "value", level("u").alias("high"), level("d").alias("low"))
-    return out.withColumn("alarm", (F.col("high") > threshold) | (F.col("low") > threshold))
+    return out.withColumn("alarm", (F.col("high") > threshold + ROUNDING) | (F.col("low") > threshold + ROUNDING))
 
 
 def cusum_with_resets(readings: DataFrame, target: float, slack: float, threshold: float) -> DataFrame:
@@ -72,7 +75,7 @@ def chart_frames(clinic, batches: Iterator[pd.DataFrame], state: GroupState, tar
             highs.append(high)
             lows.append(low)
         out = pd.DataFrame({"clinic": clinic, "seq": seq[at : at + FRAME], "value": values, "high": highs, "low": lows})
-        yield out.assign(alarm=(out["high"] > threshold) | (out["low"] > threshold))
+        yield out.assign(alarm=(out["high"] > threshold + ROUNDING) | (out["low"] > threshold + ROUNDING))
     state.update((high, low))
 
 
