@@ -33,18 +33,18 @@ def _coarser(edges: str) -> list[Column]:
 
 
 def _below(edges: str, column: str) -> Column:
-    """How many of the sorted edges are less than the value: by each 256th first, then between two by each 16th, then one by one."""
+    """How many of the sorted edges are less than the value: by each 256th first, then between two by each 16th, then one by one. Nulls lie beyond all."""
     v, found = F.col(column).cast("double"), F.lit(0)
     for step in STEPS:
         near = F.slice(f"{edges}{step}", (found / step).cast("int") + 1, 16)
         found = found + step * F.size(F.filter(near, lambda e: e < v))
-    return found
+    return F.when(v.isNull(), MOST).otherwise(found)
 
 
 def dealt(df: DataFrame, value: str, tie: str | None = None) -> DataFrame:
-    """df with `_bucket`, ordered by (value, tie), from approximate quantiles of all rows.
+    """df with `_bucket`, ordered by (value, tie), nulls last, from approximate quantiles of all rows.
 
-    Rows of a value that fills whole buckets are dealt on by the quantiles of `tie`, a number, if there is one.
+    Rows of a value that fills whole buckets, or without one, are dealt on by the quantiles of `tie`, a number, if there is one.
     """
     numbers = df.select(F.col(value).cast("double").alias("_v"), *([F.col(tie).cast("double").alias("_t")] if tie else []))
     edges = numbers.agg(F.count("*").alias("_n"), _edges("_v", "_e"), *([_edges("_t", "_f")] if tie else []))
@@ -55,8 +55,8 @@ def dealt(df: DataFrame, value: str, tie: str | None = None) -> DataFrame:
     else:
         edges = edges.select(F.array_distinct("_e").alias("_e"))
     edges = edges.select(*_coarser("_e"), *([*_coarser("_f"), "_full"] if tie else []))
-    inner = F.when(F.array_contains("_full", F.col(value).cast("double")), 1 + _below("_f", tie)).otherwise(0) if tie else F.lit(0)
-    return df.crossJoin(F.broadcast(edges)).withColumn("_bucket", _below("_e", value) * (MOST + 1) + inner).drop(*edges.columns)
+    inner = F.when(F.col(value).isNull() | F.array_contains("_full", F.col(value).cast("double")), 1 + _below("_f", tie)).otherwise(0) if tie else F.lit(0)
+    return df.crossJoin(F.broadcast(edges)).withColumn("_bucket", _below("_e", value) * (MOST + 2) + inner).drop(*edges.columns)
 
 
 def _offsets(rows: DataFrame, by: list[str], **sums: Column) -> DataFrame:
@@ -82,12 +82,12 @@ def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: st
 
 
 def group_rank(df: DataFrame, by: list[str], value: str, tie: str | None, name: str, total: str | None = None) -> DataFrame:
-    """df with the row number by (value, tie) in each group; value has no nulls, tie is a number."""
-    return numbered(dealt(df, value, tie), by, [value, *([tie] if tie else [])], name, total)
+    """df with the row number by (value, tie), nulls last, in each group; tie is a number."""
+    return numbered(dealt(df, value, tie), by, [F.col(c).asc_nulls_last() for c in ([value, tie] if tie else [value])], name, total)
 
 
 def global_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
-    """df with the row number by (value, tie) under `name`; value has no nulls."""
+    """df with the row number by (value, tie), nulls last, under `name`."""
     return group_rank(df, [], value, tie, name)
 
 
