@@ -35,3 +35,8 @@ def as_sql(spark, tmp_path):
 @pytest.mark.parametrize("name", ["conformal_decide", "conformal_calibrate"])
 def test_null_readings_rank_last(as_sql, name):
     as_sql(name, "case when event_id % 5 = 1 then null else value end as value")
+
+
+def test_null_numbers_rank_last(as_sql):
+    # More than a fifth of the cases have no reading; those without a number come after them.
+    as_sql("complementarity", "case when event_id % 3 = 1 then null else value end as value, case when event_id % 41 = 3 then null else event_id end as event_id")
