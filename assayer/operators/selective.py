@@ -111,8 +111,9 @@ CAUSES = (*FIXABLE, "grain")
 
 
 def limiting(case_id: Column) -> Column:
-    """The limiting cause of the canonical view's cases, which have none of their own."""
-    return F.element_at(F.array(*map(F.lit, CAUSES)), (case_id % len(CAUSES) + 1).cast("int"))
+    """The limiting cause of the canonical view's cases, which have none of their own; place 0, of ids below 0, has none either."""
+    place = (case_id % len(CAUSES) + 1).cast("int")
+    return F.when(place != 0, F.element_at(F.array(*map(F.lit, CAUSES)), place))
 
 
 def triage(df: DataFrame, most_std: float = 0.1) -> DataFrame:

@@ -40,3 +40,7 @@ def test_null_readings_rank_last(as_sql, name):
 def test_null_numbers_rank_last(as_sql):
     # More than a fifth of the cases have no reading; those without a number come after them.
     as_sql("complementarity", "case when event_id % 3 = 1 then null else value end as value, case when event_id % 41 = 3 then null else event_id end as event_id")
+
+
+def test_numbers_below_0(as_sql):
+    as_sql("certificate_sweep", "case when event_id % 7 = 1 then -event_id else event_id end as event_id")
