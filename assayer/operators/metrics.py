@@ -50,17 +50,22 @@ def with_confidence(df: DataFrame) -> DataFrame:
     return df.withColumns({"confidence": F.greatest("prob", 1 - F.col("prob")), "correct": ((F.col("prob") >= 0.5) == (F.col("label") == 1)).cast("double")})
 
 
+def _found_bins(df: DataFrame, *by: str, bins: int) -> DataFrame:
+    d = with_confidence(df).withColumn("bin", edge_bin(F.col("confidence"), linspace(0.5, 1.0, bins)))
+    return d.groupBy(*by, "bin").agg(F.avg("confidence").alias("mean_confidence"), F.avg("correct").alias("accuracy"), F.count("*").alias("n"))
+
+
 def reliability(df: DataFrame, *by: str, bins: int = 15) -> DataFrame:
     """Mean confidence, accuracy and count of each bin of confidence on [0.5, 1]; empty bins have null means and count 0."""
-    d = with_confidence(df).withColumn("bin", edge_bin(F.col("confidence"), linspace(0.5, 1.0, bins)))
-    found = d.groupBy(*by, "bin").agg(F.avg("confidence").alias("mean_confidence"), F.avg("correct").alias("accuracy"), F.count("*").alias("n"))
+    found = _found_bins(df, *by, bins=bins)
     grid = df.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))) if by else df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return grid.join(found, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def calibration_error(df: DataFrame, *by: str, bins: int = 15) -> DataFrame:
+    """From the bins that hold cases; groups may have null keys."""
     gap = F.abs(F.col("accuracy") - F.col("mean_confidence"))
-    return reliability(df, *by, bins=bins).groupBy(*by).agg(ratio(F.sum(F.col("n") * gap), F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+    return _found_bins(df, *by, bins=bins).groupBy(*by).agg(ratio(F.sum(F.col("n") * gap), F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
 def per_clinic(df: DataFrame) -> DataFrame:

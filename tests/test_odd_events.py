@@ -44,3 +44,7 @@ def test_null_numbers_rank_last(as_sql):
 
 def test_numbers_below_0(as_sql):
     as_sql("certificate_sweep", "case when event_id % 7 = 1 then -event_id else event_id end as event_id")
+
+
+def test_severity_unknown(as_sql):
+    as_sql("ece_mce", "case when event_id % 41 = 3 then null else event_id end as event_id")
