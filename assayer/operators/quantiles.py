@@ -86,7 +86,8 @@ def _selected_quantiles(df: DataFrame, by: list[str], wanted: Wanted) -> DataFra
     low, high = (values.select("_h", "_e", F.col("_rank").alias(f"_{n}"), F.col("_v").alias(n)) for n in ("low", "high"))
     same = (F.col("_g") == F.col("_h")) & (F.col("_c") == F.col("_e"))
     met = at.join(low, same & (F.col("_low") == F.floor("_at") + 1)).drop("_h", "_e").join(high, same & (F.col("_high") == F.ceil("_at") + 1))
-    between = F.when(F.col("_low") == F.col("_high"), F.col("low")).otherwise((F.col("_high") - 1 - F.col("_at")) * F.col("low") + (F.col("_at") - F.col("_low") + 1) * F.col("high"))
+    # Equal values are not weighed, which might miss them by a bit.
+    between = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.col("_high") - 1 - F.col("_at")) * F.col("low") + (F.col("_at") - F.col("_low") + 1) * F.col("high"))
     each = met.select("_g", "_c", F.struct("_i", between.alias("q")).alias("x")).groupBy("_g", "_c").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["q"]).alias("_q"))
     columns = [F.first(F.when(F.col("_c") == i, F.col("_q") if isinstance(p, list) else F.col("_q")[0]), True).alias(n) for i, (n, (_, p)) in enumerate(wanted.items())]
     return each.groupBy("_g").agg(*columns)

@@ -48,3 +48,11 @@ def test_numbers_below_0(as_sql):
 
 def test_severity_unknown(as_sql):
     as_sql("ece_mce", "case when event_id % 41 = 3 then null else event_id end as event_id")
+
+
+@pytest.mark.parametrize("number", [26, 39])
+def test_equal_confidences_reach_their_quantile(as_sql, monkeypatch, number):
+    from assayer.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 10)
+    as_sql("compare_policies", f"1009 * event_id + {number} as event_id", "event_id < 64")
