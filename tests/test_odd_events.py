@@ -61,6 +61,6 @@ def test_equal_confidences_reach_their_quantile(as_sql, monkeypatch, number):
 ODD = "case event_id % 19 when 1 then null when 2 then 0 when 3 then -0.0::double when 4 then -1.5 when 5 then 'nan'::double when 6 then 'inf'::double when 7 then 30 when 8 then 1e-310::double else value end as value"
 
 
-@pytest.mark.parametrize("name", ["certificate_verdict", "channel_capacity"])
+@pytest.mark.parametrize("name", ["certificate_verdict", "channel_capacity", "disc_confusion"])
 def test_odd_readings(as_sql, name):
     as_sql(name, ODD)
