@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.scalars import clip, ratio, share
+from assayer.functions.scalars import clip, correlation, ratio, share
 from assayer.operators.metrics import with_confidence
 from assayer.operators.quantiles import quantiles, summary
 from assayer.operators.ranking import global_rank, group_rank
@@ -83,7 +83,7 @@ def complementarity(df: DataFrame, share_flagged: float = 0.2) -> DataFrame:
     d = global_rank(global_rank(d, "learned", "case_id", "ra"), "physics", "case_id", "rb")
     d = d.select("wrong", "learned", "physics", (F.col("ra") <= F.col("k")).alias("a"), (F.col("rb") <= F.col("k")).alias("b"))
     A, B, w = F.col("a"), F.col("b"), F.col("wrong")
-    return d.agg(ratio(F.count_if(A & B), F.count_if(A | B)).alias("jaccard"), F.corr("learned", "physics").alias("pearson"), F.count_if(w).alias("errors"), F.count_if(w & A).alias("by_learned"), F.count_if(w & B).alias("by_physics"), F.count_if(w & (A | B)).alias("by_either"), F.count_if(w & A & B).alias("by_both"))
+    return d.agg(ratio(F.count_if(A & B), F.count_if(A | B)).alias("jaccard"), correlation("learned", "physics").alias("pearson"), F.count_if(w).alias("errors"), F.count_if(w & A).alias("by_learned"), F.count_if(w & B).alias("by_physics"), F.count_if(w & (A | B)).alias("by_either"), F.count_if(w & A & B).alias("by_both"))
 
 
 def severity_thirds(df: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def severity_response(df: DataFrame) -> DataFrame:
     d = group_rank(df.where("margin_db is not null"), ["clinic"], "severity", "case_id", "ra")
     d = group_rank(d, ["clinic"], "margin_db", "case_id", "rb")
     enough = F.count("*") >= 3
-    r = d.groupBy("clinic").agg(F.count("*").alias("n"), F.when(enough, F.corr("ra", "rb")).alias("spearman"), F.when(enough, F.corr("severity", "margin_db")).alias("pearson"))
+    r = d.groupBy("clinic").agg(F.count("*").alias("n"), F.when(enough, correlation("ra", "rb")).alias("spearman"), F.when(enough, correlation("severity", "margin_db")).alias("pearson"))
     return r.join(df.groupBy("clinic").agg(share(F.col("margin_db").isNull()).alias("abstain")), "clinic").withColumn("as_expected", F.col("spearman") < 0)
 
 

@@ -42,6 +42,18 @@ def test_null_numbers_rank_last(as_sql):
     as_sql("complementarity", "case when event_id % 3 = 1 then null else value end as value, case when event_id % 41 = 3 then null else event_id end as event_id")
 
 
+@pytest.mark.parametrize("name, replaced, where", [
+    ("complementarity", "value as value", "event_id % 17 = 0"),  # no case has a margin, so all physics confidences are 0
+    ("complementarity", "value as value", "event_id = 7"),
+    ("complementarity", "1009 * event_id as event_id", "event_id < 500"),  # one mc_std for all
+    ("severity_response", "value as value", "event_id % 5 = 1"),  # one severity for all
+    ("worst_of_n", "event_id as user_id", "event_id < 50"),  # one case a film
+    ("worst_of_n", "30.0::double as value", "user_id % 5 = 4"),  # one logit for all
+])
+def test_constant_sides_have_no_correlation(as_sql, name, replaced, where):
+    as_sql(name, replaced, where)
+
+
 def test_numbers_below_0(as_sql):
     as_sql("certificate_sweep", "case when event_id % 7 = 1 then -event_id else event_id end as event_id")
 
