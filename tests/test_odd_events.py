@@ -81,7 +81,7 @@ def test_odd_readings(as_sql, name):
 TINY = "case event_id % 7 when 1 then 5e-324::double when 2 then -5e-324::double when 3 then 7e-323::double when 4 then 2e-322::double else value end as value"
 
 
-@pytest.mark.parametrize("name", ["certificate_verdict", "channel_capacity", "disc_confusion"])
+@pytest.mark.parametrize("name", ["certificate_verdict", "channel_capacity", "disc_confusion", "complementarity"])
 def test_least_readings(as_sql, name):
     # A thirtieth of these is 0, of which the margin is minus infinity.
     as_sql(name, TINY)
