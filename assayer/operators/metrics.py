@@ -85,8 +85,9 @@ def temperature_grid(df: DataFrame, temperatures: list[float], *by: str) -> Data
 
 
 def fit_temperature(df: DataFrame, temperatures: list[float], *by: str) -> DataFrame:
-    """The temperature of least loss, the first if several; 1 where only one label occurs."""
-    best = temperature_grid(df, temperatures, *by).groupBy(*by).agg(F.min(F.struct("nll", "temperature"))["temperature"].alias("temperature"))
+    """The temperature of least loss, the first if several, null without a loss; 1 where only one label occurs."""
+    least = F.min(F.when(F.col("nll").isNotNull(), F.struct("nll", "temperature")))
+    best = temperature_grid(df, temperatures, *by).groupBy(*by).agg(least["temperature"].alias("temperature"))
     both = df.groupBy(*by).agg(F.countDistinct("label").alias("labels"))
     joined = best.join(both, list(by)) if by else best.crossJoin(F.broadcast(both))
     return joined.select(*by, F.when(F.col("labels") < 2, 1.0).otherwise(F.col("temperature")).alias("temperature"))
